@@ -1,7 +1,7 @@
 """All queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import bpe_words, line_dedup, poisson_mixing, quality_rules, url_filters
+from . import bpe_words, gif, jaccard_join, line_dedup, poisson_mixing, quality_rules, url_filters
 
-MODULES = (url_filters, line_dedup, quality_rules, poisson_mixing, bpe_words)
+MODULES = (url_filters, gif, line_dedup, jaccard_join, quality_rules, poisson_mixing, bpe_words)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
