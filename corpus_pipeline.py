@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manylabel.llm import bpe_words, jaccard_join, line_dedup, poisson_mixing, quality_rules
-from manylabel.llm.common import table
+from manylabel.llm.common import checkpointed, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage keeps is written to the shared checkpoint folder, as later stages read it several times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *early, (_, last) = STAGES
+    for _, stage in early:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return last(spark, docs, sf_dir)
