@@ -1,4 +1,453 @@
-"""Every query by name, and its SQL."""
+"""Every query by name, and its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.vectors import l2_normalize, long_form, reindex
+from ..operators import embed, labelgraph, metrics, neighbors, partition, vote
+from ..params import Params
+from ..sources import model, svmlight
+from . import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def _rounded(d: DataFrame, *names: str) -> DataFrame:
+    return d.withColumns({n: F.round(n, 6) + 0.0 for n in names})  # no negative zeros
+
+
+# rows and labels
+
+
+@query("Q01_parse_lines", f"""WITH {fx.ORDERS}
+SELECT row_id, l.labels, f.features FROM (SELECT row_id, string_agg(label::VARCHAR, ',' ORDER BY label) AS labels FROM lab GROUP BY row_id) l
+JOIN (SELECT row_id, string_agg(fid || ':' || val::INT, ' ' ORDER BY fid) AS features FROM feat GROUP BY row_id) f USING (row_id)""")
+def _(spark, sf_dir):
+    d = svmlight.parse_lines(fx.lines(spark, sf_dir))
+    features = F.transform("features", lambda f: F.concat_ws(":", f["fid"].cast("string"), f["val"].cast("int").cast("string")))
+    return d.select("row_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"), F.array_join(features, " ").alias("features"))
+
+
+@query("Q02_dataset_summary", f"WITH {fx.ORDERS} SELECT (SELECT count(DISTINCT row_id) FROM feat) AS n_data, (SELECT max(fid) FROM feat)::BIGINT AS n_feature, (SELECT max(label) FROM lab)::BIGINT AS n_label")
+def _(spark, sf_dir):
+    return svmlight.summary(*fx.orders(spark, sf_dir))
+
+
+@query("Q03_l2_normalize", f"WITH {fx.ORDERS} SELECT row_id, fid, round(val / sqrt(sum(val * val) OVER (PARTITION BY row_id)), 6) AS val FROM feat")
+def _(spark, sf_dir):
+    return _rounded(l2_normalize(fx.orders(spark, sf_dir)[0]), "val").select("row_id", "fid", "val")
+
+
+@query("Q04_label_frequency", f"WITH {fx.ORDERS} SELECT label, count(*)::BIGINT AS n FROM lab GROUP BY label")
+def _(spark, sf_dir):
+    return labelgraph.frequencies(fx.orders(spark, sf_dir)[1])
+
+
+@query("Q05_head_label_threshold", f"""WITH {fx.ORDERS},
+f AS (SELECT label, count(*) AS n FROM lab GROUP BY label),
+r AS (SELECT n, sum(n * n - n) OVER (ORDER BY n, label ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT b.budget::INT AS budget, coalesce(max(n) FILTER (run <= b.budget * (SELECT count(DISTINCT row_id) FROM lab)), 0)::BIGINT AS threshold
+FROM r, (VALUES (100), (5000)) b(budget) GROUP BY b.budget""")
+def _(spark, sf_dir):
+    _, labels = fx.orders(spark, sf_dir)
+    freq = labelgraph.frequencies(labels)
+    n = labels.agg(F.countDistinct("row_id")).first()[0]
+    one = lambda b: labelgraph.head_threshold(freq, n * b).select(F.lit(b).alias("budget"), "threshold")
+    return one(100).union(one(5000))
+
+
+def _knn_sql(base: str, m: int, within: str = "", where: str = "") -> str:
+    """CTEs up to ``ranked(row_id, neighbor, score, rank)``."""
+    same = f"AND a.{within} = b.{within}" if within else ""
+    return f"""{base},
+shared AS (SELECT a.row_id, b.row_id AS neighbor, count(*) AS common FROM lab a JOIN lab b ON a.label = b.label {same} WHERE a.row_id <> b.row_id GROUP BY ALL),
+sizes AS (SELECT row_id AS neighbor, count(*) AS size FROM lab GROUP BY row_id),
+scored AS (SELECT row_id, neighbor, common / size::DOUBLE AS score FROM shared JOIN sizes USING (neighbor)),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, neighbor)::INT AS rank FROM scored) WHERE rank <= {m})"""
+
+
+@query("Q06_label_knn", f"WITH {_knn_sql(fx.ORDERS, 10)} SELECT row_id, rank, neighbor, round(score, 6) AS score FROM ranked")
+def _(spark, sf_dir):
+    return _rounded(labelgraph.label_knn(fx.orders(spark, sf_dir)[1], 10), "score")
+
+
+@query("Q06b_label_knn_in_cluster", "WITH " + _knn_sql(fx.ORDERS.replace("lab AS (SELECT DISTINCT l_orderkey AS row_id,", "lab AS (SELECT DISTINCT l_orderkey AS row_id, l_orderkey % 4 AS cluster,"), 10, "cluster") + " SELECT row_id % 4 AS cluster, row_id, rank, neighbor, round(score, 6) AS score FROM ranked")
+def _(spark, sf_dir):
+    labels = fx.orders(spark, sf_dir)[1].withColumn("cluster", F.col("row_id") % 4)
+    return _rounded(labelgraph.label_knn(labels, 10, within=("cluster",)), "score")
+
+
+_AMPLIFIED = _knn_sql(fx.SMALL, 10) + """,
+amp AS (SELECT r.row_id, s AS slot, r.neighbor FROM ranked r JOIN (SELECT row_id, count(*) AS n FROM ranked GROUP BY row_id) c USING (row_id), range(0, 10) x(s) WHERE r.rank = s % n + 1)"""
+
+
+@query("Q07_amplified_positives", f"WITH {_AMPLIFIED} SELECT row_id, slot, neighbor FROM amp")
+def _(spark, sf_dir):
+    return labelgraph.amplify(labelgraph.label_knn(fx.orders(spark, sf_dir, 500)[1], 10), 10).select("row_id", "slot", "neighbor")
+
+
+@query("Q08_negative_samples", f"""WITH {fx.ORDERS}, r AS (SELECT DISTINCT row_id FROM feat)
+SELECT row_id, s AS slot, (1103515245 * row_id::BIGINT + 12345 * s + 21) % (SELECT count(*) FROM r) AS negative FROM r, range(0, 10) x(s)""")
+def _(spark, sf_dir):
+    rows = fx.orders(spark, sf_dir)[0].select("row_id").distinct()
+    return labelgraph.negatives(rows, 10, rows.count(), epoch=3)
+
+
+# partitions
+
+_KMEANS = fx.VECTORS + """,
+c AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS k, e AS ce FROM emb QUALIFY k < 8),
+s AS (SELECT row_id, k, list_dot_product(e, ce) AS score FROM emb, c),
+a AS (SELECT row_id, k AS cluster, score FROM s QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, k) = 1)"""
+
+
+def _first_eight(spark, sf_dir):
+    emb, _ = fx.vectors(spark, sf_dir)
+    features = long_form(emb, "row_id", "emb")
+    ids = [r[0] for r in emb.select("row_id").orderBy("row_id").limit(8).collect()]
+    k = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("row_id")).cast("int") - 1
+    w = features.where(F.col("row_id").isin(ids)).select(F.lit(0).alias("learner"), k.alias("k"), "fid", F.col("val").alias("w"))
+    return features, w, partition.nearest_cluster(features, w, 8)
+
+
+@query("Q09_kmeans_assign", f"WITH {_KMEANS} SELECT row_id, cluster::INT AS cluster FROM a")
+def _(spark, sf_dir):
+    return _first_eight(spark, sf_dir)[2].select("row_id", "cluster")
+
+
+@query("Q10_kmeans_update", f"""WITH {_KMEANS},
+u AS (SELECT cluster, unnest(range(0, 64)) AS fid, unnest(e) AS val FROM a JOIN emb USING (row_id)),
+t AS (SELECT cluster, fid, sum(val) AS s FROM u GROUP BY ALL)
+SELECT cluster::INT AS k, fid::INT AS fid, round(s / sqrt(sum(s * s) OVER (PARTITION BY cluster)), 6) + 0.0 AS w FROM t""")
+def _(spark, sf_dir):
+    features, _, a = _first_eight(spark, sf_dir)
+    return _rounded(partition.centers(features, a), "w").select("k", "fid", "w")
+
+
+@query("Q11_kmeans_objective", f"WITH {_KMEANS} SELECT round(avg(score), 6) AS objective FROM a")
+def _(spark, sf_dir):
+    return _rounded(partition.objective(_first_eight(spark, sf_dir)[2]), "objective").select("objective")
+
+
+@query("Q12_kmeans_fit")
+def _(spark, sf_dir):
+    features = long_form(fx.vectors(spark, sf_dir)[0], "row_id", "emb")
+    w, _ = partition.fit_kmeans(features, 4, learners=2, max_iter=4, seed=7)
+    return partition.nearest_cluster(features, w, 4).groupBy("learner", "cluster").agg(F.count("*").alias("n"))
+
+
+@query("Q13_ftrl_step", f"""WITH {_AMPLIFIED},
+idx AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i FROM (SELECT DISTINCT row_id FROM feat)),
+w AS (SELECT k, fid, ((31 * fid + 17 * k) % 101)::DOUBLE / 128 - 0.390625 AS w FROM (SELECT DISTINCT fid FROM feat), range(0, 2) x(k)),
+sc AS (SELECT row_id, k, sum(val * w) AS score FROM feat JOIN w USING (fid) GROUP BY ALL),
+base AS (SELECT row_id, k FROM sc QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, k) = 1),
+pairs AS (SELECT row_id, neighbor AS other, 1.0::DOUBLE AS y FROM amp
+          UNION ALL SELECT b.row_id, idx.row_id, 0.0 FROM base b, range(0, 10) x(s), idx
+          WHERE b.row_id IN (SELECT row_id FROM amp) AND idx.i = (1103515245 * b.row_id::BIGINT + 12345 * s) % (SELECT count(*) FROM idx)),
+e AS (SELECT b.k, p.other AS row_id, p.y - 1 / (1 + exp(-s.score)) AS e FROM pairs p JOIN base b USING (row_id) JOIN sc s ON s.row_id = p.other AND s.k = b.k),
+g AS (SELECT k, fid, sum(e * val) AS g FROM e JOIN feat USING (row_id) GROUP BY ALL),
+st AS (SELECT k, fid, w, coalesce(g, 0) AS g, w / 0.1 + sign(w) * 4 AS z FROM w LEFT JOIN g USING (k, fid)),
+n2 AS (SELECT k, fid, 1 + g * g AS n, z + g + (sqrt(1 + g * g) - 1) / 0.1 * w AS z FROM st)
+SELECT k::INT AS k, fid, round(CASE WHEN abs(z) <= 4 THEN 0 ELSE 0.1 * (z - sign(z) * 4) / sqrt(n) END, 5) + 0.0 AS w, round(n, 5) AS n, round(z, 5) + 0.0 AS z FROM n2""")
+def _(spark, sf_dir):
+    features, labels = fx.orders(spark, sf_dir, 500)
+    w = features.select("fid").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    w = w.select(F.lit(0).alias("learner"), "k", "fid", (((31 * F.col("fid") + 17 * F.col("k")) % 101) / 128.0 - 0.390625).alias("w"))
+    base = partition.nearest_cluster(features, w, 2)
+    pos = labelgraph.amplify(labelgraph.label_knn(labels, 10), 10).select("row_id", F.col("neighbor").alias("other"))
+    ids = [r[0] for r in features.select("row_id").distinct().orderBy("row_id").collect()]  # below 500 by the fixture
+    index = spark.createDataFrame(list(enumerate(ids)), "negative long, other long")
+    neg = labelgraph.negatives(features.select("row_id").distinct(), 10, len(ids)).join(F.broadcast(index), "negative").select("row_id", "other")
+    g = partition.pair_gradients(features, base, pos, neg, w)
+    out = partition.ftrl_step(partition.ftrl_state(w, 0.1, 4.0), g, 0.1, 4.0)
+    return out.select("k", "fid", *[(F.round(c, 5) + 0.0).alias(c) for c in ("w", "n", "z")])
+
+
+@query("Q14_pairwise_fit")
+def _(spark, sf_dir):
+    features, labels = fx.orders(spark, sf_dir)
+    w = partition.fit_pairwise(l2_normalize(features), labels, 2, learners=1, epochs=1, num_nn=5, lam=0.5, batches=2)
+    return partition.nearest_cluster(features, w, 2, spark.range(1).select(F.lit(0).alias("learner"))).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+_CLUSTERS = fx.ORDERS + """,
+sc AS (SELECT row_id, k, sum(val * ((31 * fid + 17 * k) % 101 - 50)) AS score FROM feat, range(0, 8) x(k) GROUP BY ALL),
+a AS (SELECT row_id, k::INT AS cluster FROM sc QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, k) = 1)"""
+
+
+def _arithmetic_clusters(spark, sf_dir):
+    features, labels = fx.orders(spark, sf_dir)
+    w = features.select("fid").distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(8)])))
+    w = w.select(F.lit(0).alias("learner"), "k", "fid", ((31 * F.col("fid") + 17 * F.col("k")) % 101 - 50).cast("double").alias("w"))
+    return features, labels, w, partition.nearest_cluster(features, w, 8)
+
+
+@query("Q15_nearest_cluster", f"WITH {_CLUSTERS} SELECT row_id, cluster FROM a")
+def _(spark, sf_dir):
+    return _arithmetic_clusters(spark, sf_dir)[3].select("row_id", "cluster")
+
+
+@query("Q16_cluster_sizes", f"WITH {_CLUSTERS} SELECT cluster, count(*)::BIGINT AS n FROM a GROUP BY cluster")
+def _(spark, sf_dir):
+    return _arithmetic_clusters(spark, sf_dir)[3].groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("Q17_reindex_labels", f"WITH {_CLUSTERS} SELECT DISTINCT cluster, label, dense_rank() OVER (PARTITION BY cluster ORDER BY label)::INT AS new_id FROM a JOIN lab USING (row_id)")
+def _(spark, sf_dir):
+    _, labels, _, a = _arithmetic_clusters(spark, sf_dir)
+    return reindex(labels.join(a, "row_id"), "label", "cluster")
+
+
+@query("Q18_project", f"""WITH {_CLUSTERS}
+SELECT row_id, cluster, d::INT AS dim, round(sum(val * ((31 * fid + 17 * d) % 101 / 101.0::DOUBLE - 0.5)), 6) + 0.0 AS x FROM feat JOIN a USING (row_id), range(0, 8) x(d) GROUP BY ALL""")
+def _(spark, sf_dir):
+    features, _, w, a = _arithmetic_clusters(spark, sf_dir)
+    vec = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: ((31 * F.col("fid") + 17 * d) % 101) / 101.0 - 0.5)
+    matrix = w.select("learner", F.col("k").alias("cluster"), "fid", vec.alias("w"))
+    d = embed.project(features, matrix, a)
+    return d.select("row_id", "cluster", F.posexplode("emb").alias("dim", "x")).withColumn("x", F.round("x", 6) + 0.0)
+
+
+_PAIRS = """
+n AS (SELECT count(*) AS n FROM emb),
+pr AS (SELECT row_id, 'p' AS role, t AS slot, (row_id + 1 + t) % n AS other FROM emb, n, range(0, 3) x(t)
+       UNION ALL SELECT row_id, 'q', t, (7 * row_id + 13 * t + 5) % n FROM emb, n, range(0, 3) x(t)),
+cs AS (SELECT pr.row_id, role, slot::INT AS slot, list_cosine_similarity(a.e, b.e) AS cosine FROM pr JOIN emb a USING (row_id) JOIN emb b ON b.row_id = pr.other)"""
+
+
+@query("Q19_rank_loss_coefficients", f"""WITH {fx.VECTORS}, {_PAIRS},
+t AS (SELECT p.row_id, p.slot AS ps, q.slot AS qs, exp(-10 * (p.cosine - q.cosine)) AS t FROM cs p JOIN cs q USING (row_id) WHERE p.role = 'p' AND q.role = 'q'),
+a AS (SELECT row_id, ps, qs, 10 * t / (1 + sum(t) OVER (PARTITION BY row_id, ps)) AS a FROM t)
+SELECT row_id, 'p' AS role, ps AS slot, round(sum(a), 6) AS coefficient FROM a GROUP BY ALL UNION ALL SELECT row_id, 'q', qs, round(-sum(a), 6) FROM a GROUP BY ALL""")
+def _(spark, sf_dir):
+    from ..functions.vectors import dot, norm
+
+    emb, _ = fx.vectors(spark, sf_dir)
+    n = emb.count()
+    three = F.explode(F.array(*[F.lit(t) for t in range(3)])).alias("slot")
+    d = emb.select("row_id", "emb", three)
+    pr = d.select("*", F.lit("p").alias("role"), ((F.col("row_id") + 1 + F.col("slot")) % n).alias("other")).union(
+        d.select("*", F.lit("q").alias("role"), ((7 * F.col("row_id") + 13 * F.col("slot") + 5) % n).alias("other"))
+    )
+    cs = pr.join(emb.toDF("other", "emb2"), "other")
+    cs = cs.select("row_id", "role", "slot", (dot(F.col("emb"), F.col("emb2")) / (norm(F.col("emb")) * norm(F.col("emb2")))).alias("cosine"))
+    return _rounded(embed.rank_coefficients(cs, 10.0), "coefficient")
+
+
+@query("Q20_embedding_fit")
+def _(spark, sf_dir):
+    features, labels, assigned = fx.documents(spark, sf_dir)
+    p = Params(emb_size=16, num_nn=5, emb_iter=2, seed=1)
+    _, emb = embed.fit(l2_normalize(features), labels, assigned, p)
+    by = ("learner", "cluster")
+    near = neighbors.knn(emb.withColumnRenamed("row_id", "query_id"), emb, 10, within=by, exclude_self=True)
+    near = near.select(*by, F.col("query_id").alias("row_id"), F.col("row_id").alias("neighbor"))
+    return _rounded(embed.weighted_precision(embed.local_precision(near, labels, by, depth=1)), "precision")
+
+
+_LOCAL = """
+v AS (SELECT g, n.row_id, label, count(*) AS votes FROM nb n JOIN lab ON lab.row_id = n.neighbor GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY votes DESC, label) AS rank FROM v),
+h AS (SELECT g, rank, count(*) AS hits FROM r WHERE rank <= 5 AND (row_id, label) IN (SELECT row_id, label FROM lab) GROUP BY ALL),
+ks AS (SELECT k FROM range(1, 6) x(k)), c AS (SELECT g, count(DISTINCT row_id) AS n FROM nb GROUP BY g),
+p AS (SELECT c.g, k, n, coalesce(sum(hits), 0) / (n * k)::DOUBLE AS precision FROM c CROSS JOIN ks LEFT JOIN h ON h.g = c.g AND h.rank <= k GROUP BY c.g, k, n)"""
+_LOO = """
+nb AS (SELECT * FROM (SELECT {g} AS g, a.row_id, b.row_id AS neighbor, row_number() OVER (PARTITION BY a.row_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.row_id) AS rank
+       FROM emb a JOIN emb b ON a.row_id <> b.row_id {on}) WHERE rank <= 10)"""
+
+
+@query("Q21_loo_precision", f"WITH {fx.VECTORS}, {_LOO.format(g=0, on='')}, {_LOCAL} SELECT k, round(precision, 6) AS precision FROM p")
+def _(spark, sf_dir):
+    emb, labels = fx.vectors(spark, sf_dir)
+    near = neighbors.knn(emb.withColumnRenamed("row_id", "query_id"), emb, 10, exclude_self=True)
+    near = near.select(F.col("query_id").alias("row_id"), F.col("row_id").alias("neighbor"))
+    return _rounded(embed.local_precision(near, labels), "precision").select("k", "precision")
+
+
+@query("Q22_achievable_precision", f"WITH {_AMPLIFIED}, nb AS (SELECT 0 AS g, row_id, neighbor FROM amp), {_LOCAL} SELECT k, round(precision, 6) AS precision FROM p")
+def _(spark, sf_dir):
+    _, labels = fx.orders(spark, sf_dir, 500)
+    near = labelgraph.amplify(labelgraph.label_knn(labels, 10), 10)
+    return _rounded(embed.local_precision(near, labels), "precision").select("k", "precision")
+
+
+# search
+
+
+def _knn(spark, sf_dir, metric):
+    q, m = fx.split_queries(fx.vectors(spark, sf_dir)[0])
+    return _rounded(neighbors.knn(q, m, 10, metric), "score")
+
+
+def _search_sql(score: str) -> str:
+    return f"""WITH {fx.VECTORS},
+s AS (SELECT q.row_id AS query_id, m.row_id, {score} AS score FROM emb q, emb m WHERE q.row_id % 5 = 0 AND m.row_id % 5 <> 0)
+SELECT query_id, rank, row_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)::INT AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("Q23_knn_cosine", _search_sql("list_cosine_similarity(q.e, m.e)"))
+def _(spark, sf_dir):
+    return _knn(spark, sf_dir, "cosine")
+
+
+@query("Q24_knn_euclid", _search_sql("-list_sum(list_transform(list_zip(q.e, m.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"))
+def _(spark, sf_dir):
+    return _knn(spark, sf_dir, "euclid")
+
+
+@query("Q25_knn_graph", f"""WITH {fx.VECTORS},
+s AS (SELECT a.row_id AS src, b.row_id AS dst, list_distance(a.e, b.e) ** 2 AS d2 FROM emb a, emb b WHERE a.row_id <> b.row_id)
+SELECT src, dst, rank, round(d2, 6) AS d2, round(1 - d2 / 2, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst)::INT AS rank FROM s) WHERE rank <= 50""")
+def _(spark, sf_dir):
+    from ..functions.vectors import cosine_of_distance
+
+    d = neighbors.knn_graph(fx.vectors(spark, sf_dir)[0], 50)
+    return _rounded(d.withColumn("cosine", cosine_of_distance(F.col("d2"))), "d2", "cosine")
+
+
+@query("Q26_tree_split", f"""WITH {fx.VECTORS},
+b0 AS (SELECT * FROM emb WHERE row_id = (SELECT min(row_id) FROM emb)),
+a AS (SELECT m.* FROM emb m, b0 WHERE m.row_id <> b0.row_id ORDER BY list_distance(m.e, b0.e) DESC, m.row_id LIMIT 1),
+b AS (SELECT m.* FROM emb m, a, b0 WHERE m.row_id NOT IN (a.row_id, b0.row_id) ORDER BY list_distance(m.e, a.e) DESC, m.row_id LIMIT 1)
+SELECT m.row_id, (list_sum(list_transform(range(1, 65), lambda i: (b.e[i] - a.e[i]) * (m.e[i] - (a.e[i] + b.e[i]) / 2))) > 0)::INT AS side FROM emb m, a, b""")
+def _(spark, sf_dir):
+    emb, _ = fx.vectors(spark, sf_dir)
+    return neighbors.split(emb, emb.agg(F.min("row_id")).first()[0])
+
+
+@query("Q27_ball", f"""WITH {fx.VECTORS},
+u AS (SELECT row_id, unnest(range(0, 64)) AS dim, unnest(e) AS x FROM emb), c AS (SELECT dim, avg(x) AS mean FROM u GROUP BY dim)
+SELECT dim::INT AS dim, round(mean, 6) + 0.0 AS value FROM c
+UNION ALL SELECT -1, round(sqrt(max(d2)), 6) FROM (SELECT row_id, sum((x - mean) * (x - mean)) AS d2 FROM u JOIN c USING (dim) GROUP BY row_id)""")
+def _(spark, sf_dir):
+    mean, radius = neighbors.ball(fx.vectors(spark, sf_dir)[0])
+    return _rounded(mean.select("dim", F.col("mean").alias("value")).union(radius.select(F.lit(-1), "radius")), "value")
+
+
+@query("Q28_graph_search")
+def _(spark, sf_dir):
+    q, m = fx.split_queries(fx.vectors(spark, sf_dir)[0].withColumns({"learner": F.lit(0), "cluster": F.lit(0)}))
+    return neighbors.graph_search(q, m, 10, num_edge=50, eps=0.1)
+
+
+# votes and scores
+
+
+def _neighbours(spark, sf_dir):
+    emb, labels = fx.vectors(spark, sf_dir)
+    q, m = fx.split_queries(fx.four_learners(emb))
+    return neighbors.knn(q, m, 10, within=("learner",)), labels
+
+
+def _predictions(spark, sf_dir):
+    near, labels = _neighbours(spark, sf_dir)
+    d = vote.top_labels(vote.label_scores(vote.neighbor_votes(near), labels)).withColumnRenamed("query_id", "row_id")
+    true = labels.where("row_id % 5 = 0")
+    return d, true, labels.where("row_id % 5 <> 0")
+
+
+@query("Q29_neighbor_votes", f"WITH {fx.LEARNERS} SELECT query_id, row_id, votes FROM votes")
+def _(spark, sf_dir):
+    return vote.neighbor_votes(_neighbours(spark, sf_dir)[0])
+
+
+@query("Q30_label_scores", f"WITH {fx.LEARNERS} SELECT query_id, label, score FROM score")
+def _(spark, sf_dir):
+    near, labels = _neighbours(spark, sf_dir)
+    return vote.label_scores(vote.neighbor_votes(near), labels)
+
+
+@query("Q31_top_labels", f"WITH {fx.LEARNERS} SELECT row_id, rank, label, score FROM pred")
+def _(spark, sf_dir):
+    return _predictions(spark, sf_dir)[0]
+
+
+@query("Q32_render_result", f"""WITH {fx.LEARNERS}
+SELECT t.row_id, t.l || chr(9) || coalesce(p.p, '') AS value FROM (SELECT row_id, string_agg(label::VARCHAR, ',' ORDER BY label) AS l FROM true_ GROUP BY row_id) t
+LEFT JOIN (SELECT row_id, string_agg(label || ':' || score || '.0', ',' ORDER BY rank) AS p FROM pred GROUP BY row_id) p USING (row_id)""")
+def _(spark, sf_dir):
+    pred, true, _ = _predictions(spark, sf_dir)
+    return svmlight.render_results(pred.withColumn("score", F.col("score").cast("double")), true)
+
+
+@query("Q33_precision_at_k", f"WITH {fx.LEARNERS} SELECT k, round(sum(hit)::DOUBLE / (k * (SELECT count(DISTINCT row_id) FROM true_)), 6) AS value FROM ks JOIN hit ON rank <= k GROUP BY k")
+def _(spark, sf_dir):
+    pred, true, _ = _predictions(spark, sf_dir)
+    return _rounded(metrics.precision_at_k(pred, true, true), "value")
+
+
+@query("Q34_ndcg_at_k", f"WITH {fx.LEARNERS} SELECT k, round(sum(hit / log2(rank + 1) / ideal) / (SELECT count(DISTINCT row_id) FROM true_), 6) AS value FROM hit JOIN ideal USING (row_id) WHERE rank <= k GROUP BY k")
+def _(spark, sf_dir):
+    pred, true, _ = _predictions(spark, sf_dir)
+    return _rounded(metrics.ndcg_at_k(pred, true, true), "value")
+
+
+@query("Q35_propensity", f"WITH {fx.LEARNERS} SELECT label, round(weight, 6) AS weight FROM weight UNION ALL SELECT -1, round(unseen, 6) FROM unseen")
+def _(spark, sf_dir):
+    _, _, train = _predictions(spark, sf_dir)
+    w, unseen = metrics.propensities(train, train.select("row_id").distinct().count())
+    return _rounded(w.union(spark.range(1).select(F.lit(-1).cast("bigint"), F.lit(unseen))), "weight")
+
+
+def _scored(spark, sf_dir, metric):
+    pred, true, train = _predictions(spark, sf_dir)
+    return _rounded(metric(pred, true, *metrics.propensities(train, train.select("row_id").distinct().count())), "value")
+
+
+@query("Q36_psp_at_k", f"WITH {fx.LEARNERS} SELECT k, round((SELECT sum(weight) FROM got WHERE rank <= k) / (SELECT sum(weight) FROM best WHERE rank <= k), 6) AS value FROM ks")
+def _(spark, sf_dir):
+    return _scored(spark, sf_dir, metrics.psp_at_k)
+
+
+@query("Q37_psndcg_at_k", f"""WITH {fx.LEARNERS},
+g AS (SELECT k, sum(weight / log2(rank + 1) / ideal) AS g FROM got JOIN ideal USING (row_id) WHERE rank <= k GROUP BY k),
+b AS (SELECT k, sum(weight / log2(rank + 1) / ideal) AS b FROM best JOIN ideal USING (row_id) WHERE rank <= k GROUP BY k)
+SELECT k, round(g / b, 6) AS value FROM g JOIN b USING (k)""")
+def _(spark, sf_dir):
+    return _scored(spark, sf_dir, metrics.psndcg_at_k)
+
+
+@query("Q38_weighted_precision", f"WITH {fx.VECTORS}, {_LOO.format(g='a.row_id % 3', on='AND a.row_id % 3 = b.row_id % 3')}, {_LOCAL} SELECT k, round(sum(precision * n) / sum(n), 6) AS precision FROM p GROUP BY k")
+def _(spark, sf_dir):
+    emb, labels = fx.vectors(spark, sf_dir)
+    emb = emb.withColumn("cluster", F.col("row_id") % 3)
+    near = neighbors.knn(emb.withColumnRenamed("row_id", "query_id"), emb, 10, within=("cluster",), exclude_self=True)
+    near = near.select("cluster", F.col("query_id").alias("row_id"), F.col("row_id").alias("neighbor"))
+    return _rounded(embed.weighted_precision(embed.local_precision(near, labels, ("cluster",))), "precision")
+
+
+@query("Q39_model_size", f"""WITH {fx.ORDERS}, w AS (SELECT k, fid, (31 * fid + 17 * k) % 101 - 50 AS w FROM (SELECT DISTINCT fid FROM feat), range(0, 8) x(k))
+SELECT 'clusters' AS part, count(*) FILTER (w <> 0)::BIGINT AS n_values, round(count(*) FILTER (w <> 0) / count(*)::DOUBLE, 6) AS density FROM w
+UNION ALL SELECT 'embeddings', sum(len(embedding))::BIGINT, 1.0 FROM embeddings""")
+def _(spark, sf_dir):
+    return _rounded(model.sizes(_arithmetic_clusters(spark, sf_dir)[2], fx.vectors(spark, sf_dir)[0]), "density")
+
+
+@query("Q40_flagship", f"""WITH {fx.VECTORS},
+near AS (SELECT * FROM (SELECT q.row_id AS query_id, m.row_id, row_number() OVER (PARTITION BY q.row_id ORDER BY list_cosine_similarity(q.e, m.e) DESC, m.row_id) AS rank
+         FROM emb q, emb m WHERE q.row_id % 5 = 0 AND m.row_id % 5 <> 0) WHERE rank <= 10),
+score AS (SELECT query_id AS row_id, label, count(*) AS score FROM near JOIN lab USING (row_id) GROUP BY ALL),
+hit AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, label) AS rank FROM score),
+t AS (SELECT row_id, label FROM lab WHERE row_id % 5 = 0)
+SELECT k::INT AS k, round(count(t.label)::DOUBLE / (k * (SELECT count(DISTINCT row_id) FROM t)), 6) AS value FROM range(1, 6) x(k) JOIN hit ON rank <= k LEFT JOIN t USING (row_id, label) GROUP BY k""")
+def _(spark, sf_dir):
+    emb, labels = fx.vectors(spark, sf_dir)
+    q, m = fx.split_queries(emb)
+    pred = vote.top_labels(vote.label_scores(vote.neighbor_votes(neighbors.knn(q, m, 10)), labels)).withColumnRenamed("query_id", "row_id")
+    true = labels.where("row_id % 5 = 0")
+    return _rounded(metrics.precision_at_k(pred, true, true), "value")
