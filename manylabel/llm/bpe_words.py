@@ -134,16 +134,18 @@ def _split(path: str, buckets: int):
     """Documents to rows: one for the documents of each block, one for each bucket of its distinct words."""
 
     def block_rows(number: int, ids: list, lengths: list[int], positions: list[np.ndarray], seen: dict[str, int]):
-        words = list(seen)
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+        words, flat = list(seen), np.concatenate([*positions, np.empty(0, np.uint32)])
+        # frequent words get small numbers, and each byte of the numbers is packed by itself
+        by_use = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[by_use] = np.arange(len(words))
+        words, flat = [words[i] for i in by_use], rank[flat]
+        planes = [(flat >> shift & 255).astype(np.uint8) for shift in range(0, len(words).bit_length(), 8)]
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int32, len(words))
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))  # a word's position when the buckets' words stand in a row
-        flat = place[np.concatenate(positions)] if positions else np.empty(0, np.int64)
-        kind = np.uint16 if len(words) < 1 << 16 else np.uint32
         null = np.array([i is None for i in ids], np.uint8)
         key = np.array([0 if i is None else i for i in ids], np.int64)
-        rows = [(number, number, _DOCS, _pack(key, null, np.array(lengths, np.int64), np.array([kind().itemsize]), flat.astype(kind)))]
+        rows = [(number, number, _DOCS, _pack(key, null, np.array(lengths, np.int64), bucket, *planes))]
         at = 0
         for b, n in zip(*np.unique(bucket, return_counts=True)):
             rows.append((int(b), number, int(b), _pack("\0".join([words[i] for i in order[at : at + n]]).encode("utf-8", "surrogatepass"))))
@@ -204,9 +206,13 @@ def _join_back(path: str):
         starts = ends - lens
         every = list(map(pieces.__getitem__, flat.tolist()))  # id to piece
         text = [" ".join(every[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-        key, null, lengths, width, positions = _unpack(payload)
+        key, null, lengths, bucket, *planes = _unpack(payload)
         key, null, lengths = np.frombuffer(key, np.int64), np.frombuffer(null, np.uint8), np.frombuffer(lengths, np.int64)
-        positions = np.frombuffer(positions, np.uint16 if np.frombuffer(width, np.int64)[0] == 2 else np.uint32)
+        order = np.argsort(np.frombuffer(bucket, np.int32), kind="stable")
+        place = np.empty(len(order), np.int32)  # a word's position when the buckets' words stand in a row
+        place[order] = np.arange(len(order))
+        rank = sum((np.frombuffer(x, np.uint8).astype(np.int32) << 8 * k for k, x in enumerate(planes)), np.zeros(int(lengths.sum()), np.int32))
+        positions = place[rank]
         first = np.concatenate([[0], np.cumsum(lengths)])
         at = 0
         while at < len(key):
