@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +25,30 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows written once to the shared checkpoint folder, so that later jobs neither recompute them nor depend on one executor.
+def _shared_folder(spark: SparkSession) -> str:
+    """The run's folder inside the one that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) a folder of our own is used.
+    Only where that is unset (tests on one machine) is it a folder of our own. What earlier steps
+    shuffled and nobody refers to any more is given free first: Spark deletes shuffle files
+    when the driver's garbage is collected, which a driver with little work may not do for long.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    gc.collect()
+    sc._jvm.System.gc()
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written once to the shared checkpoint folder, so that later jobs neither recompute them nor depend on one executor."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As :func:`checkpointed` for large results: a compressed table in the same folder, of which later jobs read only what they need."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

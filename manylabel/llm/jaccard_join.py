@@ -24,7 +24,7 @@ repeated rows are copies; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, stored, table
 from .components import components
 from .shingles import mix, sets_of
 
@@ -42,7 +42,7 @@ _U = np.uint64
 BUFFER_ROWS = 1_500_000
 #: Ids that are broadcast to fetch sets; a shuffle join does it beyond.
 MAX_BROADCAST_IDS = 1_000_000
-SKETCH_BITS, BLOCK = 1024, 64
+SKETCH_BITS, MAX_SKETCH_BITS, BLOCK = 1024, 1 << 17, 64
 
 
 @dataclass(frozen=True)
@@ -102,22 +102,22 @@ _INDEX_DDL = "route long, key long, sid long, n int, flag byte"
 def _index(n: int, t: Threshold):
     """Texts to list entries (dealt by list, but only one for each list and buffer) and to one member row each."""
 
-    def entries(keys: list[np.ndarray], sids: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-        count = np.array([len(k) for k in keys], np.int64)
+    def entries(keys: list[np.ndarray], sids: list[int]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([*keys, np.empty(0, _U)]).view(np.int64)
-        sid, size = np.repeat(np.array(sids, np.int64), count), np.repeat(np.array(sizes, np.int32), count)
+        sid = np.repeat(np.array(sids, np.int64), [len(k) for k in keys])
         order = np.argsort(key, kind="stable")
-        key, sid, size = key[order], sid[order], size[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-        several = np.concatenate([first[1:], [True]]) if len(key) else first
-        flag = np.where(first, np.where(several, _ALONE, _SHARED), _DEALT).astype(np.int8)
-        route = np.where(flag == _DEALT, sid ^ key, key)
+        sorted_ = key[order]
+        first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(key)]
+        flag = np.empty(len(key), np.int8)  # back in the order of sets, whose repeated ids pack well
+        flag[order] = np.where(first, np.where(np.concatenate([first[1:], [True]])[: len(key)], _ALONE, _SHARED), _DEALT)
+        route = np.where(flag == _DEALT, sid, key)
+        none = np.zeros(len(key), np.int32)
         for at in range(0, len(key), 50_000):
             cut = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (route, key, sid, size, flag)], schema=_INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (route, key, sid, none, flag)], schema=_INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids, sizes, seen, held = [], [], [], set(), 0
+        keys, sids, seen, held = [], [], set(), 0
         for batch in batches:
             ids = batch.column(0)
             own = sets_of(batch.column(1), n)
@@ -130,12 +130,11 @@ def _index(n: int, t: Threshold):
                     k = _list_keys(u, t)
                     keys.append(k)
                     sids.append(s)
-                    sizes.append(len(u))
                     held += len(k)
                     if held >= BUFFER_ROWS:
-                        yield from entries(keys, sids, sizes)
-                        keys, sids, sizes, seen, held = [], [], [], set(), 0
-        yield from entries(keys, sids, sizes)
+                        yield from entries(keys, sids)
+                        keys, sids, seen, held = [], [], set(), 0
+        yield from entries(keys, sids)
 
     return run
 
@@ -169,21 +168,37 @@ def _drop_lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(u: np.ndarray) -> bytes:
-    """The parity of the elements on each of ``SKETCH_BITS`` bits: two sets' sketches differ in no more bits than the sets in elements."""
-    bit = (mix(u + _U(0x51ED270B)) % _U(SKETCH_BITS)).astype(np.int64)
-    return np.packbits(np.bincount(bit, minlength=SKETCH_BITS) & 1).tobytes()
+    """The parity of the elements on each of 1,024 bits, or as many as a larger set needs: two sets' sketches differ in no more bits than the sets in elements."""
+    bits = max(SKETCH_BITS, min(1 << len(u).bit_length(), MAX_SKETCH_BITS))
+    bit = (mix(u + _U(0x51ED270B)) % _U(bits)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=bits) & 1).tobytes()
 
 
-def _fetch(n: int):
+def _differing_bits(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """Of each pair of sketches; the longer is folded to the other's length, which gives the sketch of that length."""
+    width = np.array([(len(x), len(y)) for x, y in zip(xs, ys)]).reshape(-1, 2)
+    out = np.zeros(len(xs), np.int64)
+    for wide in np.unique(width, axis=0):
+        at = np.flatnonzero((width == wide).all(axis=1))
+        x, y = (np.frombuffer(b"".join([s[k] for k in at]), _U).reshape(len(at), -1) for s in (xs, ys))
+        while x.shape[1] != y.shape[1]:
+            x, y = (z[:, : z.shape[1] // 2] ^ z[:, z.shape[1] // 2 :] if z.shape[1] > other.shape[1] else z for z, other in ((x, y), (y, x)))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _fetch(n: int, full: bool):
+    """Texts to their sets: sizes and sketches, or the elements."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                own = sets_of(b.column(0), n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_set_id(u) for u in own], pa.int64()), pa.array([len(u) for u in own], pa.int32()), pa.array([u.tobytes() for u in own], pa.binary()), pa.array([_sketch(u) for u in own], pa.binary())],
-                    ["sid", "n", "elements", "sketch"],
-                )
+                own = sets_of(whole.column(0).slice(at, 500), n)
+                sid = pa.array([_set_id(u) for u in own], pa.int64())
+                if full:
+                    yield pa.RecordBatch.from_arrays([sid, pa.array([u.tobytes() for u in own], pa.binary())], ["sid", "elements"])
+                else:
+                    yield pa.RecordBatch.from_arrays([sid, pa.array([len(u) for u in own], pa.int32()), pa.array([_sketch(u) for u in own], pa.binary())], ["sid", "n", "sketch"])
 
     return run
 
@@ -194,8 +209,7 @@ def _near_sketches(t: Threshold):
             if not b.num_rows:
                 continue
             na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), _U).reshape(b.num_rows, -1) for c in (b.column(4), b.column(5)))
-            near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= t.most_differing(na + nb)
+            near = _differing_bits(b.column(4).to_pylist(), b.column(5).to_pylist()) <= t.most_differing(na + nb)
             yield b.select([0, 1]).filter(pa.array(near))
 
     return run
@@ -216,14 +230,18 @@ def _linked(t: Threshold):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs ``(a, b)`` that link: by size, then by sketch, then by their shingles."""
-    small = sets.select("sid", "n", "sketch")
-    p = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
+def _near(pairs: DataFrame, sketches: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs ``(a, b)`` that may link by their sizes and sketches."""
+    p = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
     p = p.where(f"{t.den} * least(na, nb) >= {t.num} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
-    p = p.mapInArrow(_near_sketches(t), "a long, b long")
-    full = sets.select("sid", "elements")
-    p = p.join(full.toDF("a", "ea"), "a").join(full.toDF("b", "eb"), "b").select("a", "b", "ea", "eb")
+    return p.mapInArrow(_near_sketches(t), "a long, b long")
+
+
+def _verified(near: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], t: Threshold) -> DataFrame:
+    """The pairs that link by their elements; only the sets of these pairs are read again."""
+    near = checkpointed(near)
+    full = stored(fetch(near.select("a").union(near.select("b")).toDF("sid"), True))
+    p = near.join(full.toDF("a", "ea"), "a").join(full.toDF("b", "eb"), "b").select("a", "b", "ea", "eb")
     return p.mapInArrow(_linked(t), "a long, b long")
 
 
@@ -235,12 +253,12 @@ def _compare_blocks(t: Threshold):
         if not left or not right:
             return
         (sa, ca, na, xa), (sb, cb, nb, xb) = (
-            (np.array([r[2] for r in s], np.int64), np.array([r[3] for r in s], np.int64), np.array([r[4] for r in s], np.int64), np.frombuffer(b"".join([r[5] for r in s]), _U).reshape(len(s), -1))
+            (np.array([r[2] for r in s], np.int64), np.array([r[3] for r in s], np.int64), np.array([r[4] for r in s], np.int64), [r[5] for r in s])
             for s in (left, right)
         )
         may = (ca[:, None] != cb[None]) & t.sizes_fit(na[:, None], nb[None])
         i, j = np.nonzero(may)
-        near = np.bitwise_count(xa[i] ^ xb[j]).sum(axis=1, dtype=np.int64) <= t.most_differing(na[i] + nb[j])
+        near = _differing_bits([xa[k] for k in i], [xb[k] for k in j]) <= t.most_differing(na[i] + nb[j])
         i, j = i[near], j[near]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sa[i], sb[j])), pa.array(np.maximum(sa[i], sb[j]))], ["a", "b"])
 
@@ -263,7 +281,7 @@ def classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_col
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = checkpointed(d.mapInArrow(_index(words, t), _INDEX_DDL).repartition(parts, "route").mapInArrow(_drop_lone, _INDEX_DDL))
+    rows = stored(d.mapInArrow(_index(words, t), _INDEX_DDL).repartition(parts, "route").mapInArrow(_drop_lone, _INDEX_DDL).drop("route"))
     members = rows.where(F.col("flag") == _MEMBER).select(F.col("key").alias("id"), "sid", "n")
     lists = rows.where(F.col("flag") < _MEMBER).select("key", "sid").distinct()
 
@@ -272,14 +290,16 @@ def classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_col
     hubs = lists.join(held, "sid").groupBy("key").agg(F.max(F.struct("held", "sid")).alias("h")).select("key", F.col("h.sid").alias("hub"))
     stars = checkpointed(lists.join(hubs, "key").where("sid <> hub").select("hub", "sid").distinct())
 
-    wanted = stars.select("sid").union(stars.select("hub")).distinct()
-    reps = members.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")).select("id")
-    reps = checkpointed(reps)
-    few = reps.count() <= MAX_BROADCAST_IDS
-    texts = d.join(F.broadcast(reps) if few else reps, "id", "left_semi").select("text")
-    sets = checkpointed(texts.mapInArrow(_fetch(words), "sid long, n int, elements binary, sketch binary").dropDuplicates(["sid"]))
+    def fetch(wanted: DataFrame, full: bool) -> DataFrame:
+        """Each wanted set, from the text of the least id that has it."""
+        reps = checkpointed(members.join(wanted.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")).select("id"))
+        few = reps.count() <= MAX_BROADCAST_IDS
+        found = d.join(F.broadcast(reps) if few else reps, "id", "left_semi").select("text")
+        found = found.mapInArrow(_fetch(words, full), "sid long, elements binary" if full else "sid long, n int, sketch binary")
+        return found.dropDuplicates(["sid"])
 
-    links = checkpointed(_verified(stars.select(F.col("hub").alias("a"), F.col("sid").alias("b")), sets, t))
+    sketches = stored(fetch(stars.select("sid").union(stars.select("hub")), False))
+    links = checkpointed(_verified(_near(stars.toDF("a", "b"), sketches, t), fetch, t))
     roots = checkpointed(components(links))
 
     # what hubs do not account for: members of another class against all members
@@ -289,14 +309,14 @@ def classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_col
     placed = placed.join(top, "hub", "left").withColumn("open", F.col("class") != F.coalesce("hub_class", "hub"))
     size = placed.groupBy("hub").agg(F.count("*").alias("all"), F.count(F.when(F.col("open"), 1)).alias("opens")).where("opens > 0")
     size = size.select("hub", F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"), F.ceil(F.col("opens") / BLOCK).cast("int").alias("lefts"))
-    placed = placed.join(size, "hub").join(sets.select("sid", "n", "sketch"), "sid")
+    placed = placed.join(size, "hub").join(sketches, "sid")
     block = lambda of: F.pmod(F.xxhash64("sid"), F.col(of)).cast("int")
     left = placed.where("open").select("*", F.lit(0).alias("side"), block("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
     right = placed.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), block("rights").alias("j"))
     tiles = left.union(right.select(*left.columns)).select(F.xxhash64("hub", "i", "j").alias("g"), "side", "sid", "class", "n", "sketch")
     tiles = tiles.repartition(parts, "g").sortWithinPartitions("g")
     rest = tiles.mapInArrow(_compare_blocks(t), "a long, b long").distinct()
-    more = _verified(rest, sets, t)
+    more = _verified(rest, fetch, t)
     roots = components(roots.toDF("a", "b").union(more))
 
     least = members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least"))
