@@ -16,8 +16,8 @@ def parse_lines(lines: DataFrame, value: str = "value", keep_unlabelled: bool =
     ``keep_unlabelled`` (queries) keeps an empty list. Repeated labels and features stay.
     """
     line = F.regexp_replace(F.col(value), r"[\r\n]+$", "")
-    tokens = F.filter(F.split(line, r"[ \t]+"), lambda x: x != "")
-    first = F.get(tokens, 0)
+    tokens, first = F.col("__t"), F.get("__t", 0)
+    lines = lines.withColumn("__t", F.filter(F.split(line, r"[ \t]+"), lambda x: x != ""))
     bare = line.rlike(r"^[ \t]") | first.contains(":")
     pairs = F.when(bare, tokens).otherwise(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))))
     d = lines.withColumns({"__l": F.when(bare, F.lit("")).otherwise(first), "__p": F.filter(pairs, lambda x: x.rlike(r"^[^:]+:[^:]+$"))})
@@ -30,7 +30,7 @@ def parse_lines(lines: DataFrame, value: str = "value", keep_unlabelled: bool =
     )
     sound = ~F.exists("labels", lambda x: x.isNull()) & ~F.exists("features", lambda x: x["fid"].isNull() | x["val"].isNull())
     enough = F.size("features") > 0
-    return d.where(sound & enough & (F.lit(keep_unlabelled) | (F.size("labels") > 0))).drop("__l", "__p")
+    return d.where(sound & enough & (F.lit(keep_unlabelled) | (F.size("labels") > 0))).drop("__l", "__p", "__t")
 
 
 def read_dataset(spark: SparkSession, path: str, keep_unlabelled: bool = False) -> DataFrame:
