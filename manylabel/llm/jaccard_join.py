@@ -1,10 +1,13 @@
 """N-gram Jaccard join by set-relation skipping, exact, for sets of word shingles.
 
-Two relations between sets let work be skipped. *Index level*: a set is cut by hash range
-into numbered segments, more of them than the two sets of a link can differ in elements, so
-a link implies an equal segment at an equal position. Lists are kept for (size class, position,
-segment content), so a set only meets the block of its own position and size; lists of
-one set, nearly all, are dropped where they meet. *Answer level*: each list is answered
+Two relations between sets let work be skipped. *Index level*: shingles have one global order,
+rare ones first, and a set enters the lists of its first shingles only, so many that two sets
+of a link share a list. A list has two position blocks: early entries, and late ones that have too
+many shingles before them for two late entries to be the first that a link shares. Pairs inside
+the late block are skipped, and with them lists without early entries. Lists of
+one set, nearly all, are dropped where they meet. The order comes from a count sketch of fixed size over
+all sets; it decides how long lists get (a passage that many documents share comes last and is
+no list), never what links. *Answer level*: each list is answered
 through its hub, the set that most lists hold. A set that links to the hub takes over the
 hub's answer (its class), and what the hub's members would find among each other is skipped; only
 sets that the hub does not account for are compared with the hub's other members, in
@@ -26,10 +29,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ _U = np.uint64
 BUFFER_ROWS = 1_500_000
 #: Ids that are broadcast to fetch sets; a shuffle join does it beyond.
 MAX_BROADCAST_IDS = 1_000_000
+#: The count sketch has 2**18 buckets, dealt in blocks.
+COUNT_BITS, COUNT_BLOCK = 18, 1 << 14
 SKETCH_BITS, MAX_SKETCH_BITS, BLOCK = 1024, 1 << 17, 64
 
 
@@ -60,34 +66,55 @@ class Threshold:
         return self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
 
 
-@lru_cache(maxsize=8)
-def _classes(t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least size of each size class; segments and tolerated empty segments of the index for classes g and g + 1."""
-    low = [1]
-    while low[-1] < 1 << 40:
-        low.append(max(low[-1] + 1, -(-low[-1] * t.den // t.num)))
-    edge = np.array(low, np.int64)
-    differ = t.most_differing(edge[1:-1] + edge[2:] - 2)
-    spare = differ // 32
-    return edge[:-2], np.where(differ > 0, differ + 1 + spare, 0), spare
-
-
-def _list_keys(u: np.ndarray, t: Threshold) -> np.ndarray:
-    """The index lists that a set belongs to."""
-    low, segments, spare = _classes(t)
-    g = int(np.searchsorted(low, len(u), side="right")) - 1
-    mixed, high, out = mix(u), u >> _U(32), []
-    for kind in (g, g - 1):
-        if kind < 0 or not (m := int(segments[kind])):
-            continue
-        segment = high * _U(m) >> _U(32)
-        start = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        place = segment[start] + _U(kind << 40)
-        out.append(mix(np.add.reduceat(mixed, start) ^ mix(place)))
-        if m - len(start) > int(spare[kind]):  # equal empty segments may be all that a link implies
-            empty = np.setdiff1d(np.arange(m, dtype=_U), segment[start]) + _U(kind << 40)
-            out.append(mix(mix(empty) + _U(0x632BE59BD9B4E019)))
-    return np.concatenate(out) if out else np.empty(0, _U)
+def _bucket(u: np.ndarray) -> np.ndarray:
+    return (u >> _U(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _list_keys(u: np.ndarray, t: Threshold, rank: np.ndarray | None = None) -> np.ndarray:
+    """The index lists that a set belongs to: its first shingles in the order of ``rank`` (of sketch buckets) and hash.
+
+    Two sets of a link have ``ceil(num * n / den)`` shingles of either in common, so one that
+    leaves out fewer than that many of its last shingles cannot leave out all that are common.
+    """
+    n = len(u)
+    if t.most_differing(n + n * t.den // t.num) < 1:  # only copies link
+        return np.empty(0, _U)
+    order = np.argsort(u if rank is None else (rank[_bucket(u)] << _U(48)) | (mix(u) >> _U(16)), kind="stable")
+    return u[order[: n - -(-t.num * n // t.den) + 1]]
+
+
+def _late(n: int, many: int, t: Threshold) -> np.ndarray:
+    """Which of a set's first entries are late: what precedes two of them is more than a link can differ in."""
+    return np.arange(many) * (t.den + t.num) > n * (t.den - t.num)
+
+
+def _count_sets(n: int):
+    """Texts to one task's counts of shingles by sketch bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket(np.concatenate([*sets_of(batch.column(0), n), np.empty(0, _U)])), minlength=len(total))
+        for at in range(0, len(total), COUNT_BLOCK):
+            part = total[at : at + COUNT_BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // COUNT_BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+
+    return run
+
+
+def _add_counts(blocks: pd.DataFrame) -> pd.DataFrame:
+    total = sum((np.frombuffer(x, np.int64) for x in blocks["counts"]), np.zeros(COUNT_BLOCK, np.int64))
+    return pd.DataFrame({"block": blocks["block"].iloc[:1], "counts": [total.tobytes()]})
+
+
+def _ranks(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
+    """The place of each sketch bucket in the global order, rare first; the sketch's size is fixed whatever the corpus."""
+    blocks = docs.select(text).mapInArrow(_count_sets(n), "block int, counts binary")
+    total = np.zeros(1 << COUNT_BITS, np.int64)
+    for row in blocks.groupBy("block").applyInPandas(_add_counts, "block int, counts binary").collect():  # 2 MB in all
+        total[row["block"] * COUNT_BLOCK :][:COUNT_BLOCK] = np.frombuffer(row["counts"], np.int64)
+    return (np.log2(total + 1.0) * 256).astype(_U)
 
 
 def _set_id(u: np.ndarray) -> int:
@@ -99,25 +126,26 @@ _INDEX = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("sid", pa.int64
 _INDEX_DDL = "route long, key long, sid long, n int, flag byte"
 
 
-def _index(n: int, t: Threshold):
+def _index(n: int, t: Threshold, ranks: Broadcast):
     """Texts to list entries (dealt by list, but only one for each list and buffer) and to one member row each."""
 
-    def entries(keys: list[np.ndarray], sids: list[int]) -> Iterator[pa.RecordBatch]:
+    def entries(keys: list[np.ndarray], lates: list[np.ndarray], sids: list[int]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([*keys, np.empty(0, _U)]).view(np.int64)
         sid = np.repeat(np.array(sids, np.int64), [len(k) for k in keys])
-        order = np.argsort(key, kind="stable")
+        late = np.concatenate([*lates, np.empty(0, bool)])
+        order = np.lexsort((late, key))  # an early entry stands for a list of this buffer if there is one
         sorted_ = key[order]
         first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(key)]
         flag = np.empty(len(key), np.int8)  # back in the order of sets, whose repeated ids pack well
         flag[order] = np.where(first, np.where(np.concatenate([first[1:], [True]])[: len(key)], _ALONE, _SHARED), _DEALT)
         route = np.where(flag == _DEALT, sid, key)
-        none = np.zeros(len(key), np.int32)
+        late = late.astype(np.int32)
         for at in range(0, len(key), 50_000):
             cut = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (route, key, sid, none, flag)], schema=_INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (route, key, sid, late, flag)], schema=_INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids, seen, held = [], [], set(), 0
+        keys, lates, sids, seen, held = [], [], [], set(), 0
         for batch in batches:
             ids = batch.column(0)
             own = sets_of(batch.column(1), n)
@@ -127,20 +155,21 @@ def _index(n: int, t: Threshold):
             for u, s in zip(own, sid):
                 if s is not None and s not in seen:
                     seen.add(s)
-                    k = _list_keys(u, t)
+                    k = _list_keys(u, t, ranks.value)
                     keys.append(k)
+                    lates.append(_late(len(u), len(k), t))
                     sids.append(s)
                     held += len(k)
                     if held >= BUFFER_ROWS:
-                        yield from entries(keys, sids)
-                        keys, sids, seen, held = [], [], set(), 0
-        yield from entries(keys, sids)
+                        yield from entries(keys, lates, sids)
+                        keys, lates, sids, seen, held = [], [], [], set(), 0
+        yield from entries(keys, lates, sids)
 
     return run
 
 
 def _drop_lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of lists with at least two sets; member rows as they are."""
+    """Entries of lists with at least two sets, one of them early (``n`` is 1 for late entries); member rows as they are."""
     key, sid, n, flag = [], [], [], []
     for b in batches:
         f = b.column(4).to_numpy()
@@ -160,7 +189,8 @@ def _drop_lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
     differ = sid[start] != sid[start + size - 1]
-    keep = np.repeat(differ | (np.maximum.reduceat(flag, start) == _SHARED), size)
+    shared = np.maximum.reduceat(flag, start) == _SHARED
+    keep = np.repeat((differ | shared) & (np.minimum.reduceat(n, start) == 0), size)
     for at in range(0, len(key), 50_000):
         cut = slice(at, at + 50_000)
         k = keep[cut]
@@ -281,13 +311,15 @@ def classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_col
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = stored(d.mapInArrow(_index(words, t), _INDEX_DDL).repartition(parts, "route").mapInArrow(_drop_lone, _INDEX_DDL).drop("route"))
+    ranks = spark.sparkContext.broadcast(_ranks(d, words))
+    rows = stored(d.mapInArrow(_index(words, t, ranks), _INDEX_DDL).repartition(parts, "route").mapInArrow(_drop_lone, _INDEX_DDL).drop("route"))
     members = rows.where(F.col("flag") == _MEMBER).select(F.col("key").alias("id"), "sid", "n")
-    lists = rows.where(F.col("flag") < _MEMBER).select("key", "sid").distinct()
+    lists = rows.where(F.col("flag") < _MEMBER).groupBy("key", "sid").agg(F.min("n").alias("late"))
 
     # answer level: every list's hub
     held = lists.groupBy("sid").agg(F.count("*").alias("held"))
-    hubs = lists.join(held, "sid").groupBy("key").agg(F.max(F.struct("held", "sid")).alias("h")).select("key", F.col("h.sid").alias("hub"))
+    hubs = lists.join(held, "sid").groupBy("key").agg(F.max(F.struct("held", "sid")).alias("h"), F.min("late").alias("late"))
+    hubs = hubs.where("late = 0").select("key", F.col("h.sid").alias("hub"))
     stars = checkpointed(lists.join(hubs, "key").where("sid <> hub").select("hub", "sid").distinct())
 
     def fetch(wanted: DataFrame, full: bool) -> DataFrame:
