@@ -79,6 +79,26 @@ def test_index_meets_every_link():
                     assert np.intersect1d(j._list_keys(x, t), j._list_keys(y, t)).size
 
 
+def test_links_share_a_list_with_an_early_entry():
+    """Under any order of shingles, also one with many ties, a link's first common list has an early entry."""
+    rng = np.random.default_rng(7)
+    ranks = (None, rng.integers(0, 16000, 1 << j.COUNT_BITS).astype(np.uint64), rng.integers(0, 2, 1 << j.COUNT_BITS).astype(np.uint64))
+    links = 0
+    for t in (j.Threshold(9, 10), j.Threshold(4, 5)):
+        for size in (4, 5, 9, 10, 19, 40, 200):
+            for rank in ranks * 30:
+                x = rng.integers(0, 2**64, size, dtype=np.uint64)
+                differ = int(t.most_differing(2 * size))
+                y = np.concatenate([x[rng.integers(0, differ + 1) :], rng.integers(0, 2**64, rng.integers(0, differ + 1), dtype=np.uint64)])
+                x, y = np.unique(x), np.unique(y)
+                both = len(np.intersect1d(x, y))
+                if t.den * both >= t.num * (len(x) + len(y) - both) and not np.array_equal(x, y):
+                    links += 1
+                    early = [dict(zip(k.tolist(), (~j._late(len(u), len(k), t)).tolist())) for u in (x, y) for k in [j._list_keys(u, t, rank)]]
+                    assert any(early[0][k] or early[1][k] for k in early[0].keys() & early[1].keys())
+    assert links > 200
+
+
 def test_one_of_each_and_empty(spark):
     kept = {r["doc_id"] for r in j.one_of_each(documents(spark)).collect()}
     assert {1, 2, 6, 9, 12, None} <= kept and not {7, 8, 10} & kept
