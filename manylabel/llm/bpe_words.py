@@ -126,8 +126,22 @@ def _unpack(payload: bytes) -> list[bytes]:
     return out
 
 
-def _strings(blob: bytes) -> list[str]:
-    return blob.decode("utf-8", "surrogatepass").split("\0") if blob else []
+def _planes(numbers: np.ndarray, largest: int) -> list[np.ndarray]:
+    """Each byte of the numbers by itself, as many as the largest needs."""
+    return [(numbers >> shift & 255).astype(np.uint8) for shift in range(0, largest.bit_length(), 8)]
+
+
+def _pack_words(words: list[str]) -> bytes:
+    """UTF-8 bytes and their lengths: a word may hold any character, so none can separate them."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    return _pack(b"".join(raw), *_planes(lengths, int(lengths.max(initial=0))))
+
+
+def _unpack_words(payload: bytes) -> list[str]:
+    blob, *planes = _unpack(payload)
+    ends = np.cumsum(sum(np.frombuffer(x, np.uint8).astype(np.int64) << 8 * k for k, x in enumerate(planes))).tolist() if planes else []
+    return [blob[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
 
 
 def _split(path: str, buckets: int):
@@ -140,7 +154,7 @@ def _split(path: str, buckets: int):
         rank = np.empty(len(words), np.int64)
         rank[by_use] = np.arange(len(words))
         words, flat = [words[i] for i in by_use], rank[flat]
-        planes = [(flat >> shift & 255).astype(np.uint8) for shift in range(0, len(words).bit_length(), 8)]
+        planes = _planes(flat, len(words))
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int32, len(words))
         order = np.argsort(bucket, kind="stable")
         null = np.array([i is None for i in ids], np.uint8)
@@ -148,7 +162,7 @@ def _split(path: str, buckets: int):
         rows = [(number, number, _DOCS, _pack(key, null, np.array(lengths, np.int64), bucket, *planes))]
         at = 0
         for b, n in zip(*np.unique(bucket, return_counts=True)):
-            rows.append((int(b), number, int(b), _pack("\0".join([words[i] for i in order[at : at + n]]).encode("utf-8", "surrogatepass"))))
+            rows.append((int(b), number, int(b), _pack_words([words[i] for i in order[at : at + n]])))
             at += n
         for r in rows:  # one row for a batch: a block's documents may be large
             yield pa.RecordBatch.from_pylist([dict(zip(_ROW.names, r))], schema=_ROW)
@@ -182,7 +196,7 @@ def _encode_words(path: str):
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] != _DOCS:
-                    words = _strings(_unpack(row["payload"])[0])
+                    words = _unpack_words(row["payload"])
                     new = [w for w in words if w not in known]
                     for at in range(0, len(new), 10_000):
                         part = new[at : at + 10_000]

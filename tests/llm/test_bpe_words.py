@@ -35,6 +35,14 @@ def test_odd_texts(spark, tok, monkeypatch, rows):
     assert got(b.encode_decode(documents(spark))) == want(tok, texts())
 
 
+@pytest.mark.parametrize("rows", [10_000, 3])
+def test_words_that_hold_nul(spark, tok, monkeypatch, rows):
+    monkeypatch.setattr(b, "BLOCK_ROWS", rows)
+    given = [(100, "a\0b"), (101, "\0"), (102, "!\0? x \0\0"), (103, "w" * 70_000), *texts()]
+    d = spark.createDataFrame(given, "doc_id long, text string").coalesce(1)
+    assert got(b.encode_decode(d)) == want(tok, given)
+
+
 def test_whole_table(spark, sf, tok):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
