@@ -6,7 +6,7 @@ the same jobs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sigmoid, slot
@@ -111,6 +111,24 @@ def pair_gradients(features: DataFrame, bases: DataFrame, positives: DataFrame,
     return pairs.join(features, "row_id").groupBy("learner", "k", "fid").agg(F.sum(F.col("e") * F.col("val")).alias("g"))
 
 
+def dense_numbers(rows: DataFrame) -> DataFrame:
+    """``(row_id, number)``: distinct ids numbered 0 to n - 1 in their order, by a range partition and the partitions' offsets."""
+    # stored, as the offsets and the numbers must meet the same partitions
+    d = checkpointed(rows.select("row_id").repartitionByRange("row_id").withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = d.groupBy("__part").agg(F.count("*").alias("__n"))  # one row for each partition
+    offsets = offsets.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy("row_id")) - 1
+    return d.withColumn("__at", at).join(F.broadcast(offsets), "__part").select("row_id", (F.col("__before") + F.col("__at")).alias("number"))
+
+
+def drawn_negatives(own: DataFrame, numbered: DataFrame, n: int, num_nn: int, seed: int, epoch: int) -> DataFrame:
+    """``(row_id, other)``: ``num_nn`` uniform draws of each row from the ``n`` rows ``(row_id, number)``."""
+    drawn = own.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(num_nn - 1))).alias("slot"))
+    drawn = drawn.select("row_id", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "row_id", "slot"), F.lit(n)).alias("number"))
+    return drawn.join(numbered.select("number", F.col("row_id").alias("other")), "number").select("row_id", "other")
+
+
 def fit_pairwise(features: DataFrame, labels: DataFrame, k: int, learners: int = 1, epochs: int = 10, num_nn: int = 10, eta: float = 0.1, lam: float = 4.0, seed: int = 0, batches: int = 4, head_budget: int = 5000, normalize: bool = True) -> DataFrame:
     """Weights that keep label neighbours together, by mini-batches of FTRL steps.
 
@@ -124,7 +142,7 @@ def fit_pairwise(features: DataFrame, labels: DataFrame, k: int, learners: int =
     threshold = labelgraph.head_threshold(freq, n * head_budget)
     near = labelgraph.label_knn(labels, num_nn, normalize, pruned=labelgraph.prune_heads(labels, freq, threshold))
     positives = checkpointed(labelgraph.amplify(near, num_nn).select("row_id", F.col("neighbor").alias("other")))
-    numbered = checkpointed(rows.select("row_id", F.xxhash64(F.lit(seed), "row_id").alias("h")))
+    numbered = checkpointed(dense_numbers(rows).select("row_id", "number", F.xxhash64(F.lit(seed), "row_id").alias("h")))
     state = checkpointed(ftrl_state(initial_rows(features, k, learners, seed), eta, lam))
     for epoch in range(epochs):
         for b in range(batches):
@@ -132,11 +150,7 @@ def fit_pairwise(features: DataFrame, labels: DataFrame, k: int, learners: int =
             w = state.where(F.abs("w") > EPS).select("learner", "k", "fid", "w")
             batch_features = features.join(own, "row_id", "left_semi")
             base = nearest_cluster(batch_features, w, k, state.select("learner").distinct())
-            # uniform draws: a hash picks a bucket of rows, the bucket's least hash is drawn
-            drawn = own.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(num_nn - 1))).alias("slot"))
-            drawn = drawn.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "row_id", "slot"), F.lit(n)))
-            targets = numbered.groupBy(F.pmod("h", F.lit(n)).alias("bucket")).agg(F.min("row_id").alias("other"))
-            neg = drawn.join(targets, "bucket").select("row_id", "other")
+            neg = drawn_negatives(own, numbered, n, num_nn, seed, epoch)
             g = pair_gradients(features, base, positives.join(own, "row_id", "left_semi"), neg, w)
             state = checkpointed(ftrl_step(state, g.withColumn("g", F.col("g") / num_nn), eta, lam))
     return state.where(F.abs("w") > EPS).select("learner", "k", "fid", "w")

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,33 @@ def test_kmeans_objective_does_not_fall(spark):
     assert all(abs(r["n"] - 1) < 1e-9 for r in n)
 
 
+def test_every_draw_hits_one_row_and_every_row_can_be_hit(spark, monkeypatch):
+    n, num_nn = 400, 5
+    x = spark.createDataFrame([(3 * i + 1, i % 7, 1.0) for i in range(n)], "row_id long, fid int, val double")
+    labels = x.select("row_id", (F.col("fid") % 3).alias("label"))
+    seen = []
+    whole = partition.pair_gradients
+
+    def record(features, bases, positives, negatives, weights):
+        seen.extend((r["row_id"], r["other"]) for r in negatives.collect())
+        return whole(features, bases, positives, negatives, weights)
+
+    monkeypatch.setattr(partition, "pair_gradients", record)
+    partition.fit_pairwise(x, labels, 2, epochs=1, num_nn=num_nn, batches=2)
+    drawn = Counter(i for i, _ in seen)
+    assert drawn == {3 * i + 1: num_nn for i in range(n)}  # each row has all its draws
+    hit = {j for _, j in seen}
+    assert len(hit) > 0.98 * n  # 1 - exp(-5) of the rows on average; about 63 % before
+    assert max(Counter(j for _, j in seen).values()) < 20  # no row stands for others
+
+
+def test_dense_numbers(spark):
+    ids = [5, -3, 10**12, 0, 77, *range(1000, 3000, 3)]
+    got = {r["row_id"]: r["number"] for r in partition.dense_numbers(spark.createDataFrame([(i,) for i in ids], "row_id long").repartition(5)).collect()}
+    assert got == {x: i for i, x in enumerate(sorted(ids))}
+    assert partition.dense_numbers(spark.createDataFrame([], "row_id long")).count() == 0
+
+
 def test_ftrl_weight_is_zero_within_the_threshold(spark):
     s = spark.createDataFrame([(0, 0, 1, 0.5), (0, 0, 2, -0.25)], "learner int, k int, fid int, w double")
     g = spark.createDataFrame([(0, 0, 1, -6.0), (0, 0, 3, 9.0)], "learner int, k int, fid int, g double")
