@@ -1,12 +1,15 @@
 """License scans: TF-IDF cosine of notices to templates, then inheritance from directories.
 
-1. A document's notices are its lines with a licence cue (headers), and all of them together
-   (a licence file). Only their words move: the text is filtered in the scan's projection.
-2. Notices and templates are sparse TF-IDF vectors; term by term they meet in an equi-join with the
-   templates' terms, a table that the template list bounds. The best cosine of a
-   document is its own licence if it reaches the threshold.
-3. A document that opens or closes with a notice is a licence file and grants to its
-   directory. Directories' ancestors meet granting directories in a path join; the nearest wins.
+1. A document's notices are its windows of one to five lines that hold a licence cue (headers, also
+   wrapped ones), its paragraphs that do, its lines with a cue together and its whole text (a
+   licence file). Of documents without a cue only term counts move.
+2. Document frequencies are counted over all documents, summed before the shuffle, and kept for the terms
+   of notices and templates. Notices and templates are sparse TF-IDF vectors; term by term they
+   meet in an equi-join with the templates' terms, a table that the template list bounds. The
+   best cosine of a document is its own licence if it reaches the threshold.
+3. A document that opens or closes with a notice (its first or last line has a cue, or its best
+   notice stands there) is a licence file and grants to its directory. Directories' ancestors meet
+   granting directories in a path join; the nearest wins.
 
 Directories are joined as distinct paths, so one that holds a third of all documents is a
 single row until the last join, which only carries ids and which adaptive execution can split.
@@ -24,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, checkpointed, table
 
 #: (licence, notice); short public notices, fixed values.
 TEMPLATES = (
@@ -41,6 +44,10 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright: CC0 1.0 Universal."),
 )
 CUE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribut|waived"
+#: The same where a line break may stand inside.
+_WRAPPED = CUE.replace(" ", r"\s+(?:[#*/;-]+\s+)?")
+#: Lines of the largest window.
+WINDOW = 5
 THRESHOLD = 0.6
 _SPLIT = r"[^a-z0-9.-]+"
 
@@ -50,30 +57,61 @@ def _terms(c: Column) -> Column:
     return F.filter(F.transform(F.split(ascii_lower(c), _SPLIT), lambda x: F.regexp_replace(x, r"^[.-]+|[.-]+$", "")), lambda x: x != "")
 
 
-def _weights(counts: DataFrame, idf: DataFrame, unseen: float) -> DataFrame:
-    return counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+def _weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    return counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+
+
+def _trimmed(text: str) -> Column:
+    return F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n"))
+
+
+def _units(text: str) -> Column:
+    """The notices of a text, each with its number of lines and whether it opens or closes the text."""
+    whole = _trimmed(text)
+    lines, paragraphs = F.split(whole, "\n"), F.split(whole, r"\n[ \t\r]*\n")
+    unit = lambda line, n, edge: F.struct(line.alias("line"), n.cast("int").alias("n"), edge.alias("edge"))
+    places = lambda parts: F.sequence(F.lit(1), F.size(parts))
+    many = F.lit(2**31 - 1)
+
+    def from_line(i: Column) -> Column:
+        lengths = F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size(lines) - i + 1))
+        return F.transform(lengths, lambda n: unit(F.array_join(F.slice(lines, i, n), "\n"), n, (i == 1) | (i + n - 1 == F.size(lines))))
+
+    windows = F.flatten(F.transform(places(lines), from_line))
+    blocks = F.transform(places(paragraphs), lambda i: unit(F.element_at(paragraphs, i), many, (i == 1) | (i == F.size(paragraphs))))
+    cues = F.array_join(F.filter(lines, lambda x: x.rlike(CUE)), "\n")
+    rest = F.array(unit(cues, many, F.lit(False)), unit(whole, many, F.lit(False)))
+    return F.concat(F.filter(F.concat(windows, blocks), lambda u: u["line"].rlike(_WRAPPED)), rest)
+
+
+def _document_frequencies(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
+    """``(term, idf)`` of the needed terms over all documents; a term of none has the largest weight."""
+    n = docs.agg(F.count("*").alias("n"))
+    tokens = F.array_distinct(F.split(ascii_lower(F.col(text)), _SPLIT))  # most repeats go before the dots are looked at
+    terms = F.array_distinct(F.transform(tokens, lambda x: F.regexp_replace(x, r"^[.-]+|[.-]+$", "")))
+    df = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    d = needed.join(df, "term", "left").join(F.broadcast(n))
+    return d.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", key: str = "__key") -> DataFrame:
-    """``(key, own_license, own_score)`` for the documents whose best notice reaches the threshold."""
-    spark, n = docs.sparkSession, float(len(templates))
+    """``(key, own_license, own_score, own_edge)`` for the documents whose best notice reaches the threshold; ``own_edge``: it opens or closes the text."""
+    spark = docs.sparkSession
     t = spark.createDataFrame([(i, name, notice) for i, (name, notice) in enumerate(templates)], "t int, license string, notice string")
     t = t.select("t", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("t", "license", "term").agg(F.count("*").alias("tf"))
-    idf = t.groupBy("term").agg((F.log((1.0 + n) / (1.0 + F.count("*"))) + 1.0).alias("idf"))
-    unseen = spark.range(1).select(F.log(F.lit(1.0 + n)) + 1.0).first()[0]
-    tw = _weights(t, idf, unseen)
+    d = docs.where(F.col(text).rlike(_WRAPPED)).select(key, F.posexplode(_units(text)).alias("unit", "u"))
+    d = d.select(key, "unit", "u.n", "u.edge", F.explode(_terms(F.col("u.line"))).alias("term"))
+    counts = d.groupBy(key, "unit", "n", "edge", "term").agg(F.count("*").alias("tf"))
+    idf = checkpointed(_document_frequencies(docs, text, t.select("term").union(d.select("term")).distinct()))
+    tw = _weights(t, idf)
     tw = tw.join(F.broadcast(tw.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))), "t").select("t", "license", "term", F.col("w").alias("tw"), "tn")
-
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(CUE))
-    d = docs.where(F.col(text).rlike(CUE)).select(key, lines.alias("lines"))
-    units = F.array_distinct(F.concat(F.col("lines"), F.array(F.array_join("lines", "\n"))))
-    d = d.select(key, F.posexplode(units).alias("unit", "line")).select(key, "unit", F.explode(_terms(F.col("line"))).alias("term"))
-    uw = _weights(d.groupBy(key, "unit", "term").agg(F.count("*").alias("tf")), idf, unseen)
+    uw = _weights(counts, idf)
     norm = uw.groupBy(key, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("un"))
-    dot = uw.join(F.broadcast(tw), "term").groupBy(key, "unit", "t", "license").agg((F.sum(F.col("w") * F.col("tw")) / F.max("tn")).alias("dot"))
-    cosine = dot.join(norm, [key, "unit"]).select(key, "license", F.round(F.col("dot") / F.col("un"), 6).alias("score"))
-    best = cosine.where(F.col("score") >= threshold).groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return best.select(key, F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
+    dot = uw.join(F.broadcast(tw), "term").groupBy(key, "unit", "n", "edge", "t", "license").agg((F.sum(F.col("w") * F.col("tw")) / F.max("tn")).alias("dot"))
+    cosine = dot.join(norm, [key, "unit"]).select(key, "license", "n", "edge", F.round(F.col("dot") / F.col("un"), 6).alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), "license", "n", (~F.col("edge")).alias("inside"))).alias("b")
+    best = cosine.where(F.col("score") >= threshold).groupBy(key).agg(best)
+    return best.select(key, F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), (~F.col("b.inside")).alias("own_edge"))
 
 
 def directory_of(path: Column) -> Column:
@@ -84,10 +122,11 @@ def inherit(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, t
     """All input columns, ``own_license``, ``own_score``, ``license`` and ``granted_by`` (the directory that a licence is inherited from)."""
     made = ("own_license", "own_score", "license", "granted_by")
     d = docs.drop(*made).withColumn("__key", F.xxhash64(F.col(id_column).cast("string"), F.col(text)))
-    own = scan(d, templates, threshold, text)
-    ends = F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n")), "\n")
-    is_file = F.element_at(ends, 1).rlike(CUE) | F.element_at(ends, -1).rlike(CUE)
-    files = d.where(F.col(text).rlike(CUE)).where(is_file).select("__key", F.col(path).alias("__path")).join(own, "__key").where("__path IS NOT NULL")
+    found = scan(d, templates, threshold, text)
+    own = found.drop("own_edge")
+    ends = F.split(_trimmed(text), "\n")
+    ends_on_cue = F.element_at(ends, 1).rlike(CUE) | F.element_at(ends, -1).rlike(CUE)
+    files = d.where(F.col(text).rlike(_WRAPPED)).select("__key", F.col(path).alias("__path"), ends_on_cue.alias("__ends")).join(found, "__key").where("__path IS NOT NULL AND (__ends OR own_edge)")
     grants = files.groupBy(directory_of(F.col("__path")).alias("granting")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "__path", "own_license")).alias("g"))
     grants = grants.select("granting", F.col("g.own_license").alias("given"))
     dirs = d.where(F.col(path).isNotNull()).select(directory_of(F.col(path)).alias("__dir")).distinct()

@@ -80,6 +80,20 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert license_scans.inherit(d.limit(0)).count() == 0
 
 
+def test_wrapped_and_wordy_notices_count(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    mit = "# Permission is\n# hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files to deal"
+    rows = [
+        (1, mpl, "/m/a.txt"), (2, "code", "/m/b/c.txt"), (3, "This file and all of its parts are released under the MIT License.", "/w/a.txt"),
+        (4, "code", "/w/c.txt"), (5, f"x = 1\n{mpl}\ny = 2", "/n/a.txt"), (6, "code", "/n/c.txt"), (7, mit, "/p/a.txt"),
+    ]
+    common = "this and all of its parts are in the file that we read under the lamp with a copy at one if not was terms form you can"
+    rows += [(100 + i, f"{common} {i}", f"/z/{i}") for i in range(200)]
+    got = {r["doc_id"]: (r["own_license"], r["license"]) for r in license_scans.inherit(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert [got[i] for i in range(1, 8)] == [("MPL-2.0",) * 2, (None, "MPL-2.0"), ("MIT",) * 2, (None, "MIT"), ("MPL-2.0",) * 2, (None, None), ("MIT",) * 2]
+    assert all(got[100 + i] == (None, None) for i in range(200))
+
+
 def test_mixing_meets_its_targets(spark):
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "big").when(F.col("id") < 4050, "rare").otherwise("mid").alias("source"))
     targets = {"big": 0.2, "rare": 0.5}
