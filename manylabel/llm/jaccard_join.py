@@ -1,38 +1,47 @@
 """N-gram Jaccard join by set-relation skipping, exact, for sets of word shingles.
 
-Two relations between sets let work be skipped. *Index level*: shingles have one global order,
-rare ones first, and a set enters the lists of its first shingles only, so many that two sets
-of a link share a list. A list has two position blocks: early entries, and late ones that have too
-many shingles before them for two late entries to be the first that a link shares. Pairs inside
-the late block are skipped, and with them lists without early entries. Lists of
-one set, nearly all, are dropped where they meet. The order comes from a count sketch of fixed size over
-all sets; it decides how long lists get (a passage that many documents share comes last and is
-no list), never what links. *Answer level*: each list is answered
-through its hub, the set that most lists hold. A set that links to the hub takes over the
-hub's answer (its class), and what the hub's members would find among each other is skipped; only
-sets that the hub does not account for are compared with the hub's other members, in
-blocks, by a bit sketch that cannot lose a link, and then by their shingles.
+Two relations between sets let work be skipped.
+
+*Index level.* Shingles have one global order, rare ones first, and a set enters the lists of its
+first shingles only, so many that two sets of a link share a list. An entry holds the set's size
+and the shingle's position in it. What stands behind two positions bounds what the sets can still have in
+common, so whole blocks of a list are skipped: a list without early entries goes where it
+meets, later pairs are formed by blocks of sizes, and in a block only where the positions leave
+enough. Lists of one set, nearly all, go too. The order comes from a count sketch of fixed size over all
+sets; it decides how long lists get (a passage that many documents share comes last and is no
+list), never what links.
+
+*Answer level.* Each list is answered first for one set, its hub (the least set id, so that a group of
+similar sets has one hub in nearly all its lists): how much every member differs from it. The others' answers
+are derived from the hub's. A member that links to the hub takes over the hub's class. Only members
+that do not are compared with the list's others, and of these a linked one is left out if
+the two differ from the hub by so different amounts that they cannot link. What is left is compared by a
+bit sketch that cannot lose a link, and then by its shingles.
 
 Copies (equal sets) are one set from the start. No task gathers a group: lists enter a shuffle
-once for each task, further members of a list are dealt by their own hash, hubs come
-from partial aggregates, joins on hubs are plain joins that adaptive execution splits, and
-comparisons are dealt in blocks of 64 by 64 sets. There are no caps: whatever the group's
-size, every pair of different sets that could link is either of one class already or compared.
+once for each task, further members of a list are dealt by their own hash, hubs come from
+partial aggregates, joins on lists are plain joins that adaptive execution splits, and comparisons
+are dealt in blocks of 64 by 64 sets of a list. There are no caps: whatever the group's size, every pair of
+different sets that could link is either of one class already or compared.
+
+Sets and shingles are known by 64-bit hashes of their words.
 
 Defined results: a null text or one without words has no set and links with nothing; fewer words
-than a shingle make one shingle; a null id stays null and is nobody's class id unless all are;
-repeated rows are copies; an empty table gives an empty table; other columns are ignored.
+than a shingle make one shingle; a null id stays null and is nobody's class id unless all are, but
+its text links others; repeated rows are copies; an empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +55,8 @@ _U = np.uint64
 BUFFER_ROWS = 1_500_000
 #: Ids that are broadcast to fetch sets; a shuffle join does it beyond.
 MAX_BROADCAST_IDS = 1_000_000
-#: The count sketch has 2**18 buckets, dealt in blocks.
-COUNT_BITS, COUNT_BLOCK = 18, 1 << 14
+#: The count sketch has 2**21 buckets, dealt in blocks; a task packs its counts.
+COUNT_BITS, COUNT_BLOCK = 21, 1 << 16
 SKETCH_BITS, MAX_SKETCH_BITS, BLOCK = 1024, 1 << 17, 64
 
 
@@ -79,13 +88,21 @@ def _list_keys(u: np.ndarray, t: Threshold, rank: np.ndarray | None = None) -> n
     n = len(u)
     if t.most_differing(n + n * t.den // t.num) < 1:  # only copies link
         return np.empty(0, _U)
-    order = np.argsort(u if rank is None else (rank[_bucket(u)] << _U(48)) | (mix(u) >> _U(16)), kind="stable")
+    order = np.argsort(u if rank is None else (rank[_bucket(u)].astype(_U) << _U(48)) | (mix(u) >> _U(16)), kind="stable")
     return u[order[: n - -(-t.num * n // t.den) + 1]]
 
 
-def _late(n: int, many: int, t: Threshold) -> np.ndarray:
-    """Which of a set's first entries are late: what precedes two of them is more than a link can differ in."""
-    return np.arange(many) * (t.den + t.num) > n * (t.den - t.num)
+def _late(n: np.ndarray, at: np.ndarray, t: Threshold) -> np.ndarray:
+    """Which entries are late: what precedes two of them is more than a link can differ in."""
+    return at * (t.den + t.num) > n * (t.den - t.num)
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.int64).tobytes())
+
+
+def _unpacked_counts(payload: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.int64)
 
 
 def _count_sets(n: int):
@@ -98,23 +115,37 @@ def _count_sets(n: int):
         for at in range(0, len(total), COUNT_BLOCK):
             part = total[at : at + COUNT_BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // COUNT_BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([at // COUNT_BLOCK], pa.int32()), pa.array([_packed_counts(part)], pa.binary())], ["block", "counts"])
 
     return run
 
 
-def _add_counts(blocks: pd.DataFrame) -> pd.DataFrame:
-    total = sum((np.frombuffer(x, np.int64) for x in blocks["counts"]), np.zeros(COUNT_BLOCK, np.int64))
-    return pd.DataFrame({"block": blocks["block"].iloc[:1], "counts": [total.tobytes()]})
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block to one for each; one sum is held, however many tasks counted."""
+
+    def out(block: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_packed_counts(total)], pa.binary())], ["block", "counts"])
+
+    block, total = None, None
+    for batch in batches:
+        for b, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != block:
+                if block is not None:
+                    yield out(block, total)
+                block, total = b, np.zeros(COUNT_BLOCK, np.int64)
+            total += _unpacked_counts(counts)
+    if block is not None:
+        yield out(block, total)
 
 
 def _ranks(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
     """The place of each sketch bucket in the global order, rare first; the sketch's size is fixed whatever the corpus."""
-    blocks = docs.select(text).mapInArrow(_count_sets(n), "block int, counts binary")
+    schema, parts = "block int, counts binary", (1 << COUNT_BITS) // COUNT_BLOCK
+    blocks = docs.select(text).mapInArrow(_count_sets(n), schema).repartition(parts, "block").sortWithinPartitions("block")
     total = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in blocks.groupBy("block").applyInPandas(_add_counts, "block int, counts binary").collect():  # 2 MB in all
-        total[row["block"] * COUNT_BLOCK :][:COUNT_BLOCK] = np.frombuffer(row["counts"], np.int64)
-    return (np.log2(total + 1.0) * 256).astype(_U)
+    for row in blocks.mapInArrow(_add_counts, schema).collect():  # 16 MB before packing
+        total[row["block"] * COUNT_BLOCK :][:COUNT_BLOCK] = _unpacked_counts(row["counts"])
+    return (np.log2(total + 1.0) * 256).astype(np.uint16)
 
 
 def _set_id(u: np.ndarray) -> int:
@@ -122,79 +153,82 @@ def _set_id(u: np.ndarray) -> int:
 
 
 _ALONE, _SHARED, _DEALT, _MEMBER = 0, 1, 2, 3
-_INDEX = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("flag", pa.int8())])
-_INDEX_DDL = "route long, key long, sid long, n int, flag byte"
+#: ``n`` is the set's size; in list entries the shingle's position stands above its 32 bits.
+_INDEX = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("flag", pa.int8())])
+_INDEX_DDL = "route long, key long, sid long, n long, flag byte"
 
 
 def _index(n: int, t: Threshold, ranks: Broadcast):
     """Texts to list entries (dealt by list, but only one for each list and buffer) and to one member row each."""
 
-    def entries(keys: list[np.ndarray], lates: list[np.ndarray], sids: list[int]) -> Iterator[pa.RecordBatch]:
+    def entries(keys: list[np.ndarray], sizes: list[int], sids: list[int]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([*keys, np.empty(0, _U)]).view(np.int64)
-        sid = np.repeat(np.array(sids, np.int64), [len(k) for k in keys])
-        late = np.concatenate([*lates, np.empty(0, bool)])
-        order = np.lexsort((late, key))  # an early entry stands for a list of this buffer if there is one
+        many = [len(k) for k in keys]
+        sid, size = np.repeat(np.array(sids, np.int64), many), np.repeat(np.array(sizes, np.int64), many)
+        at = np.concatenate([*map(np.arange, many), np.empty(0, np.int64)])
+        order = np.lexsort((_late(size, at, t), key))  # an early entry stands for a list of this buffer if there is one
         sorted_ = key[order]
         first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(key)]
         flag = np.empty(len(key), np.int8)  # back in the order of sets, whose repeated ids pack well
         flag[order] = np.where(first, np.where(np.concatenate([first[1:], [True]])[: len(key)], _ALONE, _SHARED), _DEALT)
         route = np.where(flag == _DEALT, sid, key)
-        late = late.astype(np.int32)
-        for at in range(0, len(key), 50_000):
-            cut = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (route, key, sid, late, flag)], schema=_INDEX)
+        for a in range(0, len(key), 50_000):
+            cut = slice(a, a + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (route, key, sid, at << 32 | size, flag)], schema=_INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, lates, sids, seen, held = [], [], [], set(), 0
+        keys, sizes, sids, seen, held = [], [], [], set(), 0
         for batch in batches:
             ids = batch.column(0)
             own = sets_of(batch.column(1), n)
             sid = [_set_id(u) if len(u) else None for u in own]
-            size = np.array([len(u) for u in own], np.int32)
+            size = np.array([len(u) for u in own], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own)) * 7919 + len(sids)), ids, pa.array(sid, pa.int64()), pa.array(size), pa.array(np.full(len(own), _MEMBER, np.int8))], schema=_INDEX)
             for u, s in zip(own, sid):
                 if s is not None and s not in seen:
                     seen.add(s)
                     k = _list_keys(u, t, ranks.value)
                     keys.append(k)
-                    lates.append(_late(len(u), len(k), t))
+                    sizes.append(len(u))
                     sids.append(s)
                     held += len(k)
                     if held >= BUFFER_ROWS:
-                        yield from entries(keys, lates, sids)
-                        keys, lates, sids, seen, held = [], [], [], set(), 0
-        yield from entries(keys, lates, sids)
+                        yield from entries(keys, sizes, sids)
+                        keys, sizes, sids, seen, held = [], [], [], set(), 0
+        yield from entries(keys, sizes, sids)
 
     return run
 
 
-def _drop_lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of lists with at least two sets, one of them early (``n`` is 1 for late entries); member rows as they are."""
-    key, sid, n, flag = [], [], [], []
-    for b in batches:
-        f = b.column(4).to_numpy()
-        listed = f <= _SHARED
-        if not listed.all():
-            yield b.filter(pa.array(~listed))
-        c = [b.column(i).filter(pa.array(listed)).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4)]
-        for kept, x in zip((key, sid, n, flag), c):
-            kept.append(x)
-    if not key:
-        return
-    key, sid, n, flag = map(np.concatenate, (key, sid, n, flag))
-    order = np.lexsort((sid, key))
-    key, sid, n, flag = key[order], sid[order], n[order], flag[order]
-    if not len(key):
-        return
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(start, len(key)))
-    differ = sid[start] != sid[start + size - 1]
-    shared = np.maximum.reduceat(flag, start) == _SHARED
-    keep = np.repeat((differ | shared) & (np.minimum.reduceat(n, start) == 0), size)
-    for at in range(0, len(key), 50_000):
-        cut = slice(at, at + 50_000)
-        k = keep[cut]
-        yield pa.RecordBatch.from_arrays([pa.array(x[cut][k]) for x in (key, key, sid, n.astype(np.int32), flag.astype(np.int8))], schema=_INDEX)
+def _drop_lone(t: Threshold):
+    """Of rows sorted by key, the entries of lists with at least two sets, one of them early; member rows as they are."""
+
+    def lists(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, sid, n, flag = (rows.column(k).to_numpy() for k in (1, 2, 3, 4))
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        several = np.minimum.reduceat(sid, start) != np.maximum.reduceat(sid, start)
+        shared = np.maximum.reduceat(flag, start) == _SHARED
+        late = np.logical_and.reduceat(_late(n & 0xFFFFFFFF, n >> 32, t), start)
+        keep = np.repeat((several | shared) & ~late, np.diff(np.append(start, len(key))))
+        yield from rows.filter(pa.array(keep)).to_batches(max_chunksize=50_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _INDEX.empty_table()  # the rows of the last key
+        for b in batches:
+            listed = b.column(4).to_numpy() <= _SHARED
+            if not listed.all():
+                yield b.filter(pa.array(~listed))
+            rows = pa.concat_tables([held, pa.Table.from_batches([b.filter(pa.array(listed))]).cast(_INDEX)])
+            if rows.num_rows:
+                key = rows.column(1).to_numpy()
+                cut = int(np.argmax(key == key[-1]))
+                if cut:
+                    yield from lists(rows.slice(0, cut))
+                held = rows.slice(cut)
+        if held.num_rows:
+            yield from lists(held)
+
+    return run
 
 
 def _sketch(u: np.ndarray) -> bytes:
@@ -233,62 +267,68 @@ def _fetch(n: int, full: bool):
     return run
 
 
-def _near_sketches(t: Threshold):
+_SCORED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("low", pa.int64()), ("near", pa.bool_())])
+
+
+def _score(t: Threshold):
+    """Pairs with sizes and sketches to the least number of elements that they differ in, and whether that leaves room for a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             na, nb = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64)
-            near = _differing_bits(b.column(4).to_pylist(), b.column(5).to_pylist()) <= t.most_differing(na + nb)
-            yield b.select([0, 1]).filter(pa.array(near))
+            low = np.maximum(_differing_bits(b.column(4).to_pylist(), b.column(5).to_pylist()), abs(na - nb))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low), pa.array((low <= t.most_differing(na + nb)) & t.sizes_fit(na, nb))], schema=_SCORED)
 
     return run
 
 
 def _linked(t: Threshold):
+    """Pairs with their elements to the links among them, with the number of elements that each differs in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
+            keep, differ = [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 u, v = np.frombuffer(x, _U), np.frombuffer(y, _U)
                 both = np.concatenate([u, v])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(t.den * common >= t.num * (len(both) - common))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                differ.append(len(both) - 2 * common)
+            links = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(differ, pa.int64())], ["a", "b", "differ"])
+            yield links.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs ``(a, b)`` that may link by their sizes and sketches."""
-    p = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
-    p = p.where(f"{t.den} * least(na, nb) >= {t.num} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
-    return p.mapInArrow(_near_sketches(t), "a long, b long")
-
-
 def _verified(near: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], t: Threshold) -> DataFrame:
-    """The pairs that link by their elements; only the sets of these pairs are read again."""
+    """``(a, b, differ)`` of the pairs that link by their elements; only the sets of these pairs are read again."""
     near = checkpointed(near)
     full = stored(fetch(near.select("a").union(near.select("b")).toDF("sid"), True))
     p = near.join(full.toDF("a", "ea"), "a").join(full.toDF("b", "eb"), "b").select("a", "b", "ea", "eb")
-    return p.mapInArrow(_linked(t), "a long, b long")
+    return p.mapInArrow(_linked(t), "a long, b long, differ long")
 
 
 def _compare_blocks(t: Threshold):
-    """Rows ``(group, side, sid, class, n, sketch)`` sorted by group to the pairs of the two sides that may link."""
+    """Rows ``(group, side, sid, class, n, at, low, differ, sketch)`` sorted by group to the pairs of the two sides that may link.
+
+    ``low`` and ``differ`` are what is known of the set and its hub: at least, and exactly (null for a set that does not link to it).
+    """
 
     def compare(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         left, right = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
         if not left or not right:
             return
-        (sa, ca, na, xa), (sb, cb, nb, xb) = (
-            (np.array([r[2] for r in s], np.int64), np.array([r[3] for r in s], np.int64), np.array([r[4] for r in s], np.int64), [r[5] for r in s])
-            for s in (left, right)
-        )
-        may = (ca[:, None] != cb[None]) & t.sizes_fit(na[:, None], nb[None])
+        (sa, ca, na, ia, la), (sb, cb, nb, ib, _) = ([np.array([r[k] for r in side], np.int64) for k in (2, 3, 4, 5, 6)] for side in (left, right))
+        upper = np.array([2**40 if r[7] is None else r[7] for r in right], np.int64)
+        sizes = na[:, None] + nb
+        may = (ca[:, None] != cb) & t.sizes_fit(na[:, None], nb)
+        may &= np.minimum((na - ia)[:, None], nb - ib) * (t.num + t.den) >= t.num * sizes  # what stands at the positions and behind
+        may &= la[:, None] - upper <= t.most_differing(sizes)  # what the hub's answers say
         i, j = np.nonzero(may)
-        near = _differing_bits([xa[k] for k in i], [xb[k] for k in j]) <= t.most_differing(na[i] + nb[j])
+        near = _differing_bits([left[k][8] for k in i], [right[k][8] for k in j]) <= t.most_differing(na[i] + nb[j])
         i, j = i[near], j[near]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sa[i], sb[j])), pa.array(np.maximum(sa[i], sb[j]))], ["a", "b"])
 
@@ -305,64 +345,106 @@ def _compare_blocks(t: Threshold):
     return run
 
 
-def classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: ``id``, ``n_shingles`` (size of its set) and ``class_id`` (least id that links reach)."""
-    t = Threshold(num, den)
+def _placed(docs: DataFrame, words: int, t: Threshold, id_column: str, text: str) -> DataFrame:
+    """One row for each document: ``id``, ``sid`` (its set), ``n``, ``root`` (its class) and ``class_id``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     ranks = spark.sparkContext.broadcast(_ranks(d, words))
-    rows = stored(d.mapInArrow(_index(words, t, ranks), _INDEX_DDL).repartition(parts, "route").mapInArrow(_drop_lone, _INDEX_DDL).drop("route"))
+    rows = d.mapInArrow(_index(words, t, ranks), _INDEX_DDL).repartition(parts, "route").sortWithinPartitions("key")
+    rows = stored(rows.mapInArrow(_drop_lone(t), _INDEX_DDL).drop("route"))
     members = rows.where(F.col("flag") == _MEMBER).select(F.col("key").alias("id"), "sid", "n")
-    lists = rows.where(F.col("flag") < _MEMBER).groupBy("key", "sid").agg(F.min("n").alias("late"))
+    lists = rows.where(F.col("flag") < _MEMBER).groupBy("key", "sid").agg(F.min("n").alias("entry"))
+    lists = lists.select("key", "sid", F.expr("entry & 4294967295").alias("n"), F.shiftright("entry", 32).alias("at"))
 
-    # answer level: every list's hub
-    held = lists.groupBy("sid").agg(F.count("*").alias("held"))
-    hubs = lists.join(held, "sid").groupBy("key").agg(F.max(F.struct("held", "sid")).alias("h"), F.min("late").alias("late"))
-    hubs = hubs.where("late = 0").select("key", F.col("h.sid").alias("hub"))
-    stars = checkpointed(lists.join(hubs, "key").where("sid <> hub").select("hub", "sid").distinct())
+    # each list's hub and what its members differ from it
+    early = F.min(F.col("at") * (t.den + t.num) - F.col("n") * (t.den - t.num)) <= 0
+    hubs = lists.groupBy("key").agg(F.min("sid").alias("hub"), F.count("*").alias("many"), early.alias("early")).where("early AND many > 1")
+    entries = stored(lists.join(hubs, "key").where("sid <> hub").select("key", "hub", "sid", "n", "at", (F.col("many") > 2).alias("more")))
+    stars = entries.select("hub", "sid").distinct()
 
     def fetch(wanted: DataFrame, full: bool) -> DataFrame:
-        """Each wanted set, from the text of the least id that has it."""
-        reps = checkpointed(members.join(wanted.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")).select("id"))
-        few = reps.count() <= MAX_BROADCAST_IDS
-        found = d.join(F.broadcast(reps) if few else reps, "id", "left_semi").select("text")
-        found = found.mapInArrow(_fetch(words, full), "sid long, elements binary" if full else "sid long, n int, sketch binary")
-        return found.dropDuplicates(["sid"])
-
-    sketches = stored(fetch(stars.select("sid").union(stars.select("hub")), False))
-    links = checkpointed(_verified(_near(stars.toDF("a", "b"), sketches, t), fetch, t))
+        """Each wanted set, from the text of the least id that has it, or from the texts without id."""
+        wanted = checkpointed(wanted.distinct())
+        reps = checkpointed(members.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")))
+        ids, few = reps.where("id IS NOT NULL").select("id").distinct(), reps.count() <= MAX_BROADCAST_IDS
+        found = d.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+        if reps.where("id IS NULL").take(1):
+            found = found.union(d.where("id IS NULL").select("text"))
+        schema = "sid long, elements binary" if full else "sid long, n int, sketch binary"
+        return found.mapInArrow(_fetch(words, full), schema).join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+
+    sketches = stored(fetch(entries.select("sid").union(entries.select("hub")), False))
+    pairs = stars.toDF("a", "b").join(sketches.toDF("a", "na", "xa"), "a").join(sketches.toDF("b", "nb", "xb"), "b")
+    scored = checkpointed(pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_score(t), "a long, b long, low long, near boolean"))
+    links = checkpointed(_verified(scored.where("near").select("a", "b"), fetch, t))
     roots = checkpointed(components(links))
 
-    # what hubs do not account for: members of another class against all members
-    placed = stars.union(stars.select("hub", F.col("hub").alias("sid")).distinct())
-    placed = placed.join(roots.toDF("sid", "class"), "sid", "left").withColumn("class", F.coalesce("class", "sid"))
-    top = roots.toDF("hub", "hub_class")
-    placed = placed.join(top, "hub", "left").withColumn("open", F.col("class") != F.coalesce("hub_class", "hub"))
-    size = placed.groupBy("hub").agg(F.count("*").alias("all"), F.count(F.when(F.col("open"), 1)).alias("opens")).where("opens > 0")
-    size = size.select("hub", F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"), F.ceil(F.col("opens") / BLOCK).cast("int").alias("lefts"))
-    placed = placed.join(size, "hub").join(sketches, "sid")
+    # what hubs do not account for: members of another class against the list's others, by bands of sizes
+    told = scored.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "low").join(links.toDF("hub", "sid", "differ"), ["hub", "sid"], "left")
+    told = told.join(roots.toDF("sid", "class"), "sid", "left").join(roots.toDF("hub", "hub_class"), "hub", "left")
+    told = told.select("hub", "sid", "low", "differ", F.coalesce("class", "sid").alias("class"), (F.coalesce("class", "sid") != F.coalesce("hub_class", "hub")).alias("open"))
+    others = stored(entries.where("more").join(told, ["hub", "sid"]).drop("hub", "more").withColumn("band", F.floor(F.log("n") / (1.001 * math.log(t.den / t.num))).cast("int")))
+    left = others.where("open")
+    right = others.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    size = left.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lefts"))
+    size = size.join(right.groupBy("key", "band").agg(F.count("*").alias("all")).where("all > 1"), ["key", "band"])
+    size = checkpointed(size.select("key", "band", "lefts", F.ceil(F.col("all") / BLOCK).cast("int").alias("rights")))
     block = lambda of: F.pmod(F.xxhash64("sid"), F.col(of)).cast("int")
-    left = placed.where("open").select("*", F.lit(0).alias("side"), block("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
-    right = placed.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), block("rights").alias("j"))
-    tiles = left.union(right.select(*left.columns)).select(F.xxhash64("hub", "i", "j").alias("g"), "side", "sid", "class", "n", "sketch")
+    left = left.join(size, ["key", "band"]).select("*", F.lit(0).alias("side"), block("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
+    right = right.join(size, ["key", "band"]).select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), block("rights").alias("j"))
+    tiles = left.union(right.select(*left.columns)).withColumn("g", F.xxhash64("key", "band", "i", "j"))
+    tiles = tiles.join(sketches.select("sid", "sketch"), "sid").select("g", "side", "sid", "class", "n", "at", "low", "differ", "sketch")
     tiles = tiles.repartition(parts, "g").sortWithinPartitions("g")
-    rest = tiles.mapInArrow(_compare_blocks(t), "a long, b long").distinct()
-    more = _verified(rest, fetch, t)
-    roots = components(roots.toDF("a", "b").union(more))
+    more = _verified(tiles.mapInArrow(_compare_blocks(t), "a long, b long").distinct(), fetch, t)
+    roots = components(roots.toDF("a", "b").union(more.select("a", "b")))
 
     least = members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least"))
     least = least.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     ids = least.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = least.join(ids, "root").select("sid", "class_id")
-    out = members.join(named, "sid", "left")
-    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"))
+    named = least.join(ids, "root").select("sid", "root", "class_id")
+    return members.join(named, "sid", "left").withColumn("class_id", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("class_id")))
+
+
+def classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: ``id``, ``n_shingles`` (size of its set) and ``class_id`` (least id that links reach)."""
+    return _placed(docs, words, Threshold(num, den), id_column, text).select("id", F.col("n").alias("n_shingles"), "class_id")
+
+
+def _with_set_id(n: int, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sid = [_set_id(u) if len(u) else None for u in sets_of(b.column(text), n)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sid, pa.int64())], [*b.schema.names, "__sid"])
+
+    return run
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id is their class's; documents without words all stay."""
-    kept = classes(docs, words, num, den, id_column, text).where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_column].eqNullSafe(kept["__id"]), "left_semi")
+    """One row of each class, of the class's id; documents without words all stay.
+
+    Of rows with one id (or none) that are copies one stays. Such rows are rare in a table with a key; only they are hashed again.
+    """
+    rows = checkpointed(_placed(docs, words, Threshold(num, den), id_column, text))
+    again = checkpointed(rows.groupBy("id").agg(F.count("*").alias("times")).where("times > 1 OR id IS NULL").select(F.col("id").alias("__id")))
+    of_class = rows.where(F.col("id").eqNullSafe(F.col("class_id")))
+    single = of_class.where("id IS NOT NULL").join(again, F.col("id") == F.col("__id"), "left_anti").select(F.col("id").alias("__id"))
+    number = F.col(id_column).cast("long")
+    out = docs.join(single, number == F.col("__id"), "left_semi")
+    if not again.take(1):
+        return out
+    names = [f"__{k}" for k in range(len(docs.columns))]
+    d = docs.toDF(*names)
+    number = F.col(names[docs.columns.index(id_column)]).cast("long")
+    place = docs.columns.index(text)
+    repeated = d.join(again, number.eqNullSafe(F.col("__id")), "left_semi")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields), "__sid long"])
+    repeated = repeated.mapInArrow(_with_set_id(words, place), schema)
+    empty = repeated.where("__sid IS NULL").drop("__sid")
+    kept = of_class.where("sid IS NOT NULL").select(F.col("sid").alias("__sid"), "root", F.col("id").alias("__id")).distinct()
+    kept = repeated.join(kept, (repeated["__sid"] == kept["__sid"]) & number.eqNullSafe(F.col("__id")))
+    one = kept.groupBy("root").agg(F.min_by(F.struct(*names), repeated["__sid"]).alias("row")).select("row.*")
+    return out.union(empty.union(one).toDF(*docs.columns))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,15 +94,54 @@ def test_links_share_a_list_with_an_early_entry():
                 both = len(np.intersect1d(x, y))
                 if t.den * both >= t.num * (len(x) + len(y) - both) and not np.array_equal(x, y):
                     links += 1
-                    early = [dict(zip(k.tolist(), (~j._late(len(u), len(k), t)).tolist())) for u in (x, y) for k in [j._list_keys(u, t, rank)]]
+                    early = [dict(zip(k.tolist(), (~j._late(np.int64(len(u)), np.arange(len(k)), t)).tolist())) for u in (x, y) for k in [j._list_keys(u, t, rank)]]
                     assert any(early[0][k] or early[1][k] for k in early[0].keys() & early[1].keys())
     assert links > 200
 
 
+def test_hot_lists(spark, monkeypatch):
+    """Groups that fill several blocks of a list, with members that the hub does not account for, between small buffers."""
+    monkeypatch.setattr(j, "BLOCK", 4)
+    monkeypatch.setattr(j, "BUFFER_ROWS", 50)
+    monkeypatch.setattr(j, "MAX_BROADCAST_IDS", 3)
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for c in range(50):
+            w = list(base[: 120 - int(rng.integers(0, 40))])
+            for p in rng.integers(0, len(w), rng.integers(0, 4)):
+                w[p] = f"e{rng.integers(0, 9)}"
+            rows.append((len(rows), " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for n, num, den in ((3, 9, 10), (5, 4, 5)):
+        assert Counter(tuple(r) for r in j.classes(d, n, num, den).collect()) == brute(rows, n, num, den)
+
+
+def test_null_ids_link_others(spark):
+    """Two texts that link through a third one only, whatever the third's id."""
+    w = [f"w{i}" for i in range(200)]
+    a, b, c = " ".join(w), " ".join(["x"] * 5 + w[5:]), " ".join(["x"] * 5 + w[5:-6])
+    for rows in ([(1, a), (2, c), (9, b)], [(1, a), (2, c), (None, b)], [(None, a), (None, c), (None, b), (3, "else")], [(1, a), (1, c), (1, b), (1, "else")]):
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        assert Counter(tuple(r) for r in j.classes(d, 3, 95, 100).collect()) == brute(rows, 3, 95, 100)
+
+
 def test_one_of_each_and_empty(spark):
     kept = {r["doc_id"] for r in j.one_of_each(documents(spark)).collect()}
     assert {1, 2, 6, 9, 12, None} <= kept and not {7, 8, 10} & kept
     assert j.classes(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert j.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    long, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(None, long, 1), (None, long, 2), (None, other, 3), (None, None, 4), (None, "", 5), (4, long + " end", 6), (4, other + " end", 7), (4, other + " end", 8), (5, "", 9), (6, other, 10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, root long")
+    assert sorted(r["root"] for r in j.one_of_each(d).collect() if r["root"] not in (7, 8)) == [4, 5, 6, 9]
+    assert sum(r["root"] in (7, 8) for r in j.one_of_each(d).collect()) == 1
+    nulls = spark.createDataFrame([r for r in rows if r[0] is None], "doc_id long, text string, root long")
+    assert Counter(r["text"] for r in j.one_of_each(nulls).collect()) == Counter([long, other, None, ""])
 
 
 def test_chunks_do_not_change_sets():
