@@ -3,10 +3,13 @@
 1. A document's notices are its windows of one to five lines that hold a licence cue (headers, also
    wrapped ones), its paragraphs that do, its lines with a cue together and its whole text (a
    licence file). Of documents without a cue only term counts move.
-2. Document frequencies are counted over all documents, summed before the shuffle, and kept for the terms
-   of notices and templates. Notices and templates are sparse TF-IDF vectors; term by term they
-   meet in an equi-join with the templates' terms, a table that the template list bounds. The
-   best cosine of a document is its own licence if it reaches the threshold.
+2. Document frequencies are counted over all documents, summed before the shuffle. Notices and templates
+   are sparse TF-IDF vectors; term by term they meet in an equi-join with the templates' terms, a
+   table that the template list bounds. Weights of frequent terms (in a thousandth of the documents or
+   more, so at most a thousand times a document's mean number of terms) are broadcast. All other terms weigh
+   more than a known least weight, which gives each cosine an upper bound; only notices that
+   may reach the threshold get their rare terms' weights by a join on the term. The best
+   cosine of a document is its own licence if it reaches the threshold.
 3. A document that opens or closes with a notice (its first or last line has a cue, or its best
    notice stands there) is a licence file and grants to its directory. Directories' ancestors meet
    granting directories in a path join; the nearest wins.
@@ -22,17 +25,67 @@ empty table. All input columns stay; those named like a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, checkpointed, table
 
-#: (licence, notice); short public notices, fixed values.
+#: (licence, notice); short public notices, headers and whole licence texts, fixed values.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+        "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+        "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions "
+        "of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither "
+        "the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS "
+        "OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+        "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the "
+        "License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+        "permissions and limitations under the License.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should "
+        "have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2."),
@@ -49,6 +102,8 @@ _WRAPPED = CUE.replace(" ", r"\s+(?:[#*/;-]+\s+)?")
 #: Lines of the largest window.
 WINDOW = 5
 THRESHOLD = 0.6
+#: A term is frequent if one in so many documents has it.
+FREQUENT = 1000
 _SPLIT = r"[^a-z0-9.-]+"
 
 
@@ -57,10 +112,6 @@ def _terms(c: Column) -> Column:
     return F.filter(F.transform(F.split(ascii_lower(c), _SPLIT), lambda x: F.regexp_replace(x, r"^[.-]+|[.-]+$", "")), lambda x: x != "")
 
 
-def _weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    return counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-
-
 def _trimmed(text: str) -> Column:
     return F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n"))
 
@@ -84,33 +135,52 @@ def _units(text: str) -> Column:
     return F.concat(F.filter(F.concat(windows, blocks), lambda u: u["line"].rlike(_WRAPPED)), rest)
 
 
-def _document_frequencies(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
-    """``(term, idf)`` of the needed terms over all documents; a term of none has the largest weight."""
-    n = docs.agg(F.count("*").alias("n"))
+def _document_frequencies(docs: DataFrame, text: str) -> DataFrame:
+    """``(term, df)`` over all documents."""
     tokens = F.array_distinct(F.split(ascii_lower(F.col(text)), _SPLIT))  # most repeats go before the dots are looked at
     terms = F.array_distinct(F.transform(tokens, lambda x: F.regexp_replace(x, r"^[.-]+|[.-]+$", "")))
-    df = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    d = needed.join(df, "term", "left").join(F.broadcast(n))
-    return d.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
+    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _vectors(templates: Sequence[tuple[str, str]], df: DataFrame, idf: Callable[[Column], Column]) -> DataFrame:
+    """``(term, idf, t, license, tw)``: a term's weight in each template, as a share of the template's norm; a term of no document has the largest weight."""
+    t = df.sparkSession.createDataFrame([(i, name, notice) for i, (name, notice) in enumerate(templates)], "t int, license string, notice string")
+    t = t.select("t", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("t", "license", "term").agg(F.count("*").alias("tf"))
+    t = t.join(df, "term", "left").withColumn("idf", idf(F.coalesce("df", F.lit(0)))).withColumn("tw", F.col("tf") * F.col("idf"))
+    norm = t.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
+    return t.join(F.broadcast(norm), "t").select("term", "idf", "t", "license", (F.col("tw") / F.col("tn")).alias("tw"))
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", key: str = "__key") -> DataFrame:
     """``(key, own_license, own_score, own_edge)`` for the documents whose best notice reaches the threshold; ``own_edge``: it opens or closes the text."""
-    spark = docs.sparkSession
-    t = spark.createDataFrame([(i, name, notice) for i, (name, notice) in enumerate(templates)], "t int, license string, notice string")
-    t = t.select("t", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("t", "license", "term").agg(F.count("*").alias("tf"))
-    d = docs.where(F.col(text).rlike(_WRAPPED)).select(key, F.posexplode(_units(text)).alias("unit", "u"))
-    d = d.select(key, "unit", "u.n", "u.edge", F.explode(_terms(F.col("u.line"))).alias("term"))
-    counts = d.groupBy(key, "unit", "n", "edge", "term").agg(F.count("*").alias("tf"))
-    idf = checkpointed(_document_frequencies(docs, text, t.select("term").union(d.select("term")).distinct()))
-    tw = _weights(t, idf)
-    tw = tw.join(F.broadcast(tw.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))), "t").select("t", "license", "term", F.col("w").alias("tw"), "tn")
-    uw = _weights(counts, idf)
-    norm = uw.groupBy(key, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("un"))
-    dot = uw.join(F.broadcast(tw), "term").groupBy(key, "unit", "n", "edge", "t", "license").agg((F.sum(F.col("w") * F.col("tw")) / F.max("tn")).alias("dot"))
-    cosine = dot.join(norm, [key, "unit"]).select(key, "license", "n", "edge", F.round(F.col("dot") / F.col("un"), 6).alias("score"))
-    best = F.min(F.struct((-F.col("score")).alias("s"), "license", "n", (~F.col("edge")).alias("inside"))).alias("b")
-    best = cosine.where(F.col("score") >= threshold).groupBy(key).agg(best)
+    many = docs.count()
+    df = checkpointed(_document_frequencies(docs, text))
+    idf = lambda c: F.log((1.0 + many) / (1.0 + c)) + 1.0
+    least = math.log((1.0 + many) / (1.0 + many / FREQUENT)) + 1.0  # all terms that are not frequent weigh more
+    vectors = checkpointed(_vectors(templates, df, idf))
+    known = df.where(F.col("df") * FREQUENT >= many).select("term", idf(F.col("df")).alias("idf")).union(vectors.select("term", "idf")).distinct()
+
+    units = docs.where(F.col(text).rlike(_WRAPPED)).select(key, F.posexplode(_units(text)).alias("at", "u"))
+    # a unit's number holds its place, its lines (7: not a window) and whether it stands at an edge
+    number = F.col("at").cast("long") * 16 + F.least(F.col("u.n"), F.lit(7)) * 2 + F.when(F.col("u.edge"), 1).otherwise(0)
+    tokens = units.select(key, number.alias("unit"), F.explode(_terms(F.col("u.line"))).alias("term"))
+    counts = tokens.repartition(key, "unit").groupBy(key, "unit", "term").agg(F.count("*").alias("tf"))  # all that follows by unit reads this exchange
+    weighed = counts.join(F.broadcast(known), "term", "left")
+    square = F.col("tf") * F.col("tf")
+    norm = weighed.groupBy(key, "unit").agg(
+        F.sum(square * F.coalesce(F.col("idf") * F.col("idf"), F.lit(0.0))).alias("norm"),
+        F.coalesce(F.sum(F.when(F.col("idf").isNull(), square)), F.lit(0)).alias("rare"),
+    )
+    dot = counts.join(F.broadcast(vectors), "term").groupBy(key, "unit", "t", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("tw")).alias("dot"))
+    bound = F.col("dot") / F.sqrt(F.col("norm") + F.col("rare") * least * least)
+    may = checkpointed(dot.join(norm, [key, "unit"]).where(bound >= threshold - 1e-6))
+    open_ = may.where("rare > 0").select(key, "unit").distinct()
+    rest = weighed.where("idf IS NULL").join(open_, [key, "unit"], "left_semi").select(key, "unit", "term", "tf").join(df, "term")
+    rest = rest.groupBy(key, "unit").agg(F.sum(square * idf(F.col("df")) * idf(F.col("df"))).alias("more"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("norm") + F.coalesce("more", F.lit(0.0))), 6)
+    found = may.join(rest, [key, "unit"], "left").select(key, "license", "unit", score.alias("score")).where(F.col("score") >= threshold)
+    lines, inside = F.expr("shiftright(unit, 1) & 7"), F.expr("unit & 1") == 0
+    best = found.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "license", lines.alias("n"), inside.alias("inside"))).alias("b"))
     return best.select(key, F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), (~F.col("b.inside")).alias("own_edge"))
 
 
@@ -127,15 +197,15 @@ def inherit(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, t
     ends = F.split(_trimmed(text), "\n")
     ends_on_cue = F.element_at(ends, 1).rlike(CUE) | F.element_at(ends, -1).rlike(CUE)
     files = d.where(F.col(text).rlike(_WRAPPED)).select("__key", F.col(path).alias("__path"), ends_on_cue.alias("__ends")).join(found, "__key").where("__path IS NOT NULL AND (__ends OR own_edge)")
-    grants = files.groupBy(directory_of(F.col("__path")).alias("granting")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "__path", "own_license")).alias("g"))
-    grants = grants.select("granting", F.col("g.own_license").alias("given"))
+    grants = files.groupBy(directory_of(F.col("__path")).alias("__granting")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "__path", "own_license")).alias("g"))
+    grants = grants.select("__granting", F.col("g.own_license").alias("__given"))
     dirs = d.where(F.col(path).isNotNull()).select(directory_of(F.col(path)).alias("__dir")).distinct()
     parts = F.split("__dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    near = dirs.select("__dir", F.explode(above).alias("granting")).join(grants, "granting")
-    near = near.groupBy("__dir").agg(F.max(F.struct(F.length("granting").alias("n"), "granting", "given")).alias("g")).select("__dir", "g.granting", "g.given")
+    near = dirs.select("__dir", F.explode(above).alias("__granting")).join(grants, "__granting")
+    near = near.groupBy("__dir").agg(F.max(F.struct(F.length("__granting").alias("n"), "__granting", "__given")).alias("g")).select("__dir", "g.__granting", "g.__given")
     out = d.withColumn("__dir", directory_of(F.col(path))).join(own, "__key", "left").join(near, "__dir", "left")
-    return out.withColumns({"license": F.coalesce("own_license", "given"), "granted_by": F.when(F.col("own_license").isNull(), F.col("granting"))}).drop("__key", "__dir", "granting", "given")
+    return out.withColumns({"license": F.coalesce("own_license", "__given"), "granted_by": F.when(F.col("own_license").isNull(), F.col("__granting"))}).drop("__key", "__dir", "__granting", "__given")
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,26 +221,32 @@ def _sql() -> str:
     rows = ", ".join(f"({i}, '{name}', '{notice.replace(chr(39), chr(39) * 2)}')" for i, (name, notice) in enumerate(TEMPLATES))
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     terms = f"list_filter(list_transform(string_split_regex({low}, '{_SPLIT}'), lambda x: regexp_replace(x, '^[.-]+|[.-]+$', '', 'g')), lambda x: x <> '')"
-    n = f"{len(TEMPLATES)}.0::DOUBLE"
     deep = "'/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || floor(doc_id / 1000)::BIGINT || '/' || doc_id || '.txt'"
+    space = "' ' || chr(9) || chr(10) || chr(13)"
     return rf"""
 WITH t0(t, license, notice) AS (VALUES {rows}),
 t1 AS (SELECT t, license, term, count(*) AS tf FROM (SELECT t, license, unnest({terms.format("notice")}) AS term FROM t0) GROUP BY ALL),
-idf AS (SELECT term, ln((1.0 + {n}) / (1.0 + count(*))) + 1.0 AS idf FROM t1 GROUP BY term),
-tw AS (SELECT t, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS tn FROM t1 JOIN idf USING (term)),
 d AS (SELECT row_number() OVER () AS k, doc_id, text, CASE WHEN length(text) < 300 THEN '/' || coalesce(source, 'none') || '/' || doc_id || '.txt' ELSE {deep} END AS path FROM documents),
-l AS (SELECT k, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')) AS lines FROM d WHERE regexp_matches(text, '{CUE}')),
-u AS (SELECT k, line FROM (SELECT k, unnest(list_distinct(list_append(lines, array_to_string(lines, chr(10))))) AS line FROM l)),
-un AS (SELECT row_number() OVER () AS unit, k, line FROM u),
-c AS (SELECT k, unit, term, count(*) AS tf FROM (SELECT k, unit, unnest({terms.format("line")}) AS term FROM un) GROUP BY ALL),
-uw AS (SELECT k, unit, c.term, tf * coalesce(idf, ln(1.0 + {n}) + 1.0) AS w FROM c LEFT JOIN idf USING (term)),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({terms.format("text")})) AS term FROM d) GROUP BY term),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+tw AS (SELECT t, license, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS tn
+       FROM (SELECT t1.*, ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0 AS idf FROM t1 LEFT JOIN df USING (term), n)),
+l AS (SELECT k, w, string_split(w, chr(10)) AS lines, string_split_regex(w, '\n[ \t\r]*\n') AS parts FROM (SELECT k, trim(text, {space}) AS w FROM d WHERE regexp_matches(text, '{_WRAPPED}'))),
+wi AS (SELECT k, array_to_string(lines[i:i + m - 1], chr(10)) AS line, m, i = 1 OR i + m - 1 = len(lines) AS edge
+       FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l), range(1, {WINDOW} + 1) x(m) WHERE i + m - 1 <= len(lines)),
+pa AS (SELECT k, parts[i] AS line, 7 AS m, i = 1 OR i = len(parts) AS edge FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM l)),
+u AS (SELECT * FROM (SELECT * FROM wi UNION ALL SELECT * FROM pa) WHERE regexp_matches(line, '{_WRAPPED}')
+      UNION ALL SELECT k, array_to_string(list_filter(lines, lambda x: regexp_matches(x, '{CUE}')), chr(10)), 7, false FROM l UNION ALL SELECT k, w, 7, false FROM l),
+un AS (SELECT row_number() OVER () AS unit, * FROM u),
+c AS (SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest({terms.format("line")}) AS term FROM un) GROUP BY ALL),
+uw AS (SELECT unit, term, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w FROM c JOIN df USING (term), n),
 nm AS (SELECT unit, sqrt(sum(w * w)) AS un FROM uw GROUP BY unit),
-dt AS (SELECT k, unit, t, license, sum(uw.w * tw.w) / max(tn) AS dot FROM uw JOIN tw USING (term) GROUP BY ALL),
-sc AS (SELECT k, license, round(dot / un, 6) AS score FROM dt JOIN nm USING (unit)),
-own AS (SELECT k, license AS own_license, score AS own_score FROM sc WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, license) = 1),
-dd AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) AS ends FROM d),
+dt AS (SELECT unit, t, license, sum(uw.w * tw.w) / max(tn) AS dot FROM uw JOIN tw USING (term) GROUP BY ALL),
+sc AS (SELECT k, license, m, edge, round(dot / un, 6) AS score FROM dt JOIN nm USING (unit) JOIN un USING (unit)),
+own AS (SELECT k, license AS own_license, score AS own_score, edge FROM sc WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, license, m, edge DESC) = 1),
+dd AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, string_split(trim(text, {space}), chr(10)) AS ends FROM d),
 f AS (SELECT dir, own_license, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) AS r FROM dd JOIN own USING (k)
-      WHERE regexp_matches(ends[1], '{CUE}') OR regexp_matches(ends[-1], '{CUE}')),
+      WHERE edge OR regexp_matches(ends[1], '{CUE}') OR regexp_matches(ends[-1], '{CUE}')),
 nr AS (SELECT a.dir, f.dir AS granting, f.own_license AS given FROM (SELECT DISTINCT dir FROM dd) a JOIN f ON f.r = 1 AND (a.dir = f.dir OR starts_with(a.dir, f.dir || '/'))
        QUALIFY row_number() OVER (PARTITION BY a.dir ORDER BY length(f.dir) DESC) = 1)
 SELECT doc_id, path, own_license, own_score, coalesce(own_license, given) AS license, CASE WHEN own_license IS NULL THEN granting END AS granted_by

@@ -7,10 +7,14 @@
    (``filter_bits``), whatever the corpus: a fuller filter lets more unique lines through, it
    never changes a result.
 3. Only suspected lines are shuffled, with their document's id, and counted exactly by their key.
-4. Lines of confirmed keys go, except in the largest document id that holds the key.
+4. Lines of confirmed keys go, except in the largest document id that holds the key. Documents
+   that lose nothing stay where they were read, as long as the ids of the others are few enough to
+   broadcast; the texts of the others meet their keys in a join on the id.
 
 A line that a third of all documents hold is first made distinct by (key, document), which
-spreads it over all tasks, and then counted from partial sums.
+spreads it over all tasks, and then counted from partial sums. The filters of all tasks are merged
+block by block, one after the other, so that a task holds one block whatever the number of tasks.
+Dropping takes time in proportion to a text's lines and its dropped keys.
 
 Defined results: a null or empty text is one empty line; a null ``doc_id`` is a document of
 its own that never is the largest; repeated rows of one ``doc_id`` count once; ties cannot
@@ -24,17 +28,18 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, checkpointed, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: 2**26 bits are 8 MB; both filters of a task are twice that.
 FILTER_BITS, PROBES, BLOCK_BYTES = 1 << 26, 3, 1 << 16
+#: Ids of documents that lose lines are broadcast up to this many; beyond, all texts are joined.
+MAX_BROADCAST_IDS = 1_000_000
 
 _STRIP = " \t\n\x0b\x0c\r"
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -91,20 +96,33 @@ def _seen(n_bits: int, min_chars: int):
     return run
 
 
-def _merge(blocks: pd.DataFrame) -> pd.DataFrame:
-    once = twice = np.zeros(len(blocks["once"].iloc[0]), np.uint8)
-    for a, b in zip(blocks["once"], blocks["twice"]):
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        twice = twice | b | (once & a)
-        once = once | a
-    return pd.DataFrame({"block": blocks["block"].iloc[:1], "twice": [twice.tobytes()]})
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block to one for each with its bits that are seen twice; one block is held at a time."""
+
+    def out(block: int, twice: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["block", "twice"])
+
+    block, once, twice = None, None, None
+    for batch in batches:
+        for number, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            if number != block:
+                if block is not None:
+                    yield out(block, twice)
+                block, once, twice = number, a, b
+            else:
+                twice = twice | b | (once & a)
+                once = once | a
+    if block is not None:
+        yield out(block, twice)
 
 
 def twice_seen(docs: DataFrame, text: str = "text", n_bits: int = FILTER_BITS, min_chars: int = MIN_CHARS) -> np.ndarray:
     """The merged twice-seen filter, ``n_bits / 8`` bytes."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = docs.select(text).mapInArrow(_seen(n_bits, min_chars), "block int, once binary, twice binary")
     out = np.zeros(n_bits // 8, np.uint8)
-    for row in blocks.groupBy("block").applyInPandas(_merge, "block int, twice binary").collect():  # at most n_bits / 8 bytes
+    for row in blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, twice binary").collect():  # at most n_bits / 8 bytes
         at = row["block"] * BLOCK_BYTES
         out[at : at + len(row["twice"])] = np.frombuffer(row["twice"], np.uint8)
     return out
@@ -131,23 +149,43 @@ def repeated_keys(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     return suspected.join(holders.select("key", "holder"), "key").select("id", "key", "holder")
 
 
-def _key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(_STRIP)), UPPER, LOWER)
+def _drop(min_chars: int, place: int, names: list[str]):
+    """Rows with their text and, last, their dropped keys to rows with the text that is left, its lines before and the lines dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, lines, dropped = b.column(place).to_pylist(), [], []
+            for k, gone in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                all_ = (texts[k] or "").split("\n")
+                gone = set(gone or ())
+                kept = [x for x in all_ if len(x) < min_chars or x.strip(_STRIP).translate(_FOLD) not in gone]
+                texts[k] = "\n".join(kept)
+                lines.append(len(all_))
+                dropped.append(len(all_) - len(kept))
+            columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(b.columns[:-1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names)
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_bits: int = FILTER_BITS) -> DataFrame:
     """All input columns with ``text`` less its repeated lines, ``n_lines`` and ``n_dropped``."""
     drops = repeated_keys(docs, id_column, text, min_chars, min_docs, n_bits)
     drops = drops.where(~F.col("id").eqNullSafe(F.col("holder"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("__drop"))
+    drops = checkpointed(drops)
     d = docs.drop("n_lines", "n_dropped")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    d = d.join(drops, d[id_column].eqNullSafe(drops["__id"]), "left").drop("__id").withColumn("__lines", lines)
-    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__drop", _key(x))))
-    return d.withColumn("__kept", kept).select(
-        *[F.array_join("__kept", "\n").alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-    )
+    d = d.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c == text else F.col(c) for c in d.columns])
+    same = d[id_column].cast("long").eqNullSafe(F.col("__id"))
+    if drops.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(drops.select("__id"))
+        whole, parted = d.join(ids, same, "left_anti"), d.join(ids, same, "left_semi").join(drops, same)
+    else:
+        whole, parted = d.limit(0), d.join(drops, same, "left")
+    names = [*d.columns, "n_lines", "n_dropped"]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields), "n_lines long", "n_dropped long"])
+    parted = parted.select(*d.columns, "__drop").mapInArrow(_drop(min_chars, d.columns.index(text), names), ddl)
+    n_lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    return whole.select("*", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).union(parted)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ beyond it), and copies spread by their own hash.
 
 Defined results: a null source is a source of its own; a null id draws like the id
 ``null``; repeated rows draw alike; a document may get 0 copies; an empty table gives an
-empty table. All input columns are kept; columns named like the results are replaced.
+empty table. Sources without a target share what the targets leave of 1, evenly; targets that
+sum to 1 leave them none, and larger sums or negative targets are an error. All input columns are
+kept; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -62,18 +64,20 @@ def rates(docs: DataFrame, targets: Mapping[str, float] = TARGETS, epochs: float
 def mix(docs: DataFrame, targets: Mapping[str, float] = TARGETS, epochs: float = 1.0, seed: int = SEED, id_column: str = "doc_id", source: str = "source") -> DataFrame:
     """All input columns once for each copy, with ``copy`` (from 1), ``rate`` and ``shuffle_key``, globally shuffled."""
     spark = docs.sparkSession
-    table_ = rates(docs, targets, epochs, source)
+    if any(w < 0 for w in targets.values()) or sum(targets.values()) > 1 + 1e-9:
+        raise ValueError("target weights must not be negative nor sum to more than 1")
+    table_ = rates(docs, targets, epochs, source).toDF("__source", "__rate", "__draws", "__cdf")
     few = table_.limit(MAX_BROADCAST_SOURCES + 1).collect()
     if len(few) <= MAX_BROADCAST_SOURCES:
         table_ = F.broadcast(spark.createDataFrame(few, table_.schema))
     d = docs.drop("copy", "rate", "shuffle_key").withColumn("__source", F.coalesce(F.col(source), F.lit(_KEY)))
-    d = d.join(table_, "__source")
-    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), F.col(id_column), j)))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda a, j: a + draw(j))
+    d = d.join(table_, "__source").withColumnRenamed("__rate", "rate")
+    draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), F.col(id_column), j)))
+    copies = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0), lambda a, j: a + draw(j))
     d = d.withColumn("__n", copies).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     d = d.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return d.drop("__source", "__n", "draws", "cdf").repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return d.drop("__source", "__n", "__draws", "__cdf").repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

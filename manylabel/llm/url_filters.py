@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, checkpointed, table
 from .components import components
 
 #: (rule, action); fixed values of the query.
@@ -99,7 +99,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: Dat
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    d = judge(pages.select("page_id", "url"), edges=alias_edges(pages))
+    d = judge(pages.select("page_id", "url"), edges=checkpointed(alias_edges(pages)))  # edges have two readers
     return d.select("page_id", "host", "path", "rule", "verdict")
 
 

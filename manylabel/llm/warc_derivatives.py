@@ -107,14 +107,16 @@ def to_warc(records: DataFrame) -> DataFrame:
 
 
 def from_warc(records: DataFrame, record: str = "record") -> DataFrame:
-    """Rows of :func:`to_warc` text back to record columns; the block is exactly as long as its header says."""
-    cut = F.instr(F.col(record), "\r\n\r\n")
+    """Rows of :func:`to_warc` text back to record columns; the block is exactly as long as its header says, or all that follows if it does not say."""
+    found = F.instr(F.col(record), "\r\n\r\n")
+    cut = F.when(found > 0, found).otherwise(F.length(record) + 1)
     d = records.withColumns({"__head": F.substring(F.col(record), F.lit(1), cut - 1), "__rest": F.substring(F.col(record), cut + 4, F.length(record))})
     value = lambda name: F.nullif(F.regexp_extract("__head", rf"(?im)^{name}: *([^\r\n]*)", 1), F.lit(""))
     names = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "content_type": "Content-Type"}
     d = d.withColumns({c: value(n) for c, n in names.items()}).withColumn("target_uri", F.coalesce("target_uri", F.lit("")))
-    length = F.regexp_extract("__head", r"(?im)^Content-Length: *(\d+)", 1).cast("int")
-    return d.withColumn("block", F.decode(F.substring(F.encode("__rest", "UTF-8"), F.lit(1), length), "UTF-8")).drop("__head", "__rest", record)
+    raw = F.encode("__rest", "UTF-8")
+    length = F.coalesce(F.regexp_extract("__head", r"(?im)^Content-Length: *(\d+)", 1).try_cast("int"), F.octet_length("__rest"))
+    return d.withColumn("block", F.decode(F.substring(raw, F.lit(1), length), "UTF-8")).drop("__head", "__rest", record)
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -29,8 +30,9 @@ def brute(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("bits", [1 << 20, 1 << 19])
-def test_odd_texts(spark, bits):
+@pytest.mark.parametrize("bits, broadcast", [(1 << 20, 1_000_000), (1 << 19, 0)])
+def test_odd_texts(spark, monkeypatch, bits, broadcast):
+    monkeypatch.setattr(m, "MAX_BROADCAST_IDS", broadcast)
     rows = texts() * 1
     d = m.dedup_lines(documents(spark).withColumnRenamed("n_chars", "n_lines"), n_bits=bits)
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in d.collect()) == brute(rows)
@@ -50,6 +52,25 @@ def test_filters_lose_no_repeat(spark, sf):
     assert m._has(found, m._bits(once, 1 << 20)).mean() < 0.01
 
 
+def test_long_texts_take_linear_time(spark):
+    """100,000 repeated lines in each of three documents, in seconds."""
+    lines = [f"this is the repeated line number {i}" for i in range(100_000)]
+    d = spark.createDataFrame([(k, "\n".join(lines)) for k in range(3)] + [(9, "a line that stays where it is")], "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in m.dedup_lines(d, n_bits=1 << 22).collect()}
+    assert got == {0: (100_000, 100_000), 1: (100_000, 100_000), 2: (100_000, 0), 9: (1, 0)}
+    assert time.time() - began < 60
+
+
+def test_filters_merge_one_after_the_other():
+    """A bit is twice seen if one task says so or two tasks have it once."""
+    import pyarrow as pa
+
+    rows = [(0, [1], [0]), (0, [2], [0]), (0, [3], [4]), (1, [8], [0])]
+    batches = [pa.RecordBatch.from_pydict({"block": [b], "once": [bytes(o)], "twice": [bytes(t)]}) for b, o, t in rows]
+    assert [(r["block"], r["twice"][0]) for b in m._merge(iter(batches)) for r in b.to_pylist()] == [(0, 7), (1, 0)]
+
+
 def test_empty_table(spark):
     assert m.dedup_lines(spark.createDataFrame([], SCHEMA), n_bits=1 << 20).count() == 0
 

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from manylabel.llm import components, license_scans, poisson_mixing, url_filters, warc_derivatives
@@ -94,6 +95,33 @@ def test_wrapped_and_wordy_notices_count(spark):
     assert all(got[100 + i] == (None, None) for i in range(200))
 
 
+def test_rare_terms_are_joined_only_where_they_decide(spark, sf, monkeypatch):
+    """With few frequent terms most weights come from the join; results do not change."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").withColumn("path", F.lit("/x/y"))
+    d = d.withColumn("given", F.lit(1)).withColumn("granting", F.lit(2)).withColumn("unit", F.lit(3)).withColumn("term", F.lit(4))
+    whole = " ".join(t for n, t in license_scans.TEMPLATES if n == "ISC")
+    d = d.union(d.limit(1).withColumn("doc_id", F.lit(-1).cast("long")).withColumn("text", F.lit(f"Copyright 2020 Nobody\n\n{whole}")))
+    out = []
+    for frequent in (1000, 3):
+        monkeypatch.setattr(license_scans, "FREQUENT", frequent)
+        out.append(Counter((r["doc_id"], r["own_license"], r["own_score"], r["license"], r["given"], r["granting"]) for r in license_scans.inherit(d).collect()))
+    assert out[0] == out[1] and next(x for x in out[0] if x[0] == -1)[1] == "ISC"
+
+
+def test_warc_records_without_length(spark):
+    d = spark.createDataFrame([("WARC/1.1\r\nWARC-Type: response\r\n\r\nbody é",), ("no blank line",), ("",), (None,), ("WARC/1.1\r\nContent-Length: 99999999999\r\n\r\nlong",)], "record string")
+    assert [r["block"] for r in warc_derivatives.from_warc(d).collect()] == ["body é", "", "", None, "long"]
+
+
+def test_mixing_checks_targets_and_keeps_columns(spark):
+    d = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(7).alias("cdf"), F.lit(8).alias("draws"), F.lit(9).alias("n"))
+    rows = poisson_mixing.mix(d, {}, epochs=2.0).collect()
+    assert rows and all((r["cdf"], r["draws"], r["n"]) == (7, 8, 9) for r in rows)
+    for bad in ({"a": 0.7, "b": 0.6}, {"a": -0.1}):
+        with pytest.raises(ValueError):
+            poisson_mixing.mix(d, bad)
+
+
 def test_mixing_meets_its_targets(spark):
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "big").when(F.col("id") < 4050, "rare").otherwise("mid").alias("source"))
     targets = {"big": 0.2, "rare": 0.5}
