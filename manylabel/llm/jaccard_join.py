@@ -11,8 +11,9 @@ enough. Lists of one set, nearly all, go too. The order comes from a count sketc
 sets; it decides how long lists get (a passage that many documents share comes last and is no
 list), never what links.
 
-*Answer level.* Each list is answered first for one set, its hub (the least set id, so that a group of
-similar sets has one hub in nearly all its lists): how much every member differs from it. The others' answers
+*Answer level.* Each list is answered first for one set, its hub: how much every member differs from it. It is
+the set in which the list's shingle stands first, as edits put rare shingles before it, so that edited copies
+get the text that they were made from. The others' answers
 are derived from the hub's. A member that links to the hub takes over the hub's class. Only members
 that do not are compared with the list's others, and of these a linked one is left out if
 the two differ from the hub by so different amounts that they cannot link. What is left is compared by a
@@ -21,7 +22,7 @@ bit sketch that cannot lose a link, and then by its shingles.
 Copies (equal sets) are one set from the start. No task gathers a group: lists enter a shuffle
 once for each task, further members of a list are dealt by their own hash, hubs come from
 partial aggregates, joins on lists are plain joins that adaptive execution splits, and comparisons
-are dealt in blocks of 64 by 64 sets of a list. There are no caps: whatever the group's size, every pair of
+are dealt in blocks of 512 by 512 sets of a list. There are no caps: whatever the group's size, every pair of
 different sets that could link is either of one class already or compared.
 
 Sets and shingles are known by 64-bit hashes of their words.
@@ -57,7 +58,7 @@ BUFFER_ROWS = 1_500_000
 MAX_BROADCAST_IDS = 1_000_000
 #: The count sketch has 2**21 buckets, dealt in blocks; a task packs its counts.
 COUNT_BITS, COUNT_BLOCK = 21, 1 << 16
-SKETCH_BITS, MAX_SKETCH_BITS, BLOCK = 1024, 1 << 17, 64
+SKETCH_BITS, MAX_SKETCH_BITS, BLOCK, CHUNK = 1024, 1 << 17, 512, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -328,9 +329,11 @@ def _compare_blocks(t: Threshold):
         may &= np.minimum((na - ia)[:, None], nb - ib) * (t.num + t.den) >= t.num * sizes  # what stands at the positions and behind
         may &= la[:, None] - upper <= t.most_differing(sizes)  # what the hub's answers say
         i, j = np.nonzero(may)
-        near = _differing_bits([left[k][8] for k in i], [right[k][8] for k in j]) <= t.most_differing(na[i] + nb[j])
-        i, j = i[near], j[near]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sa[i], sb[j])), pa.array(np.maximum(sa[i], sb[j]))], ["a", "b"])
+        for at in range(0, len(i), CHUNK):
+            x, y = i[at : at + CHUNK], j[at : at + CHUNK]
+            near = _differing_bits([left[k][8] for k in x], [right[k][8] for k in y]) <= t.most_differing(na[x] + nb[y])
+            x, y = x[near], y[near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sa[x], sb[y])), pa.array(np.maximum(sa[x], sb[y]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
@@ -359,7 +362,8 @@ def _placed(docs: DataFrame, words: int, t: Threshold, id_column: str, text: str
 
     # each list's hub and what its members differ from it
     early = F.min(F.col("at") * (t.den + t.num) - F.col("n") * (t.den - t.num)) <= 0
-    hubs = lists.groupBy("key").agg(F.min("sid").alias("hub"), F.count("*").alias("many"), early.alias("early")).where("early AND many > 1")
+    hubs = lists.groupBy("key").agg(F.min(F.struct("at", "sid")).alias("h"), F.count("*").alias("many"), early.alias("early")).where("early AND many > 1")
+    hubs = hubs.select("key", F.col("h.sid").alias("hub"), "many")
     entries = stored(lists.join(hubs, "key").where("sid <> hub").select("key", "hub", "sid", "n", "at", (F.col("many") > 2).alias("more")))
     stars = entries.select("hub", "sid").distinct()
 
