@@ -57,4 +57,5 @@ def amplify(ranked: DataFrame, m: int, by: tuple[str, ...] = ("row_id",)) -> Dat
 def negatives(rows: DataFrame, m: int, n: int, epoch: int = 0) -> DataFrame:
     """``(row_id, slot, negative)``: row numbers below ``n`` drawn with replacement by integer arithmetic, the same on any cluster."""
     d = rows.select("row_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))).alias("slot"))
-    return d.withColumn("negative", (F.lit(1103515245) * F.col("row_id") + F.lit(12345) * F.col("slot") + F.lit(7 * epoch)) % F.lit(n))
+    wide = F.lit(1103515245).cast("decimal(10,0)") * F.col("row_id").cast("decimal(19,0)")  # 64 bits do not hold it for large ids
+    return d.withColumn("negative", ((wide + F.lit(12345) * F.col("slot") + F.lit(7 * epoch)) % F.lit(n)).cast("bigint"))

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_double
+from ..functions.vectors import as_double, unit
 
 #: Vectors on each side of a tile.
 TILE = 2048
+#: Vectors of one part of a search index.
+PART = 8192
 
 
 def _similarity(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
@@ -38,7 +40,7 @@ def knn(queries: DataFrame, members: DataFrame, k: int, metric: str = "cosine",
     qsize = queries.groupBy(*by).agg(F.count("*").alias("m")) if by else queries.agg(F.count("*").alias("m"))
     size = size.join(qsize, by) if by else size.join(qsize)
     size = size.select(*by, F.ceil(F.col("n") / TILE).cast("int").alias("right"), F.ceil(F.col("m") / TILE).cast("int").alias("left")).where("right > 0 AND left > 0")
-    of = lambda d: d.join(F.broadcast(size), by) if by else d.join(F.broadcast(size))
+    of = lambda d: d.join(size, by) if by else d.join(F.broadcast(size))  # noqa: E731  (one row without groups)
     q = of(queries).select(*by, F.pmod(F.xxhash64("query_id"), "left").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("right") - F.lit(1).cast("bigint"))).alias("j"), "query_id", as_double(F.col("emb")).alias("emb"))
     own = [F.col(c).alias(c) for c in by]  # both sides may stem from one table: these are columns of their own
     m = of(members).select(*own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("left") - F.lit(1).cast("bigint"))).alias("i"), F.pmod(F.xxhash64("row_id"), "right").alias("j"), "row_id", as_double(F.col("emb")).alias("emb"))
@@ -75,7 +77,7 @@ def ball(members: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, D
     """The mean vector ``(within, dim, mean)`` and the largest distance to it ``(within, radius)``."""
     long = members.select(*within, "row_id", F.posexplode(as_double(F.col("emb"))).alias("dim", "x"))
     mean = long.groupBy(*within, "dim").agg(F.avg("x").alias("mean"))
-    d2 = long.join(F.broadcast(mean), [*within, "dim"]).groupBy(*within, "row_id").agg(F.sum((F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))).alias("d2"))
+    d2 = long.join(mean, [*within, "dim"]).groupBy(*within, "row_id").agg(F.sum((F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))).alias("d2"))
     return mean, (d2.groupBy(*within) if within else d2).agg(F.sqrt(F.max("d2")).alias("radius"))
 
 
@@ -96,13 +98,10 @@ def split(members: DataFrame, base_id: int) -> DataFrame:
 
 
 class GraphIndex:
-    """A binary tree for entry points and a neighbour graph to explore from them, over the vectors of one cluster."""
+    """The vectors of one part with their given edges (row positions), and a binary tree for entry points."""
 
-    def __init__(self, x: np.ndarray, num_edge: int, leaf: int, seed: int):
-        self.x, self.leaf, self.rng = x, max(1, leaf), np.random.default_rng(seed)
-        d2 = -_similarity(x, x, "euclid")
-        np.fill_diagonal(d2, np.inf)
-        self.edges = np.argsort(d2, axis=1, kind="stable")[:, : min(num_edge, max(len(x) - 1, 0))]
+    def __init__(self, x: np.ndarray, edges: list[np.ndarray], leaf: int, seed: int):
+        self.x, self.edges, self.leaf, self.rng = x, edges, max(1, leaf), np.random.default_rng(seed)
         self.root = self._grow(np.arange(len(x)))
 
     def _grow(self, rows: np.ndarray) -> dict:
@@ -152,35 +151,49 @@ class GraphIndex:
         return np.array([i for _, i in found], int), np.array([d for d, _ in found])
 
 
-def graph_search(queries: DataFrame, members: DataFrame, k: int, num_edge: int = 50, eps: float = 0.0, within: tuple[str, ...] = ("learner", "cluster"), seed: int = 0, max_rows: int = 20_000) -> DataFrame:
-    """``(within, query_id, rank, row_id, score)`` by each cluster's own index; scores are cosines.
+def build_index(members: DataFrame, num_edge: int = 50, within: tuple[str, ...] = ("learner", "cluster"), part_rows: int = PART) -> DataFrame:
+    """``(within, part, row_id, emb, edges)``: unit vectors with the ids of their nearest others in their part.
 
-    A cluster is one group of a task, so its size must be bounded: clusters above ``max_rows``
-    are searched in parts of about that size, dealt by hash, and the parts' best are merged.
+    A cluster is dealt by hash in parts of about ``part_rows``, as many as its size asks for; edges
+    are found in tiles. The index is a plain table: written once, it serves any number of searches.
+    Zero vectors are not in it.
     """
     by = list(within)
-    size = members.groupBy(*by).agg(F.ceil(F.count("*") / max_rows).cast("int").alias("parts"))
-    m = members.join(F.broadcast(size), by).withColumn("part", F.pmod(F.xxhash64("row_id"), "parts"))
-    q = queries.join(F.broadcast(size), by).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - F.lit(1).cast("bigint"))))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields if f.name in by), "query_id long, row_id long, score double"])
+    size = members.groupBy(*by).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("__parts"))
+    m = members.join(size, by).withColumn("part", F.pmod(F.xxhash64("row_id"), "__parts").cast("int"))
+    m = m.select(*by, "part", "row_id", unit(as_double(F.col("emb"))).alias("emb")).where(F.exists("emb", lambda x: x != 0))
+    edges = knn_graph(m, num_edge, (*within, "part")).groupBy(*by, "part", F.col("src").alias("row_id"))
+    edges = edges.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]).alias("edges"))
+    return m.join(edges, [*by, "part", "row_id"], "left").select(*by, "part", "row_id", "emb", F.coalesce("edges", F.array().cast("array<long>")).alias("edges"))
+
+
+def search_index(queries: DataFrame, index: DataFrame, k: int, eps: float = 0.0, within: tuple[str, ...] = ("learner", "cluster"), seed: int = 0, exclude_self: bool = False) -> DataFrame:
+    """``(within, query_id, rank, row_id, score)``: every part of a query's cluster is walked along its edges, and the parts' best are merged; scores are cosines."""
+    by = list(within)
+    parts = index.select(*by, "part").distinct()
+    q = queries.select(*by, "query_id", as_double(F.col("emb")).alias("emb")).join(parts, by)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields if f.name in by), "query_id long, row_id long, score double"])
+    want = k + exclude_self
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(a) and len(b):
             b = b.sort_values("row_id")
-            x = np.stack(b["emb"]).astype(float)
-            n = np.linalg.norm(x, axis=1)
-            x, ids = x[n > 0] / n[n > 0][:, None], b["row_id"].to_numpy()[n > 0]
-            index = GraphIndex(x, num_edge, k, seed) if len(x) else None
+            x, ids = np.stack(b["emb"]).astype(float), b["row_id"].to_numpy()
+            part = GraphIndex(x, [np.searchsorted(ids, e) for e in b["edges"]], want, seed)
             for i, e in zip(a["query_id"], a["emb"]):
                 e = np.asarray(e, float)
                 size = np.linalg.norm(e)
-                if index is not None:
-                    found, d2 = index.search(e / size if size else e, k, eps)
-                    rows += [(*key[:-1], i, ids[r], 1 - d / 2) for r, d in zip(found, d2)]
+                found, d2 = part.search(e / size if size else e, want, eps)
+                rows += [(*key[:-1], i, ids[r], 1 - d / 2) for r, d in zip(found, d2) if not (exclude_self and ids[r] == i)]
         return pd.DataFrame(rows, columns=[*by, "query_id", "row_id", "score"])
 
     keys = [*by, "part"]
-    near = q.select(*keys, "query_id", "emb").groupBy(*keys).cogroup(m.select(*[F.col(c).alias(c) for c in (*keys, "row_id", "emb")]).groupBy(*keys)).applyInPandas(run, schema)
+    near = q.groupBy(*keys).cogroup(index.select(*[F.col(c).alias(c) for c in (*keys, "row_id", "emb", "edges")]).groupBy(*keys)).applyInPandas(run, schema)
     w = Window.partitionBy(*by, "query_id").orderBy(F.col("score").desc(), "row_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "query_id", "rank", "row_id", "score")
+
+
+def graph_search(queries: DataFrame, members: DataFrame, k: int, num_edge: int = 50, eps: float = 0.0, within: tuple[str, ...] = ("learner", "cluster"), seed: int = 0, part_rows: int = PART, exclude_self: bool = False) -> DataFrame:
+    """:func:`build_index` and :func:`search_index` in one."""
+    return search_index(queries, build_index(members, num_edge, within, part_rows), k, eps, within, seed, exclude_self)

@@ -6,6 +6,8 @@ the same jobs.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,10 @@ def nearest_cluster(features: DataFrame, weights: DataFrame, k: int, learners: D
     known = scores(features, weights).groupBy("learner", "row_id").agg(F.max(F.struct("score", (-F.col("k")).alias("m"))).alias("b"), F.collect_set("k").alias("ks"))
     every = rows.join(F.broadcast(learners))  # learners are few
     d = every.join(known, ["learner", "row_id"], "left")
-    other = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(k - 1)), F.coalesce("ks", F.array().cast("array<int>"))))
     score, cluster = F.col("b.score"), -F.col("b.m")
+    # the clusters of no known score, looked for only where one of them can win
+    unknown = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(k - 1)), F.coalesce("ks", F.array().cast("array<int>"))))
+    other = F.when(score.isNull() | (score <= 0), unknown)
     silent = other.isNotNull() & (score.isNull() | (score < 0) | ((score == 0) & (other < cluster)))
     return d.select("learner", "row_id", F.when(silent, other).otherwise(cluster).cast("int").alias("cluster"), F.when(silent, F.lit(0.0)).otherwise(score).alias("score"))
 
@@ -53,16 +57,24 @@ def objective(assigned: DataFrame) -> DataFrame:
 
 
 def initial_rows(features: DataFrame, k: int, learners: int, seed: int) -> DataFrame:
-    """``k`` rows of each learner as weights, chosen by a keyed hash."""
+    """``k`` rows of each learner as weights: those of the least keyed hashes, numbered in their order.
+
+    Nothing passes the driver: rows whose hash is small enough to be among the first ``k`` (with
+    eight standard deviations to spare; all rows if that should ever fail) are numbered by a range partition.
+    """
     rows = features.select("row_id").distinct()
-    picks = None
-    for t in range(learners):
-        p = rows.orderBy(F.xxhash64(F.lit(seed), F.lit(t), "row_id"), "row_id").limit(k)
-        p = p.select("row_id", F.lit(t).alias("learner"), F.xxhash64(F.lit(seed), F.lit(t), "row_id").alias("h"))
-        picks = p if picks is None else picks.union(p)
-    picks = picks.groupBy("learner").agg(F.sort_array(F.collect_list(F.struct("h", "row_id"))).alias("r"))  # k rows of each
-    picks = picks.select("learner", F.posexplode("r").alias("k", "r")).select("learner", "k", F.col("r.row_id").alias("row_id"))
-    return features.join(F.broadcast(picks), "row_id").groupBy("learner", "k", "fid").agg(F.sum("val").alias("w"))
+    n = rows.count()
+    share = min(1.0, (k + 8 * math.sqrt(k) + 32) / max(n, 1))
+    drawn = rows.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(learners - 1))).alias("learner"))
+    drawn = drawn.withColumn("h", F.xxhash64(F.lit(seed), "learner", "row_id"))
+    low = checkpointed(drawn.where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)))
+    short = low.groupBy("learner").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n))
+    if short.count() < learners:
+        low = drawn
+    numbered = checkpointed(dense_numbers(low, ("learner", "h", "row_id")))
+    first = numbered.groupBy("learner").agg(F.min("number").alias("__first"))  # one row for each learner
+    picks = numbered.join(first, "learner").select("learner", (F.col("number") - F.col("__first")).cast("int").alias("k"), "row_id").where(F.col("k") < k)
+    return features.join(picks, "row_id").groupBy("learner", "k", "fid").agg(F.sum("val").alias("w"))
 
 
 def fit_kmeans(features: DataFrame, k: int, learners: int = 1, max_iter: int = 10, seed: int = 0, start: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
@@ -111,15 +123,24 @@ def pair_gradients(features: DataFrame, bases: DataFrame, positives: DataFrame,
     return pairs.join(features, "row_id").groupBy("learner", "k", "fid").agg(F.sum(F.col("e") * F.col("val")).alias("g"))
 
 
-def dense_numbers(rows: DataFrame) -> DataFrame:
-    """``(row_id, number)``: distinct ids numbered 0 to n - 1 in their order, by a range partition and the partitions' offsets."""
+def dense_numbers(rows: DataFrame, order: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """The columns of ``order`` (distinct rows) and ``number``, 0 to n - 1 in their order, by a range partition and the partitions' offsets."""
     # stored, as the offsets and the numbers must meet the same partitions
-    d = checkpointed(rows.select("row_id").repartitionByRange("row_id").withColumn("__part", F.spark_partition_id()))
+    d = checkpointed(rows.select(*order).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = d.groupBy("__part").agg(F.count("*").alias("__n"))  # one row for each partition
     offsets = offsets.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    at = F.row_number().over(Window.partitionBy("__part").orderBy("row_id")) - 1
-    return d.withColumn("__at", at).join(F.broadcast(offsets), "__part").select("row_id", (F.col("__before") + F.col("__at")).alias("number"))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return d.withColumn("__at", at).join(F.broadcast(offsets), "__part").select(*order, (F.col("__before") + F.col("__at")).alias("number"))
+
+
+def pair_accuracy(assigned: DataFrame, positives: DataFrame) -> DataFrame:
+    """``(learner, n_pairs, n_correct, accuracy)``: the share of positive pairs ``(row_id, other)`` whose rows are of one cluster."""
+    a = assigned.select("learner", "row_id", "cluster")
+    b = assigned.select("learner", F.col("row_id").alias("other"), F.col("cluster").alias("__other"))
+    d = positives.select("row_id", "other").join(a, "row_id").join(b, ["learner", "other"])
+    d = d.groupBy("learner").agg(F.count("*").alias("n_pairs"), F.count(F.when(F.col("cluster") == F.col("__other"), 1)).alias("n_correct"))
+    return d.withColumn("accuracy", F.col("n_correct") / F.col("n_pairs"))
 
 
 def drawn_negatives(own: DataFrame, numbered: DataFrame, n: int, num_nn: int, seed: int, epoch: int) -> DataFrame:
@@ -129,12 +150,12 @@ def drawn_negatives(own: DataFrame, numbered: DataFrame, n: int, num_nn: int, se
     return drawn.join(numbered.select("number", F.col("row_id").alias("other")), "number").select("row_id", "other")
 
 
-def fit_pairwise(features: DataFrame, labels: DataFrame, k: int, learners: int = 1, epochs: int = 10, num_nn: int = 10, eta: float = 0.1, lam: float = 4.0, seed: int = 0, batches: int = 4, head_budget: int = 5000, normalize: bool = True) -> DataFrame:
+def fit_pairwise(features: DataFrame, labels: DataFrame, k: int, learners: int = 1, epochs: int = 10, num_nn: int = 10, eta: float = 0.1, lam: float = 4.0, seed: int = 0, batches: int = 4, head_budget: int = 5000, normalize: bool = True, history: list[float] | None = None) -> DataFrame:
     """Weights that keep label neighbours together, by mini-batches of FTRL steps.
 
     Neighbours do not depend on the learner and are found once. Each epoch deals rows to
     ``batches`` by a keyed hash; gradients are means over a row's pairs, so that a feature that
-    many pairs share does not overshoot.
+    many pairs share does not overshoot. ``history``, if given, gets the mean pair accuracy after each epoch.
     """
     freq = labelgraph.frequencies(labels)
     rows = features.select("row_id").distinct()
@@ -153,4 +174,7 @@ def fit_pairwise(features: DataFrame, labels: DataFrame, k: int, learners: int =
             neg = drawn_negatives(own, numbered, n, num_nn, seed, epoch)
             g = pair_gradients(features, base, positives.join(own, "row_id", "left_semi"), neg, w)
             state = checkpointed(ftrl_step(state, g.withColumn("g", F.col("g") / num_nn), eta, lam))
+        if history is not None:
+            now = nearest_cluster(features, state.where(F.abs("w") > EPS).select("learner", "k", "fid", "w"), k, state.select("learner").distinct())
+            history.append(pair_accuracy(checkpointed(now), positives).agg(F.avg("accuracy")).first()[0])
     return state.where(F.abs("w") > EPS).select("learner", "k", "fid", "w")

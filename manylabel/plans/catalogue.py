@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,13 +92,13 @@ def _(spark, sf_dir):
     return _rounded(labelgraph.label_knn(labels, 10, within=("cluster",)), "score")
 
 
-_AMPLIFIED = _knn_sql(fx.SMALL, 10) + """,
+_AMPLIFIED = _knn_sql(fx.ORDERS, 10) + """,
 amp AS (SELECT r.row_id, s AS slot, r.neighbor FROM ranked r JOIN (SELECT row_id, count(*) AS n FROM ranked GROUP BY row_id) c USING (row_id), range(0, 10) x(s) WHERE r.rank = s % n + 1)"""
 
 
 @query("Q07_amplified_positives", f"WITH {_AMPLIFIED} SELECT row_id, slot, neighbor FROM amp")
-def _(spark, sf_dir, below=500):
-    return labelgraph.amplify(labelgraph.label_knn(fx.orders(spark, sf_dir, below)[1], 10), 10).select("row_id", "slot", "neighbor")
+def _(spark, sf_dir):
+    return labelgraph.amplify(labelgraph.label_knn(fx.orders(spark, sf_dir)[1], 10), 10).select("row_id", "slot", "neighbor")
 
 
 @query("Q08_negative_samples", f"""WITH {fx.ORDERS}, r AS (SELECT DISTINCT row_id FROM feat)
@@ -109,6 +108,23 @@ def _(spark, sf_dir):
     return labelgraph.negatives(rows, 10, rows.count(), epoch=3)
 
 
+@query("Q06c_label_knn_pruned", f"""WITH {fx.ORDERS.replace("lab AS", "whole AS")},
+f AS (SELECT label, count(*) AS n FROM whole GROUP BY label),
+r AS (SELECT n, sum(n * n - n) OVER (ORDER BY n, label ROWS UNBOUNDED PRECEDING) AS run FROM f),
+t AS (SELECT coalesce(max(n) FILTER (run <= 50 * (SELECT count(DISTINCT row_id) FROM whole)), 0) AS t FROM r),
+lab AS (SELECT row_id, label FROM whole JOIN f USING (label), t WHERE n <= t),
+shared AS (SELECT a.row_id, b.row_id AS neighbor, count(*) AS common FROM lab a JOIN lab b ON a.label = b.label WHERE a.row_id <> b.row_id GROUP BY ALL),
+sizes AS (SELECT row_id AS neighbor, count(*) AS size FROM whole GROUP BY row_id)
+SELECT row_id, rank, neighbor, round(common / size::DOUBLE, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY common / size::DOUBLE DESC, neighbor)::INT AS rank FROM shared JOIN sizes USING (neighbor)) WHERE rank <= 10""")
+def _(spark, sf_dir):
+    """A budget of 50 pairs a row, which leaves out the labels that most rows share."""
+    _, labels = fx.orders(spark, sf_dir)
+    freq = labelgraph.frequencies(labels)
+    threshold = labelgraph.head_threshold(freq, 50 * labels.agg(F.countDistinct("row_id")).first()[0])
+    return _rounded(labelgraph.label_knn(labels, 10, pruned=labelgraph.prune_heads(labels, freq, threshold)), "score")
+
+
 # partitions
 
 _KMEANS = fx.VECTORS + """,
@@ -152,6 +168,17 @@ def _(spark, sf_dir):
     return partition.nearest_cluster(features, w, 4).groupBy("learner", "cluster").agg(F.count("*").alias("n"))
 
 
+@query("Q12b_kmeans_objective_rises", "SELECT t::INT AS round, true AS risen FROM range(1, 4) x(t)")
+def _(spark, sf_dir):
+    """Whether no round of assigning and recentring lowers the objective; all rounds, without the early end."""
+    features = long_form(fx.vectors(spark, sf_dir)[0], "row_id", "emb")
+    w, history = None, []
+    for _ in range(4):
+        w, gone = partition.fit_kmeans(features, 4, learners=2, max_iter=1, seed=7, start=w)
+        history += gone
+    return spark.createDataFrame([(i, b >= a - 1e-9) for i, (a, b) in enumerate(zip(history, history[1:]), 1)], "round int, risen boolean")
+
+
 @query("Q13_ftrl_step", f"""WITH {_AMPLIFIED},
 idx AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i FROM (SELECT DISTINCT row_id FROM feat)),
 w AS (SELECT k, fid, ((31 * fid + 17 * k) % 101)::DOUBLE / 128 - 0.390625 AS w FROM (SELECT DISTINCT fid FROM feat), range(0, 2) x(k)),
@@ -165,8 +192,8 @@ g AS (SELECT k, fid, sum(e * val) AS g FROM e JOIN feat USING (row_id) GROUP BY
 st AS (SELECT k, fid, w, coalesce(g, 0) AS g, w / 0.1 + sign(w) * 4 AS z FROM w LEFT JOIN g USING (k, fid)),
 n2 AS (SELECT k, fid, 1 + g * g AS n, z + g + (sqrt(1 + g * g) - 1) / 0.1 * w AS z FROM st)
 SELECT k::INT AS k, fid, round(CASE WHEN abs(z) <= 4 THEN 0 ELSE 0.1 * (z - sign(z) * 4) / sqrt(n) END, 5) + 0.0 AS w, round(n, 5) AS n, round(z, 5) + 0.0 AS z FROM n2""")
-def _(spark, sf_dir, below=500):
-    features, labels = fx.orders(spark, sf_dir, below)
+def _(spark, sf_dir):
+    features, labels = fx.orders(spark, sf_dir)
     w = features.select("fid").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     w = w.select(F.lit(0).alias("learner"), "k", "fid", (((31 * F.col("fid") + 17 * F.col("k")) % 101) / 128.0 - 0.390625).alias("w"))
     base = partition.nearest_cluster(features, w, 2)
@@ -186,9 +213,18 @@ def _(spark, sf_dir):
     return partition.nearest_cluster(features, w, 2, spark.range(1).select(F.lit(0).alias("learner"))).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-_CLUSTERS = fx.ORDERS + """,
+@query("Q14b_negative_draws", f"WITH {fx.ORDERS} SELECT DISTINCT row_id, 5::BIGINT AS n FROM feat")
+def _(spark, sf_dir):
+    """How many negatives the pairwise learner draws for each row: every draw hits a row."""
+    rows = fx.orders(spark, sf_dir)[0].select("row_id").distinct()
+    drawn = partition.drawn_negatives(rows, partition.dense_numbers(rows), rows.count(), 5, seed=1, epoch=2)
+    return drawn.groupBy("row_id").agg(F.count("*").alias("n"))
+
+
+_ASSIGNED = """
 sc AS (SELECT row_id, k, sum(val * ((31 * fid + 17 * k) % 101 - 50)) AS score FROM feat, range(0, 8) x(k) GROUP BY ALL),
 a AS (SELECT row_id, k::INT AS cluster FROM sc QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, k) = 1)"""
+_CLUSTERS = f"{fx.ORDERS},{_ASSIGNED}"
 
 
 def _arithmetic_clusters(spark, sf_dir):
@@ -208,6 +244,15 @@ def _(spark, sf_dir):
     return _arithmetic_clusters(spark, sf_dir)[3].groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+@query("Q16b_pair_accuracy", f"""WITH {_AMPLIFIED}, {_ASSIGNED}
+SELECT count(*)::BIGINT AS n_pairs, count(*) FILTER (a.cluster = b.cluster)::BIGINT AS n_correct, round(count(*) FILTER (a.cluster = b.cluster) / count(*)::DOUBLE, 6) AS accuracy
+FROM amp JOIN a USING (row_id) JOIN a b ON b.row_id = amp.neighbor""")
+def _(spark, sf_dir):
+    _, labels, _, a = _arithmetic_clusters(spark, sf_dir)
+    pos = labelgraph.amplify(labelgraph.label_knn(labels, 10), 10).select("row_id", F.col("neighbor").alias("other"))
+    return _rounded(partition.pair_accuracy(a, pos), "accuracy").select("n_pairs", "n_correct", "accuracy")
+
+
 @query("Q17_reindex_labels", f"WITH {_CLUSTERS} SELECT DISTINCT cluster, label, dense_rank() OVER (PARTITION BY cluster ORDER BY label)::INT AS new_id FROM a JOIN lab USING (row_id)")
 def _(spark, sf_dir):
     _, labels, _, a = _arithmetic_clusters(spark, sf_dir)
@@ -261,6 +306,12 @@ def _(spark, sf_dir):
     return _rounded(embed.weighted_precision(embed.local_precision(near, labels, by, depth=1)), "precision")
 
 
+@query("Q20b_embedding_precision", "SELECT true AS enough")
+def _(spark, sf_dir):
+    """Whether seven tenths of the learned nearest neighbours agree on a document's language."""
+    return QUERIES["Q20_embedding_fit"](spark, sf_dir).where("k = 1").select((F.col("precision") > 0.7).alias("enough"))
+
+
 _LOCAL = """
 v AS (SELECT g, n.row_id, label, count(*) AS votes FROM nb n JOIN lab ON lab.row_id = n.neighbor GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY votes DESC, label) AS rank FROM v),
@@ -281,28 +332,23 @@ def _(spark, sf_dir):
 
 
 @query("Q22_achievable_precision", f"WITH {_AMPLIFIED}, nb AS (SELECT 0 AS g, row_id, neighbor FROM amp), {_LOCAL} SELECT k, round(precision, 6) AS precision FROM p")
-def _(spark, sf_dir, below=500):
-    _, labels = fx.orders(spark, sf_dir, below)
+def _(spark, sf_dir):
+    _, labels = fx.orders(spark, sf_dir)
     near = labelgraph.amplify(labelgraph.label_knn(labels, 10), 10)
     return _rounded(embed.local_precision(near, labels), "precision").select("k", "precision")
 
 
-# the three queries whose SQL reads only the first orders, over all orders; without SQL, which is slow there
-for _name, _small in (("Q07b_all_amplified_positives", "Q07_amplified_positives"), ("Q13b_all_ftrl_step", "Q13_ftrl_step"), ("Q22b_all_achievable_precision", "Q22_achievable_precision")):
-    QUERIES[_name] = partial(QUERIES[_small], below=None)
-
-
 # search
 
 
 def _knn(spark, sf_dir, metric):
-    q, m = fx.split_queries(fx.vectors(spark, sf_dir)[0])
-    return _rounded(neighbors.knn(q, m, 10, metric), "score")
+    m = fx.vectors(spark, sf_dir)[0]
+    return _rounded(neighbors.knn(fx.search_queries(m), m, 10, metric, exclude_self=True), "score")
 
 
 def _search_sql(score: str) -> str:
     return f"""WITH {fx.VECTORS},
-s AS (SELECT q.row_id AS query_id, m.row_id, {score} AS score FROM emb q, emb m WHERE q.row_id % 5 = 0 AND m.row_id % 5 <> 0)
+s AS (SELECT q.row_id AS query_id, m.row_id, {score} AS score FROM emb q, emb m WHERE q.row_id % 20 = 0 AND m.row_id <> q.row_id)
 SELECT query_id, rank, row_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)::INT AS rank FROM s) WHERE rank <= 10"""
 
 
@@ -347,8 +393,17 @@ def _(spark, sf_dir):
 
 @query("Q28_graph_search")
 def _(spark, sf_dir):
-    q, m = fx.split_queries(fx.vectors(spark, sf_dir)[0].withColumns({"learner": F.lit(0), "cluster": F.lit(0)}))
-    return neighbors.graph_search(q, m, 10, num_edge=50, eps=0.1)
+    m = fx.vectors(spark, sf_dir)[0].withColumns({"learner": F.lit(0), "cluster": F.lit(0)})
+    return neighbors.graph_search(fx.search_queries(m), m, 10, num_edge=50, eps=0.1, exclude_self=True)
+
+
+@query("Q28b_graph_search_recall", "SELECT count(*)::BIGINT * 10 AS n_true, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def _(spark, sf_dir):
+    """Whether the graph search finds nine tenths of the exact neighbours."""
+    exact = _knn(spark, sf_dir, "cosine").select("query_id", "row_id")
+    found = QUERIES["Q28_graph_search"](spark, sf_dir).select("query_id", "row_id", F.lit(1).alias("hit"))
+    d = exact.join(found, ["query_id", "row_id"], "left").agg(F.count("*").alias("n_true"), F.count("hit").alias("hits"))
+    return d.select("n_true", (F.col("hits") >= 0.9 * F.col("n_true")).alias("enough"))
 
 
 # votes and scores

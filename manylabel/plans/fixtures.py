@@ -13,10 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders(spark: SparkSession, sf_dir: str, below: int | None = None) -> tuple[DataFrame, DataFrame]:
+def orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Features ``(row_id, fid, val)`` (lines by supplier) and labels ``(row_id, label)`` (distinct parts) of each order."""
     d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
-    d = d if below is None else d.where(F.col("l_orderkey") < below)
     features = d.groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_suppkey").alias("fid")).agg(F.count("*").cast("double").alias("val"))
     return features, d.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("label")).distinct()
 
@@ -36,8 +35,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return d.select("row_id", "emb"), labels
 
 
+def search_queries(d: DataFrame) -> DataFrame:
+    """The ids divisible by 20 as ``query_id``, to be searched in all rows."""
+    return d.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
+
+
 def split_queries(d: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries (ids divisible by 5, as ``query_id``) and members."""
+    """Held-out rows for metrics (ids divisible by 5, as ``query_id``) and the rows to learn from."""
     return d.where("row_id % 5 = 0").withColumnRenamed("row_id", "query_id"), d.where("row_id % 5 <> 0")
 
 
@@ -62,7 +66,6 @@ def documents(spark: SparkSession, sf_dir: str, cluster_rows: int = 250) -> tupl
 ORDERS = """
 feat AS (SELECT l_orderkey AS row_id, l_suppkey AS fid, count(*)::DOUBLE AS val FROM lineitem GROUP BY ALL),
 lab AS (SELECT DISTINCT l_orderkey AS row_id, l_partkey AS label FROM lineitem)"""
-SMALL = ORDERS.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey < 500")
 VECTORS = """
 emb AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS e FROM embeddings),
 lab AS (SELECT vec_id AS row_id, unnest([label::BIGINT, 100 + vec_id % 7]) AS label FROM embeddings)"""

@@ -2,7 +2,9 @@
 
     python -m manylabel.plans.pipeline train settings.json [key=value ...]
     python -m manylabel.plans.pipeline predict settings.json [key=value ...]
-    python -m manylabel.plans.pipeline score RESULTS [TRAIN_FILE A B]
+    python -m manylabel.plans.pipeline score [--ordered] RESULTS [TRAIN_FILE A B]
+
+``--ordered`` keeps the order of the predictions in the file instead of that of their scores.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ MAX_CLUSTER_ROWS = 20_000
 def split_large(assigned: DataFrame, k: int, max_rows: int = MAX_CLUSTER_ROWS) -> DataFrame:
     """Clusters above ``max_rows`` become parts ``cluster + part * k``, dealt by hash."""
     n = assigned.groupBy("learner", "cluster").agg(F.ceil(F.count("*") / max_rows).cast("int").alias("parts"))
-    d = assigned.join(F.broadcast(n), ["learner", "cluster"])
+    d = assigned.join(n, ["learner", "cluster"])
     part = F.pmod(F.xxhash64("row_id"), "parts").cast("int")
     return d.withColumn("cluster", (F.col("cluster") + part * F.lit(k)).cast("int")).drop("parts")
 
@@ -50,7 +52,8 @@ def train(features: DataFrame, labels: DataFrame, p: Params) -> Model:
         assigned = partition.nearest_cluster(x, w, k, learners)
     assigned = checkpointed(split_large(assigned.select("learner", "row_id", "cluster"), k))
     w_emb, emb = embed.fit(x, labels, assigned, p, max_rows=2 * MAX_CLUSTER_ROWS)
-    return Model(labels, w.select("learner", "k", "fid", "w"), assigned, w_emb, emb)
+    index = neighbors.build_index(emb, p.num_edge) if p.pred_type > 0 else None  # built once, and saved with the model
+    return Model(labels, w.select("learner", "k", "fid", "w"), assigned, w_emb, emb, index)
 
 
 def predict(model: Model, features: DataFrame, p: Params) -> DataFrame:
@@ -66,11 +69,13 @@ def predict(model: Model, features: DataFrame, p: Params) -> DataFrame:
         assigned = x.select("row_id").distinct().join(F.broadcast(learners)).withColumn("cluster", F.lit(0))
     # a split cluster is searched in all of its parts
     parts = emb.select("learner", F.col("cluster").alias("part")).distinct()
-    assigned = assigned.join(F.broadcast(parts), "learner").where(F.col("part") % k == F.col("cluster")).select("learner", "row_id", F.col("part").alias("cluster"))
+    parts = parts.withColumn("cluster", F.col("part") % k)
+    assigned = assigned.join(parts, ["learner", "cluster"]).select("learner", "row_id", F.col("part").alias("cluster"))
     q = embed.project(x, model.projections, assigned).withColumnRenamed("row_id", "query_id")
     within = ("learner", "cluster")
     if p.pred_type > 0:
-        near = neighbors.graph_search(q, emb, p.num_nn, p.num_edge, p.search_eps, within, p.seed)
+        index = model.index if model.index is not None else neighbors.build_index(emb, p.num_edge, within)
+        near = neighbors.search_index(q, index.where(F.col("learner") < p.num_learner), p.num_nn, p.search_eps, within, p.seed)
     else:
         near = neighbors.knn(q, emb, p.num_nn, "cosine", within)
     return vote.top_labels(vote.label_scores(vote.neighbor_votes(near), model.labels), p.top_labels)
@@ -78,13 +83,14 @@ def predict(model: Model, features: DataFrame, p: Params) -> DataFrame:
 
 def main(argv: list[str]) -> int:
     spark = SparkSession.builder.getOrCreate()
-    mode, path, *rest = argv
+    ordered = "--ordered" in argv
+    mode, path, *rest = (a for a in argv if a != "--ordered")
     if mode == "score":
         d = svmlight.parse_results(spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()))
         d = checkpointed(d)
         true = svmlight.labels_of(d.where("labels IS NOT NULL"))
-        pred = d.where("preds IS NOT NULL").select("row_id", F.explode("preds").alias("p")).select("row_id", "p.label", "p.score")
-        pred = metrics.rerank(pred)
+        pred = d.where("preds IS NOT NULL").select("row_id", F.posexplode("preds").alias("at", "p")).select("row_id", (F.col("at") + 1).alias("rank"), "p.label", "p.score")
+        pred = metrics.rerank(pred, ordered)
         out = [("P", metrics.precision_at_k(pred, true, d)), ("nDCG", metrics.ndcg_at_k(pred, true, d))]
         if rest:
             rows = svmlight.read_dataset(spark, rest[0])

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows in the folder that ``spark.checkpoint.dir`` names (a folder of our own only where it is unset)."""
+    """Rows in the folder that ``spark.checkpoint.dir`` names (a folder of our own only where it is unset and all runs on one machine)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)

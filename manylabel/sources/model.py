@@ -6,8 +6,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-TABLES = ("labels", "clusters", "assignments", "projections", "embeddings")
+#: Columns of the tables; the learner is the folder, and a table without rows still has its columns.
+TABLES = {
+    "labels": "row_id long, label int",
+    "clusters": "k int, fid int, w double, learner int",
+    "assignments": "cluster int, row_id long, learner int",
+    "projections": "cluster int, fid int, w array<double>, learner int",
+    "embeddings": "cluster int, row_id long, emb array<double>, learner int",
+    "index": "cluster int, part int, row_id long, emb array<double>, edges array<long>, learner int",
+}
 
 
 @dataclass
@@ -19,21 +28,32 @@ class Model:
     assignments: DataFrame
     projections: DataFrame
     embeddings: DataFrame
+    #: index(learner, cluster, part, row_id, emb, edges) of the graph search; without one a search builds its own.
+    index: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        for name in TABLES:
-            w = getattr(self, name).write.mode("overwrite")
+        for name, schema in TABLES.items():
+            d = getattr(self, name)
+            if d is None:  # none must not leave an older one
+                d = self.embeddings.sparkSession.createDataFrame([], schema)
+            w = d.select(*[F.col(f.name).cast(f.dataType) for f in _columns(schema)]).write.mode("overwrite")
             (w if name == "labels" else w.partitionBy("learner")).parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, num_learner: int | None = None) -> Model:
         """The first learners only, by partition pruning."""
-        read = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+        read = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
         if num_learner is not None:
             read = {k: d if k == "labels" else d.where(F.col("learner") < num_learner) for k, d in read.items()}
+        if not read["index"].take(1):
+            del read["index"]
         return cls(**read)
 
 
+def _columns(schema: str) -> list[StructField]:
+    return StructType.fromDDL(schema).fields
+
+
 def sizes(weights: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
     """Part, number of non-zero values, and density over its groups' full shape."""
     w = weights.where(F.abs("w") > 0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 _LABELS = "array<int>"
 _FEATURES = "array<struct<fid:int,val:float>>"
 
@@ -36,9 +38,13 @@ def parse_lines(lines: DataFrame, value: str = "value", keep_unlabelled: bool =
 def read_dataset(spark: SparkSession, path: str, keep_unlabelled: bool = False) -> DataFrame:
     """``row_id, labels, features`` of a text file; ids are dense and follow the order of accepted lines."""
     d = parse_lines(spark.read.text(path), keep_unlabelled=keep_unlabelled).select("labels", "features")
-    # a dense number in file order is the one thing that needs partitions to know of each other
-    numbered = d.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["labels"], [tuple(f) for f in x[0]["features"]]))
-    return spark.createDataFrame(numbered, f"row_id long, labels {_LABELS}, features {_FEATURES}")
+    # a number that grows within a partition, and the rows of the partitions before it; stored, as both must meet the same partitions
+    d = checkpointed(d.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).alias("__part")
+    first = d.groupBy(part).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))  # one row for each partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.select("__part", (before - F.col("__first")).alias("__shift"))
+    return d.withColumn("__part", part).join(F.broadcast(first), "__part").select((F.col("__at") + F.col("__shift")).alias("row_id"), "labels", "features")
 
 
 def features_of(rows: DataFrame) -> DataFrame:
@@ -65,17 +71,19 @@ def render_results(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """``row_id, value`` from ranked ``(row_id, rank, label, score)`` and true ``(row_id, label)``; a row without predictions ends at its TAB."""
     p = predictions.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("rank", "label", "score"))).alias("p"))
     t = labels.groupBy("row_id").agg(F.sort_array(F.collect_list("label")).alias("l"))
-    text = F.array_join(F.transform("p", lambda x: F.format_string("%d:%.1f", x["label"], x["score"])), ",")
+    text = F.array_join(F.transform("p", lambda x: F.format_string("%d:%.1f", x["label"], x["score"].cast("double"))), ",")
     true = F.coalesce(F.array_join(F.col("l").cast("array<string>"), ","), F.lit(""))
     return t.join(p, "row_id", "full_outer").select("row_id", F.concat(true, F.lit("\t"), F.coalesce(text, F.lit(""))).alias("value"))
 
 
 def parse_results(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``labels`` and ``preds``; a line without exactly two parts keeps null lists, so that it still counts as a row."""
+    """``labels`` and ``preds``; a line without exactly two parts keeps null lists, so that it still counts as a row, and malformed entries go."""
     parts = F.filter(F.split(F.col(value), r"\s+"), lambda x: x != "")
     two = F.size(parts) == 2
-    preds = F.transform(F.split(F.get(parts, 1), ","), lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("label"), F.substring_index(x, ":", -1).cast("double").alias("score")))
-    return lines.withColumns({"labels": F.when(two, F.split(F.get(parts, 0), ",").cast(_LABELS)), "preds": F.when(two, preds)})
+    preds = F.transform(F.split(F.get(parts, 1), ","), lambda x: F.struct(F.substring_index(x, ":", 1).try_cast("int").alias("label"), F.substring_index(x, ":", -1).try_cast("double").alias("score")))
+    preds = F.filter(preds, lambda x: x["label"].isNotNull() & x["score"].isNotNull())
+    labels = F.filter(F.transform(F.split(F.get(parts, 0), ","), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    return lines.withColumns({"labels": F.when(two, labels).cast(_LABELS), "preds": F.when(two, preds)})
 
 
 def write_results(predictions: DataFrame, labels: DataFrame, path: str) -> None:

@@ -105,10 +105,114 @@ def test_tiles_and_parts_change_nothing(spark, monkeypatch):
     whole = get(neighbors.knn(q, d, 5, within=("cluster",)))
     monkeypatch.setattr(neighbors, "TILE", 16)
     assert get(neighbors.knn(q, d, 5, within=("cluster",))) == whole
-    far = get(neighbors.graph_search(q, d, 5, num_edge=20, eps=100.0, within=("cluster",), max_rows=25))
+    far = get(neighbors.graph_search(q, d, 5, num_edge=20, eps=100.0, within=("cluster",), part_rows=25))
     assert far == whole  # on a connected graph with much slack the search is exact
 
 
+def test_a_stored_index_serves_searches(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    d = spark.createDataFrame([(3 * i, i % 2, [float(v) for v in rng.normal(size=4)]) for i in range(300)] + [(1, 0, [0.0] * 4)], "row_id long, cluster int, emb array<double>")
+    neighbors.build_index(d, 12, ("cluster",), part_rows=60).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() == 300 and index.where("size(edges) = 12").count() == 300
+    assert index.select("cluster", "part").distinct().count() == 6
+    inside = index.select("cluster", "part", F.explode("edges").alias("to")).join(index.selectExpr("row_id AS to", "cluster AS c", "part AS p"), "to")
+    assert inside.where("c <> cluster OR p <> part").count() == 0
+    q = d.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
+    exact = {(r["query_id"], r["row_id"]) for r in neighbors.knn(q, d, 5, within=("cluster",), exclude_self=True).collect()}
+    found = [(r["query_id"], r["row_id"]) for r in neighbors.search_index(q, index, 5, 0.2, ("cluster",), exclude_self=True).collect()]
+    assert len(exact & set(found)) >= 0.9 * len(exact) and all(i != j for i, j in found)
+    assert neighbors.build_index(d.limit(0), 5, ("cluster",)).count() == 0
+
+
+def test_pruning_leaves_out_head_labels(spark):
+    labels = spark.createDataFrame([(i, 7) for i in range(30)] + [(i, 100 + i // 2) for i in range(30)], "row_id long, label int")
+    freq = labelgraph.frequencies(labels)
+    threshold = labelgraph.head_threshold(freq, 100)
+    pruned = labelgraph.prune_heads(labels, freq, threshold)
+    assert pruned.where("label = 7").count() == 0 and pruned.count() == 30
+    near = labelgraph.label_knn(labels, 5, pruned=pruned).collect()
+    assert {(r["row_id"], r["neighbor"], r["score"]) for r in near} == {(i, i ^ 1, 0.5) for i in range(30)}
+
+
+def test_negatives_of_large_ids_do_not_overflow(spark):
+    d = spark.createDataFrame([(9 * 10**18,), (9_000_000_000,), (5,)], "row_id long")
+    got = {(r["row_id"], r["slot"]): r["negative"] for r in labelgraph.negatives(d, 2, 1_000_003, epoch=3).collect()}
+    assert got == {(i, s): (1103515245 * i + 12345 * s + 21) % 1_000_003 for i in (9 * 10**18, 9_000_000_000, 5) for s in (0, 1)}
+
+
+def test_hashed_weights_share_their_sum(spark):
+    w = spark.createDataFrame([(0, k, f, float(10 * k + f)) for k in range(3) for f in range(4)], "learner int, k int, fid int, w double")
+    got = {(r["k"], r["fid"]): r["w"] for r in partition.hash_weights(w, 5, 2).collect()}
+    place = lambda k, f: (k * 5 + f) & 3
+    assert got == {(k, f): sum(10.0 * a + b for a in range(3) for b in range(4) if place(a, b) == place(k, f)) for k in range(3) for f in range(4)}
+
+
+def test_initial_rows(spark):
+    x = spark.createDataFrame([(7 * i, i, 2.0) for i in range(500)], "row_id long, fid int, val double")
+    d = partition.initial_rows(x, 20, 3, 5).collect()
+    for t in range(3):
+        own = [r for r in d if r["learner"] == t]
+        assert sorted(r["k"] for r in own) == list(range(20)) and len({r["fid"] for r in own}) == 20
+    assert len({frozenset(r["fid"] for r in d if r["learner"] == t) for t in range(3)}) == 3
+    few = partition.initial_rows(x.where("fid < 4"), 9, 2, 5).collect()
+    assert {(r["learner"], r["k"]) for r in few} == {(t, k) for t in range(2) for k in range(4)}
+
+
+def test_pair_accuracy(spark):
+    a = spark.createDataFrame([(0, 1, 0), (0, 2, 0), (0, 3, 1)], "learner int, row_id long, cluster int")
+    pos = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1)], "row_id long, other long")
+    assert [tuple(r) for r in partition.pair_accuracy(a, pos).collect()] == [(0, 4, 2, 0.5)]
+
+
+def test_embedding_step_follows_the_numerical_gradient():
+    """One base row, its positives and negatives: the applied step is the gradient of the ranking loss by finite differences."""
+    from manylabel.operators import embed
+    from manylabel.params import Params
+
+    rng = np.random.default_rng(3)
+    p = Params(emb_size=3, num_nn=2, emb_iter=1, eta0=1e-6, gamma=2.0)
+    # rows share no features, so that each row's part of the matrix gets its own gradient
+    x = [(np.arange(2 * i, 2 * i + 2), rng.normal(size=2)) for i in range(5)]
+    labels = [np.array([1]), np.array([1]), np.array([1]), np.array([2]), np.array([3])]
+    picked = {}
+
+    class Recorder:
+        """The learner's random numbers, with one base row and noted negatives."""
+
+        def __init__(self, seed):
+            self.inner = np.random.Generator(np.random.PCG64(seed))
+
+        def uniform(self, a, b, shape):
+            picked["w"] = self.inner.uniform(a, b, shape)
+            return picked["w"].copy()
+
+        def permutation(self, n):
+            return np.array([0])
+
+        def integers(self, a, b, n):
+            return np.array([3, 4])
+
+    whole, np.random.default_rng = np.random.default_rng, Recorder
+    try:
+        w, _ = embed._learn(x, labels, 10, p, 1)
+    finally:
+        np.random.default_rng = whole
+    start = picked["w"]
+
+    def loss(w):
+        z = [v @ w[f] for f, v in x]
+        cos = [z[0] @ z[j] / np.linalg.norm(z[0]) / np.linalg.norm(z[j]) for j in range(5)]
+        return sum(np.log1p(sum(np.exp(-p.gamma * (cos[i] - cos[j])) for j in (3, 4))) for i in (1, 2))
+
+    g = np.zeros_like(start)
+    for i in np.ndindex(*start.shape):
+        e = np.zeros_like(start)
+        e[i] = 1e-6
+        g[i] = (loss(start + e) - loss(start - e)) / 2e-6
+    assert np.allclose((w - start) / p.eta0 * np.sqrt(1 + g * g), -g, atol=1e-3)
+
+
 def test_empty_rows(spark):
     x = spark.createDataFrame([], "row_id long, fid int, val double")
     w = spark.createDataFrame([], "learner int, k int, fid int, w double")

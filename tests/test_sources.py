@@ -83,3 +83,45 @@ def test_train_save_load_predict(spark, tmp_path):
         found = pipeline.predict(model, svmlight.features_of(rows), params.override(p, [f"pred_type={pred_type}"]))
         best = {r["query_id"]: r["label"] for r in found.where("rank = 1").collect()}
         assert sum(best.get(i) == i % 3 for i in range(60)) >= 55
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    lines = [f"{i} {i % 9}:1" if i % 3 else "not a row" for i in range(5000)]
+    (tmp_path / "d.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = svmlight.read_dataset(spark, str(tmp_path / "d.txt"))
+        assert rows.rdd.getNumPartitions() > 1
+        got = {r["row_id"]: r["labels"] for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate([i] for i in range(5000) if i % 3))
+
+
+def test_malformed_results(spark):
+    d = spark.createDataFrame([("1,2\t1:0.5,x:1,3:y",), ("1,q\t2:1",), ("alone",), ("a b c",), (None,)], "value string")
+    got = [(r["labels"], r["preds"] and [(p["label"], p["score"]) for p in r["preds"]]) for r in svmlight.parse_results(d).collect()]
+    assert got == [([1, 2], [(1, 0.5)]), ([1], [(2, 1.0)]), (None, None), (None, None), (None, None)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    rows = [f"{i % 3} {10 * (i % 3) + i % 5}:1 {10 * (i % 3) + (i + i % 5) % 7}:0.5" for i in range(60)]
+    (tmp_path / "train.txt").write_text("\n".join(rows))
+    given = {"emb_size": 8, "num_learner": 1, "num_nn": 4, "cls_type": 0, "emb_iter": 2, "num_edge": 10}
+    (tmp_path / "s.json").write_text(json.dumps({**given, "train_file": str(tmp_path / "train.txt"), "predict_file": str(tmp_path / "train.txt"), "model_file": str(tmp_path / "model"), "result_file": str(tmp_path / "out")}))
+    settings = str(tmp_path / "s.json")
+    assert pipeline.main(["train", settings]) == 0
+    model = Model.load(spark, str(tmp_path / "model"))
+    assert model.index is not None and model.index.count() == 60  # stored, so that a search need not build it
+    assert pipeline.main(["predict", settings, "pred_type=1"]) == 0
+    assert pipeline.main(["score", str(tmp_path / "out")]) == 0
+    out = capsys.readouterr().out
+    assert "#samples=60" in out and float(out.split("P@1=")[1].split()[0]) > 0.9
+    (tmp_path / "two.txt").write_text("1\t2:1.0,1:9.0\n3\t3:1.0\n")
+    for extra, want in (([], 1.0), (["--ordered"], 0.5)):
+        assert pipeline.main(["score", *extra, str(tmp_path / "two.txt")]) == 0
+        assert f"P@1={want:.6f}" in capsys.readouterr().out
+    assert pipeline.main(["score", str(tmp_path / "two.txt"), str(tmp_path / "train.txt"), "0.55", "1.5"]) == 0
+    assert "PSP@1=" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        pipeline.main(["other", settings])
