@@ -28,13 +28,15 @@ def ascii_lower(c: Column) -> Column:
 def _shared_folder(spark: SparkSession) -> str:
     """The run's folder inside the one that the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) is it a folder of our own. What earlier steps
+    Only where that is unset and all runs on one machine (tests) is it a folder of our own. What earlier steps
     shuffled and nobody refers to any more is given free first: Spark deletes shuffle files
     when the driver's garbage is collected, which a driver with little work may not do for long.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
     gc.collect()
     sc._jvm.System.gc()

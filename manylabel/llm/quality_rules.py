@@ -43,7 +43,7 @@ class Rule:
 RULES = (
     Rule("word_length", "mean_word_chars", 2.0, 14.0),
     Rule("symbols", "symbols_per_word", None, 0.1),
-    Rule("stop_words", "stop_words", 2, None),
+    Rule("stop_words", "stop_word_ratio", 0.02, None),
     Rule("same_lines", "dup_line_ratio", None, 0.5),
     Rule("letters", "letter_word_ratio", 0.6, None),
     Rule("ellipsis", "ellipsis_line_ratio", None, 0.5),
@@ -111,13 +111,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "stop_words",
         (F.col("word_chars") / n).alias("mean_word_chars"),
         (F.col("n_symbols") / n).alias("symbols_per_word"),
+        (F.col("stop_words") / n).alias("stop_word_ratio"),
         (F.col("n_dup_lines") / n_lines).alias("dup_line_ratio"),
         (F.col("__letter_words") / n).alias("letter_word_ratio"),
         (F.col("__ellipsis") / n_lines).alias("ellipsis_line_ratio"),
     )
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "stop_words", "mean_word_chars", "symbols_per_word", "dup_line_ratio", "letter_word_ratio", "ellipsis_line_ratio")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "stop_words", "mean_word_chars", "symbols_per_word", "stop_word_ratio", "dup_line_ratio", "letter_word_ratio", "ellipsis_line_ratio")
 
 
 def passes(rule: Rule) -> Column:
@@ -151,7 +152,7 @@ def _sql() -> str:
         return "'" + s.replace("'", "''") + "'"
 
     measures = {
-        "mean_word_chars": "word_chars / n", "symbols_per_word": "n_symbols / n", "stop_words": "stop_words", "dup_line_ratio": "n_dup_lines / nl",
+        "mean_word_chars": "word_chars / n", "symbols_per_word": "n_symbols / n", "stop_word_ratio": "stop_words / n", "dup_line_ratio": "n_dup_lines / nl",
         "letter_word_ratio": "letter_words / n", "ellipsis_line_ratio": "ellipsis / nl", "n_words": "n_words",
     }
     fails = []

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,6 +88,61 @@ def test_query(spark, tmp_path):
     assert got == sorted(want)
 
 
+def decoded_plainly(data: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """Samples and palette of a file of whole frames with a global palette, one code after another."""
+    palette = [tuple(data[13 + 3 * i : 16 + 3 * i]) for i in range(256)]
+    at, out = 13 + 768, []
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            at += 2
+            while data[at]:
+                at += data[at] + 1
+            at += 1
+            continue
+        assert data[at] == 0x2C and not data[at + 9] & 0xC0  # neither a palette of its own nor interlaced
+        size, at, bits = data[at + 10], at + 11, bytearray()
+        while data[at]:
+            bits += data[at + 1 : at + 1 + data[at]]
+            at += data[at] + 1
+        at += 1
+        stream, place, clear = int.from_bytes(bits, "little"), 0, 1 << size
+        width, table, last = size + 1, [], None
+        while True:
+            code = stream >> place & ((1 << width) - 1)
+            place += width
+            if code == clear:
+                width, table, last = size + 1, [bytes([i]) for i in range(clear)] + [b"", b""], None
+            elif code == clear + 1:
+                break
+            else:
+                entry = table[code] if code < len(table) else last + last[:1]
+                out.append(entry)
+                if last is not None and len(table) < 4096:
+                    table.append(last + entry[:1])
+                last = entry
+                width = max(width, min(12, len(table).bit_length())) if len(table) < 4096 else 12
+    return b"".join(out), palette
+
+
+def test_every_column_on_the_real_table(spark, sf):
+    """The stored files, read by a decoder that shares nothing with the operator, give all columns of the query."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stored = {r["doc_id"]: r["media"] for r in g.to_gif(docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("samples")), "samples").collect()}
+    texts_ = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    got = {r["doc_id"]: r for r in g.op2_gif_columns(spark, sf).collect()}
+    assert len(got) == len(texts_)
+    for i, raw in texts_.items():
+        payload, palette = decoded_plainly(stored[i])
+        padded = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
+        bins = [0] * 64
+        for x, n in Counter(payload).items():
+            red, green, blue = (c // 64 for c in palette[x])
+            bins[16 * red + 4 * green + blue] += n
+        want = (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]), len(stored[i]), hashlib.sha256(stored[i]).hexdigest(), ",".join(map(str, bins)))
+        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        assert payload == padded and tuple(got[i][n] for n in names) == want
+
+
 def test_stored_columns(spark, tmp_path):
     d = documents(spark).select("doc_id", "lang", F.col("text").cast("binary").alias("samples"))
     g.to_gif(d, "samples").write.parquet(str(tmp_path / "media"))
