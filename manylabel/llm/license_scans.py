@@ -158,24 +158,31 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     idf = lambda c: F.log((1.0 + many) / (1.0 + c)) + 1.0
     least = math.log((1.0 + many) / (1.0 + many / FREQUENT)) + 1.0  # all terms that are not frequent weigh more
     vectors = checkpointed(_vectors(templates, df, idf))
+    # what is known of a term: its weight, and its part in each template
     known = df.where(F.col("df") * FREQUENT >= many).select("term", idf(F.col("df")).alias("idf")).union(vectors.select("term", "idf")).distinct()
-
-    units = docs.where(F.col(text).rlike(_WRAPPED)).select(key, F.posexplode(_units(text)).alias("at", "u"))
-    # a unit's number holds its place, its lines (7: not a window) and whether it stands at an edge
-    number = F.col("at").cast("long") * 16 + F.least(F.col("u.n"), F.lit(7)) * 2 + F.when(F.col("u.edge"), 1).otherwise(0)
-    tokens = units.select(key, number.alias("unit"), F.explode(_terms(F.col("u.line"))).alias("term"))
-    counts = tokens.repartition(key, "unit").groupBy(key, "unit", "term").agg(F.count("*").alias("tf"))  # all that follows by unit reads this exchange
-    weighed = counts.join(F.broadcast(known), "term", "left")
+    known = known.join(vectors.groupBy("term").agg(F.collect_list(F.struct("t", "license", "tw")).alias("parts")), "term", "left")
     square = F.col("tf") * F.col("tf")
-    norm = weighed.groupBy(key, "unit").agg(
-        F.sum(square * F.coalesce(F.col("idf") * F.col("idf"), F.lit(0.0))).alias("norm"),
+
+    def counts(d: DataFrame) -> DataFrame:
+        """``(key, unit, term, tf)`` of the notices; a unit's number holds its place, its lines (7: not a window) and whether it stands at an edge."""
+        u = d.select(key, F.posexplode(_units(text)).alias("at", "u"))
+        number = F.col("at").cast("long") * 16 + F.least(F.col("u.n"), F.lit(7)) * 2 + F.when(F.col("u.edge"), 1).otherwise(0)
+        tokens = u.select(key, number.alias("unit"), F.explode(_terms(F.col("u.line"))).alias("term"))
+        return tokens.repartition(key, "unit").groupBy(key, "unit", "term").agg(F.count("*").alias("tf"))  # what follows by unit stays in place
+
+    units = counts(docs.where(F.col(text).rlike(_WRAPPED))).join(F.broadcast(known), "term", "left").groupBy(key, "unit").agg(
+        F.coalesce(F.sum(square * F.col("idf") * F.col("idf")), F.lit(0.0)).alias("norm"),
         F.coalesce(F.sum(F.when(F.col("idf").isNull(), square)), F.lit(0)).alias("rare"),
-    )
-    dot = counts.join(F.broadcast(vectors), "term").groupBy(key, "unit", "t", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("tw")).alias("dot"))
+        F.collect_list(F.when(F.col("parts").isNotNull(), F.struct((F.col("tf") * F.col("idf")).alias("w"), "parts"))).alias("met"),
+    )
+    met = units.select(key, "unit", "norm", "rare", F.explode("met").alias("m")).select(key, "unit", "norm", "rare", "m.w", F.explode("m.parts").alias("p"))
+    dot = met.groupBy(key, "unit", F.col("p.license").alias("license"), F.col("p.t").alias("t"))
+    dot = dot.agg(F.sum(F.col("w") * F.col("p.tw")).alias("dot"), F.first("norm").alias("norm"), F.first("rare").alias("rare"))
     bound = F.col("dot") / F.sqrt(F.col("norm") + F.col("rare") * least * least)
-    may = checkpointed(dot.join(norm, [key, "unit"]).where(bound >= threshold - 1e-6))
+    may = checkpointed(dot.where(bound >= threshold - 1e-6))
     open_ = may.where("rare > 0").select(key, "unit").distinct()
-    rest = weighed.where("idf IS NULL").join(open_, [key, "unit"], "left_semi").select(key, "unit", "term", "tf").join(df, "term")
+    rest = counts(docs.join(open_.select(key).distinct(), key, "left_semi")).join(open_, [key, "unit"], "left_semi")
+    rest = rest.join(F.broadcast(known.select("term")), "term", "left_anti").join(df, "term")
     rest = rest.groupBy(key, "unit").agg(F.sum(square * idf(F.col("df")) * idf(F.col("df"))).alias("more"))
     score = F.round(F.col("dot") / F.sqrt(F.col("norm") + F.coalesce("more", F.lit(0.0))), 6)
     found = may.join(rest, [key, "unit"], "left").select(key, "license", "unit", score.alias("score")).where(F.col("score") >= threshold)
@@ -192,11 +199,11 @@ def inherit(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, t
     """All input columns, ``own_license``, ``own_score``, ``license`` and ``granted_by`` (the directory that a licence is inherited from)."""
     made = ("own_license", "own_score", "license", "granted_by")
     d = docs.drop(*made).withColumn("__key", F.xxhash64(F.col(id_column).cast("string"), F.col(text)))
-    found = scan(d, templates, threshold, text)
+    found = checkpointed(scan(d, templates, threshold, text))  # has two readers
     own = found.drop("own_edge")
     ends = F.split(_trimmed(text), "\n")
     ends_on_cue = F.element_at(ends, 1).rlike(CUE) | F.element_at(ends, -1).rlike(CUE)
-    files = d.where(F.col(text).rlike(_WRAPPED)).select("__key", F.col(path).alias("__path"), ends_on_cue.alias("__ends")).join(found, "__key").where("__path IS NOT NULL AND (__ends OR own_edge)")
+    files = d.select("__key", F.col(path).alias("__path"), ends_on_cue.alias("__ends")).join(found, "__key").where("__path IS NOT NULL AND (__ends OR own_edge)")
     grants = files.groupBy(directory_of(F.col("__path")).alias("__granting")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "__path", "own_license")).alias("g"))
     grants = grants.select("__granting", F.col("g.own_license").alias("__given"))
     dirs = d.where(F.col(path).isNotNull()).select(directory_of(F.col(path)).alias("__dir")).distinct()
