@@ -41,21 +41,29 @@ FILTER_BITS, PROBES, BLOCK_BYTES = 1 << 26, 3, 1 << 16
 #: Ids of documents that lose lines are broadcast up to this many; beyond, all texts are joined.
 MAX_BROADCAST_IDS = 1_000_000
 
-_STRIP = " \t\n\x0b\x0c\r"
-_FOLD = str.maketrans(UPPER, LOWER)
+_STRIP = b" \t\n\x0b\x0c\r"
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def keys_of(text: str | None, min_chars: int = MIN_CHARS) -> list[str]:
-    """A text's distinct keys that are long enough, in order of first occurrence."""
+def _long(key: bytes, min_chars: int) -> bool:
+    """Whether UTF-8 bytes hold that many code points."""
+    return len(key) >= min_chars and (key.isascii() or len(key.decode("utf-8", "surrogatepass")) >= min_chars)
+
+
+def keys_of(text: bytes | None, min_chars: int = MIN_CHARS) -> list[bytes]:
+    """The distinct keys of a text's UTF-8 bytes that are long enough, in order of first occurrence."""
     if not text:
         return []
-    lines = map(str.strip, text.split("\n"), repeat(_STRIP))
-    return list(dict.fromkeys(x.translate(_FOLD) for x in lines if len(x) >= min_chars))
+    keys = dict.fromkeys([x.strip(_STRIP) for x in text.translate(_FOLD).split(b"\n") if len(x) >= min_chars])
+    return [k for k in keys if _long(k, min_chars)]
+
+
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
-def _bits(keys: list[str], n_bits: int) -> np.ndarray:
-    """The filter positions of each key, one row for each."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys))
+def _bits(h: np.ndarray, n_bits: int) -> np.ndarray:
+    """The filter positions of each hash, one row for each."""
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     return ((a[:, None] + b[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(n_bits)).astype(np.int64)
 
@@ -76,16 +84,13 @@ def _seen(n_bits: int, min_chars: int):
         once, twice = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
         for batch in batches:
             pending: list[str] = []
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
             for k, text in enumerate(texts):
                 pending += keys_of(text, min_chars)
                 if len(pending) >= 50_000 or k == len(texts) - 1 and pending:
-                    at = _bits(pending, n_bits)
-                    order = np.lexsort(at.T)
-                    new = np.ones(len(order), bool)
-                    new[1:] = (at[order[1:]] != at[order[:-1]]).any(axis=1)
-                    _put(twice, at[order[~new]])
-                    first = at[order[new]]
+                    h, n = np.unique(_hashes(pending), return_counts=True)
+                    _put(twice, _bits(h[n > 1], n_bits))
+                    first = _bits(h, n_bits)
                     _put(twice, first[_has(once, first)])
                     _put(once, first)
                     pending = []
@@ -135,13 +140,13 @@ def repeated_keys(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = found.value
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), [keys_of(t, min_chars) for t in batch.column(1).to_pylist()]
+            ids, keys = batch.column(0).to_pylist(), [keys_of(t, min_chars) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             flat = [k for own in keys for k in own]
             if not flat:
                 continue
-            hit = _has(bits, _bits(flat, n_bits))
+            hit = _has(bits, _bits(_hashes(flat), n_bits))
             owner = np.repeat(np.arange(len(ids)), [len(k) for k in keys])[hit]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in owner], pa.int64()), pa.array([flat[i] for i in np.flatnonzero(hit)], pa.string())], ["id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in owner], pa.int64()), pa.array([flat[i] for i in np.flatnonzero(hit)], pa.binary()).cast(pa.string())], ["id", "key"])
 
     suspected = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(suspects, "id long, key string")
     suspected = suspected.distinct()  # both uses below read this one shuffle
@@ -154,15 +159,16 @@ def _drop(min_chars: int, place: int, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, lines, dropped = b.column(place).to_pylist(), [], []
-            for k, gone in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                all_ = (texts[k] or "").split("\n")
+            texts, lines, dropped = b.column(place).cast(pa.binary()).to_pylist(), [], []
+            drops = b.column(b.num_columns - 1)
+            for k, gone in enumerate(drops.cast(pa.list_(pa.binary())).to_pylist()):
+                every = (texts[k] or b"").split(b"\n")
                 gone = set(gone or ())
-                kept = [x for x in all_ if len(x) < min_chars or x.strip(_STRIP).translate(_FOLD) not in gone]
-                texts[k] = "\n".join(kept)
-                lines.append(len(all_))
-                dropped.append(len(all_) - len(kept))
-            columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(b.columns[:-1])]
+                kept = [x for x in every if len(x) < min_chars or x.strip(_STRIP).translate(_FOLD) not in gone] if gone else every
+                texts[k] = b"\n".join(kept)
+                lines.append(len(every))
+                dropped.append(len(every) - len(kept))
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if k == place else c for k, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names)
 
     return run
