@@ -51,6 +51,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """As :func:`checkpointed` for large results: a compressed table in the same folder, of which later jobs read only what they need."""
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As :func:`stored`, with the table's path."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def emptied(df: DataFrame, path: str) -> None:
+    """Frees the room of a table of :func:`written` that nobody reads any more."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
