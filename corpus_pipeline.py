@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manylabel.llm import bpe_words, jaccard_join, line_dedup, poisson_mixing, quality_rules
-from manylabel.llm.common import checkpointed, table
+from manylabel.llm.common import emptied, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what a stage keeps is written to the shared checkpoint folder, as later stages read it several times."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage keeps is a table in the shared checkpoint folder until the next one has read it."""
+    docs, path = table(spark, sf_dir, "documents"), None
     *early, (_, last) = STAGES
     for _, stage in early:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        kept = written(stage(spark, docs, sf_dir))
+        if path:
+            emptied(docs, path)
+        docs, path = kept
     return last(spark, docs, sf_dir)
