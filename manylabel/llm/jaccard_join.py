@@ -22,7 +22,7 @@ bit sketch that cannot lose a link, and then by its shingles.
 Copies (equal sets) are one set from the start. No task gathers a group: lists enter a shuffle
 once for each task, further members of a list are dealt by their own hash, hubs come from
 partial aggregates, joins on lists are plain joins that adaptive execution splits, and comparisons
-are dealt in blocks of 512 by 512 sets of a list. There are no caps: whatever the group's size, every pair of
+are dealt in blocks of 256 by 256 sets of a list. There are no caps: whatever the group's size, every pair of
 different sets that could link is either of one class already or compared.
 
 Sets and shingles are known by 64-bit hashes of their words.
@@ -56,9 +56,9 @@ _U = np.uint64
 BUFFER_ROWS = 1_500_000
 #: Ids that are broadcast to fetch sets; a shuffle join does it beyond.
 MAX_BROADCAST_IDS = 1_000_000
-#: The count sketch has 2**21 buckets, dealt in blocks; a task packs its counts.
-COUNT_BITS, COUNT_BLOCK = 21, 1 << 16
-SKETCH_BITS, MAX_SKETCH_BITS, BLOCK, CHUNK = 1024, 1 << 17, 512, 1 << 15
+#: The count sketch has 2**20 buckets, dealt in blocks; a task packs its counts.
+COUNT_BITS, COUNT_BLOCK = 20, 1 << 16
+SKETCH_BITS, MAX_SKETCH_BITS, BLOCK, CHUNK = 1024, 1 << 17, 256, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def _ranks(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
     schema, parts = "block int, counts binary", (1 << COUNT_BITS) // COUNT_BLOCK
     blocks = docs.select(text).mapInArrow(_count_sets(n), schema).repartition(parts, "block").sortWithinPartitions("block")
     total = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in blocks.mapInArrow(_add_counts, schema).collect():  # 16 MB before packing
+    for row in blocks.mapInArrow(_add_counts, schema).collect():  # 8 MB before packing
         total[row["block"] * COUNT_BLOCK :][:COUNT_BLOCK] = _unpacked_counts(row["counts"])
     return (np.log2(total + 1.0) * 256).astype(np.uint16)
 
@@ -329,9 +329,15 @@ def _compare_blocks(t: Threshold):
         may &= np.minimum((na - ia)[:, None], nb - ib) * (t.num + t.den) >= t.num * sizes  # what stands at the positions and behind
         may &= la[:, None] - upper <= t.most_differing(sizes)  # what the hub's answers say
         i, j = np.nonzero(may)
+        one_width = len({len(r[8]) for r in rows}) == 1
+        wide = [np.frombuffer(b"".join([r[8] for r in side]), _U).reshape(len(side), -1) for side in (left, right)] if one_width else None
         for at in range(0, len(i), CHUNK):
             x, y = i[at : at + CHUNK], j[at : at + CHUNK]
-            near = _differing_bits([left[k][8] for k in x], [right[k][8] for k in y]) <= t.most_differing(na[x] + nb[y])
+            if wide:
+                bits = np.bitwise_count(wide[0][x] ^ wide[1][y]).sum(axis=1, dtype=np.int64)
+            else:
+                bits = _differing_bits([left[k][8] for k in x], [right[k][8] for k in y])
+            near = bits <= t.most_differing(na[x] + nb[y])
             x, y = x[near], y[near]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sa[x], sb[y])), pa.array(np.maximum(sa[x], sb[y]))], ["a", "b"])
 
