@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from all column names that are ``taken`` (Spark ignores case)."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of a filter of ids: 16 for each, up to 32 MB in all.
+MIN_ID_BITS, MAX_ID_BITS, _BITMAP = 1 << 20, 1 << 28, 1 << 15
+
+
+def flagged(d: DataFrame, id_: Column, ids: DataFrame, n: int, flag: str) -> DataFrame:
+    """``d`` in place with a boolean ``flag``: false only where the id is not among the ``n`` (about) ``ids`` (one column).
+
+    The filter is made of Spark's bitmaps: as many bits as 16 times the ids, with the bound above, so it can be broadcast whatever
+    their number. Beyond 16 million ids it lets more through, and beyond a billion nearly all.
+    """
+    bits = min(MAX_ID_BITS, max(MIN_ID_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+    block, maps = unused(d.columns, "block", "bits")
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    at = place(ids[ids.columns[0]])
+    held = ids.groupBy(F.floor(at / _BITMAP).alias(block)).agg(F.bitmap_construct_agg((at % _BITMAP).cast("long")).alias(maps))
+    at = place(id_)
+    byte = F.conv(F.hex(F.substring(F.col(maps), (F.floor(at % _BITMAP / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    d = d.join(F.broadcast(held), F.floor(at / _BITMAP) == F.col(block), "left")
+    return d.withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(block, maps)
+
+
 def ascii_lower(c: Column) -> Column:
     """Only A-Z change, whatever the locale or script."""
     return F.translate(c, UPPER, LOWER)

@@ -47,14 +47,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table
+from .common import checkpointed, flagged, stored, table, unused
 from .components import components
 from .shingles import mix, sets_of
 
 _U = np.uint64
 #: Rows that a task of the index stage holds before it looks for lists of its own.
 BUFFER_ROWS = 1_500_000
-#: Ids that are broadcast to fetch sets; a shuffle join does it beyond.
+#: Ids that are broadcast to fetch sets; beyond, a bitmap picks the texts that a join then confirms.
 MAX_BROADCAST_IDS = 1_000_000
 #: The count sketch has 2**20 buckets, dealt in blocks; a task packs its counts.
 COUNT_BITS, COUNT_BLOCK = 20, 1 << 16
@@ -377,8 +377,9 @@ def _placed(docs: DataFrame, words: int, t: Threshold, id_column: str, text: str
         """Each wanted set, from the text of the least id that has it, or from the texts without id."""
         wanted = checkpointed(wanted.distinct())
         reps = checkpointed(members.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id")))
-        ids, few = reps.where("id IS NOT NULL").select("id").distinct(), reps.count() <= MAX_BROADCAST_IDS
-        found = d.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
+        ids, many = reps.where("id IS NOT NULL").select("id").distinct(), reps.count()
+        few = many <= MAX_BROADCAST_IDS
+        found = (d if few else flagged(d, F.col("id"), ids, many, "may").where("may")).join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
         if reps.where("id IS NULL").take(1):
             found = found.union(d.where("id IS NULL").select("text"))
         schema = "sid long, elements binary" if full else "sid long, n int, sketch binary"
@@ -421,11 +422,11 @@ def classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_col
     return _placed(docs, words, Threshold(num, den), id_column, text).select("id", F.col("n").alias("n_shingles"), "class_id")
 
 
-def _with_set_id(n: int, text: int):
+def _with_set_id(n: int, text: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sid = [_set_id(u) if len(u) else None for u in sets_of(b.column(text), n)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sid, pa.int64())], [*b.schema.names, "__sid"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sid, pa.int64())], [*b.schema.names, name])
 
     return run
 
@@ -436,24 +437,25 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_
     Of rows with one id (or none) that are copies one stays. Such rows are rare in a table with a key; only they are hashed again.
     """
     rows = checkpointed(_placed(docs, words, Threshold(num, den), id_column, text))
-    again = checkpointed(rows.groupBy("id").agg(F.count("*").alias("times")).where("times > 1 OR id IS NULL").select(F.col("id").alias("__id")))
+    (own_id,) = unused(docs.columns, "id")
+    again = checkpointed(rows.groupBy("id").agg(F.count("*").alias("times")).where("times > 1 OR id IS NULL").select(F.col("id").alias(own_id)))
     of_class = rows.where(F.col("id").eqNullSafe(F.col("class_id")))
-    single = of_class.where("id IS NOT NULL").join(again, F.col("id") == F.col("__id"), "left_anti").select(F.col("id").alias("__id"))
+    single = of_class.where("id IS NOT NULL").join(again, F.col("id") == F.col(own_id), "left_anti").select(F.col("id").alias(own_id))
     number = F.col(id_column).cast("long")
-    out = docs.join(single, number == F.col("__id"), "left_semi")
+    out = docs.join(single, number == F.col(own_id), "left_semi")
     if not again.take(1):
         return out
-    names = [f"__{k}" for k in range(len(docs.columns))]
+    names = [f"c{k}" for k in range(len(docs.columns))]
     d = docs.toDF(*names)
     number = F.col(names[docs.columns.index(id_column)]).cast("long")
     place = docs.columns.index(text)
-    repeated = d.join(again, number.eqNullSafe(F.col("__id")), "left_semi")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields), "__sid long"])
-    repeated = repeated.mapInArrow(_with_set_id(words, place), schema)
-    empty = repeated.where("__sid IS NULL").drop("__sid")
-    kept = of_class.where("sid IS NOT NULL").select(F.col("sid").alias("__sid"), "root", F.col("id").alias("__id")).distinct()
-    kept = repeated.join(kept, (repeated["__sid"] == kept["__sid"]) & number.eqNullSafe(F.col("__id")))
-    one = kept.groupBy("root").agg(F.min_by(F.struct(*names), repeated["__sid"]).alias("row")).select("row.*")
+    repeated = d.join(again.toDF("own"), number.eqNullSafe(F.col("own")), "left_semi")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields), "sid long"])
+    repeated = repeated.mapInArrow(_with_set_id(words, place, "sid"), schema)
+    empty = repeated.where("sid IS NULL").drop("sid")
+    kept = of_class.where("sid IS NOT NULL").select(F.col("sid").alias("of"), "root", F.col("id").alias("own")).distinct()
+    kept = repeated.join(kept, (F.col("sid") == F.col("of")) & number.eqNullSafe(F.col("own")))
+    one = kept.groupBy("root").agg(F.min_by(F.struct(*names), F.col("sid")).alias("row")).select("row.*")
     return out.union(empty.union(one).toDF(*docs.columns))
 
 

@@ -31,7 +31,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, table
+from .common import ascii_lower, checkpointed, table, unused
 
 #: (licence, notice); short public notices, headers and whole licence texts, fixed values.
 TEMPLATES = (
@@ -198,21 +198,22 @@ def directory_of(path: Column) -> Column:
 def inherit(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text", path: str = "path") -> DataFrame:
     """All input columns, ``own_license``, ``own_score``, ``license`` and ``granted_by`` (the directory that a licence is inherited from)."""
     made = ("own_license", "own_score", "license", "granted_by")
-    d = docs.drop(*made).withColumn("__key", F.xxhash64(F.col(id_column).cast("string"), F.col(text)))
-    found = checkpointed(scan(d, templates, threshold, text))  # has two readers
+    key, dir_, granting, given = unused(docs.columns, "key", "dir", "granting", "given")
+    d = docs.drop(*made).withColumn(key, F.xxhash64(F.col(id_column).cast("string"), F.col(text)))
+    found = checkpointed(scan(d, templates, threshold, text, key))  # has two readers
     own = found.drop("own_edge")
     ends = F.split(_trimmed(text), "\n")
     ends_on_cue = F.element_at(ends, 1).rlike(CUE) | F.element_at(ends, -1).rlike(CUE)
-    files = d.select("__key", F.col(path).alias("__path"), ends_on_cue.alias("__ends")).join(found, "__key").where("__path IS NOT NULL AND (__ends OR own_edge)")
-    grants = files.groupBy(directory_of(F.col("__path")).alias("__granting")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "__path", "own_license")).alias("g"))
-    grants = grants.select("__granting", F.col("g.own_license").alias("__given"))
-    dirs = d.where(F.col(path).isNotNull()).select(directory_of(F.col(path)).alias("__dir")).distinct()
-    parts = F.split("__dir", "/")
+    files = d.select(key, F.col(path).alias("__path"), ends_on_cue.alias("__ends")).join(found, key).where("__path IS NOT NULL AND (__ends OR own_edge)")
+    grants = files.groupBy(directory_of(F.col("__path")).alias(granting)).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "__path", "own_license")).alias("g"))
+    grants = grants.select(granting, F.col("g.own_license").alias(given))
+    dirs = d.where(F.col(path).isNotNull()).select(directory_of(F.col(path)).alias(dir_)).distinct()
+    parts = F.split(dir_, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    near = dirs.select("__dir", F.explode(above).alias("__granting")).join(grants, "__granting")
-    near = near.groupBy("__dir").agg(F.max(F.struct(F.length("__granting").alias("n"), "__granting", "__given")).alias("g")).select("__dir", "g.__granting", "g.__given")
-    out = d.withColumn("__dir", directory_of(F.col(path))).join(own, "__key", "left").join(near, "__dir", "left")
-    return out.withColumns({"license": F.coalesce("own_license", "__given"), "granted_by": F.when(F.col("own_license").isNull(), F.col("__granting"))}).drop("__key", "__dir", "__granting", "__given")
+    near = dirs.select(dir_, F.explode(above).alias(granting)).join(grants, granting)
+    near = near.groupBy(dir_).agg(F.max(F.struct(F.length(granting).alias("n"), granting, given)).alias("g")).select(dir_, F.col("g").getField(granting).alias(granting), F.col("g").getField(given).alias(given))
+    out = d.withColumn(dir_, directory_of(F.col(path))).join(own, key, "left").join(near, dir_, "left")
+    return out.withColumns({"license": F.coalesce("own_license", given), "granted_by": F.when(F.col("own_license").isNull(), F.col(granting))}).drop(key, dir_, granting, given)
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,16 @@
    never changes a result.
 3. Only suspected lines are shuffled, with their document's id, and counted exactly by their key.
 4. Lines of confirmed keys go, except in the largest document id that holds the key. Documents
-   that lose nothing stay where they were read, as long as the ids of the others are few enough to
-   broadcast; the texts of the others meet their keys in a join on the id.
+   that lose nothing stay where they were read; the texts of the others meet their keys in a join on the id. Who loses is told by the broadcast
+   ids, and beyond a million by a bitmap of their hashes of at most 32 MB, which sends a few texts too many through the join.
 
 A line that a third of all documents hold is first made distinct by (key, document), which
 spreads it over all tasks, and then counted from partial sums. The filters of all tasks are merged
 block by block, one after the other, so that a task holds one block whatever the number of tasks.
 Dropping takes time in proportion to a text's lines and its dropped keys.
 
-Defined results: a null or empty text is one empty line; a null ``doc_id`` is a document of
-its own that never is the largest; repeated rows of one ``doc_id`` count once; ties cannot
+Defined results: a null or empty text is one empty line; each row with a null ``doc_id`` is a document of
+its own that never is the largest, and a key that only such rows hold stays; repeated rows of one ``doc_id`` count once; ties cannot
 occur as one id is the largest; an empty table gives an empty table. All columns of the
 input are kept; a column named like one of the results is replaced.
 """
@@ -30,15 +30,16 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, checkpointed, table
+from .common import LOWER, UPPER, checkpointed, flagged, table, unused
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: 2**26 bits are 8 MB; both filters of a task are twice that.
 FILTER_BITS, PROBES, BLOCK_BYTES = 1 << 26, 3, 1 << 16
-#: Ids of documents that lose lines are broadcast up to this many; beyond, all texts are joined.
+#: Ids of documents that lose lines are broadcast up to this many; beyond, a bitmap of them is.
 MAX_BROADCAST_IDS = 1_000_000
 
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -138,18 +139,21 @@ def repeated_keys(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     found = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, text, n_bits, min_chars))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = found.value
+        bits, first = found.value, 1 + (TaskContext.get().partitionId() << 40)
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), [keys_of(t, min_chars) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             flat = [k for own in keys for k in own]
             if not flat:
+                first += len(ids)
                 continue
             hit = _has(bits, _bits(_hashes(flat), n_bits))
             owner = np.repeat(np.arange(len(ids)), [len(k) for k in keys])[hit]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in owner], pa.int64()), pa.array([flat[i] for i in np.flatnonzero(hit)], pa.binary()).cast(pa.string())], ["id", "key"])
+            rows = [0 if ids[i] is not None else first + int(i) for i in owner]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in owner], pa.int64()), pa.array(rows, pa.int64()), pa.array([flat[i] for i in np.flatnonzero(hit)], pa.binary()).cast(pa.string())], ["id", "row", "key"])
+            first += len(ids)
 
-    suspected = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(suspects, "id long, key string")
-    suspected = suspected.distinct()  # both uses below read this one shuffle
+    suspected = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(suspects, "id long, row long, key string")
+    suspected = suspected.distinct()  # both uses below read this one shuffle; rows without id differ by their number
     holders = suspected.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("holder")).where(F.col("n") >= min_docs)
     return suspected.join(holders.select("key", "holder"), "key").select("id", "key", "holder")
 
@@ -177,19 +181,21 @@ def _drop(min_chars: int, place: int, names: list[str]):
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_bits: int = FILTER_BITS) -> DataFrame:
     """All input columns with ``text`` less its repeated lines, ``n_lines`` and ``n_dropped``."""
     drops = repeated_keys(docs, id_column, text, min_chars, min_docs, n_bits)
-    drops = drops.where(~F.col("id").eqNullSafe(F.col("holder"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("__drop"))
-    drops = checkpointed(drops)
     d = docs.drop("n_lines", "n_dropped")
+    id_, drop, loses = unused(d.columns, "id", "drop", "loses")
+    drops = drops.where(~F.col("id").eqNullSafe(F.col("holder"))).groupBy(F.col("id").alias(id_)).agg(F.collect_set("key").alias(drop))
+    drops = checkpointed(drops)
     d = d.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c == text else F.col(c) for c in d.columns])
-    same = d[id_column].cast("long").eqNullSafe(F.col("__id"))
-    if drops.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(drops.select("__id"))
+    same, many = d[id_column].cast("long").eqNullSafe(F.col(id_)), drops.count()
+    if many <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(drops.select(id_))
         whole, parted = d.join(ids, same, "left_anti"), d.join(ids, same, "left_semi").join(drops, same)
     else:
-        whole, parted = d.limit(0), d.join(drops, same, "left")
+        told = flagged(d, d[id_column], drops.select(id_), many, loses)
+        whole, parted = told.where(~F.col(loses)).drop(loses), told.where(loses).drop(loses).join(drops, F.col(id_column).cast("long").eqNullSafe(F.col(id_)), "left")
     names = [*d.columns, "n_lines", "n_dropped"]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields), "n_lines long", "n_dropped long"])
-    parted = parted.select(*d.columns, "__drop").mapInArrow(_drop(min_chars, d.columns.index(text), names), ddl)
+    parted = parted.select(*d.columns, drop).mapInArrow(_drop(min_chars, d.columns.index(text), names), ddl)
     n_lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
     return whole.select("*", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).union(parted)
 
@@ -205,7 +211,7 @@ WITH l AS (SELECT doc_id, k, p, lines[p] AS line,
              translate(regexp_replace(lines[p], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
            FROM (SELECT doc_id, k, lines, unnest(range(1, len(lines) + 1)) AS p
                  FROM (SELECT doc_id, row_number() OVER () AS k, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
-h AS (SELECT key, max(doc_id) AS holder FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+h AS (SELECT key, max(doc_id) AS holder FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) + count(DISTINCT k) FILTER (doc_id IS NULL) >= 3)
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (holder <> doc_id)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (holder IS NULL OR holder = doc_id), '')) AS kept_sha256
 FROM l LEFT JOIN h USING (key) GROUP BY k"""

@@ -25,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 #: The production mix: the crawl gets a fifth, the other sources share the rest evenly.
 TARGETS = {"src0": 0.2}
@@ -66,18 +66,19 @@ def mix(docs: DataFrame, targets: Mapping[str, float] = TARGETS, epochs: float =
     spark = docs.sparkSession
     if any(w < 0 for w in targets.values()) or sum(targets.values()) > 1 + 1e-9:
         raise ValueError("target weights must not be negative nor sum to more than 1")
-    table_ = rates(docs, targets, epochs, source).toDF("__source", "__rate", "__draws", "__cdf")
+    held, rate, draws, cdf, n = unused(docs.columns, "source", "rate", "draws", "cdf", "n")
+    table_ = rates(docs, targets, epochs, source).toDF(held, rate, draws, cdf)
     few = table_.limit(MAX_BROADCAST_SOURCES + 1).collect()
     if len(few) <= MAX_BROADCAST_SOURCES:
         table_ = F.broadcast(spark.createDataFrame(few, table_.schema))
-    d = docs.drop("copy", "rate", "shuffle_key").withColumn("__source", F.coalesce(F.col(source), F.lit(_KEY)))
-    d = d.join(table_, "__source").withColumnRenamed("__rate", "rate")
-    draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), F.col(id_column), j)))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0), lambda a, j: a + draw(j))
-    d = d.withColumn("__n", copies).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    d = docs.drop("copy", "rate", "shuffle_key").withColumn(held, F.coalesce(F.col(source), F.lit(_KEY)))
+    d = d.join(table_, held).withColumnRenamed(rate, "rate")
+    draw = lambda j: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(seed), F.col(id_column), j)))
+    copies = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, j: a + draw(j))
+    d = d.withColumn(n, copies).where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
     d = d.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return d.drop("__source", "__n", "__draws", "__cdf").repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return d.drop(held, n, draws, cdf).repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, table
+from .common import SPACE, stored, table, unused
 
 #: Units that a share's denominator has more, shrinkage towards the pooled covariance and towards the identity.
 PRIOR, TO_POOLED, TO_IDENTITY = 20.0, 0.1, 0.05
@@ -37,14 +37,16 @@ MAX_LOG_ODDS = 500.0
 STATISTICS = ("log_words", "word_length", "symbols", "bars", "exclamations", "capitals", "repeated_next", "distinct_words", "digits", "marks", "line_words", "repeated_lines", "capital_words")
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All input columns and ``x``, the array of :data:`STATISTICS`."""
+def statistics(docs: DataFrame, text: str = "text", to: str = "x") -> DataFrame:
+    """All input columns and ``to``, the array of :data:`STATISTICS`."""
+    (parts,) = unused([*docs.columns, to], "parts")
+    at = lambda name: F.col(parts).getField(name)
     t = F.coalesce(F.col(text), F.lit(""))
     share = lambda part, whole: F.sqrt(part / (whole + PRIOR))
     left = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("double")
     words = F.filter(F.split(t, SPACE), lambda w: w != "")
-    w, lines = F.col("__x.w"), F.col("__x.l")
-    n, chars, held = F.size(w).cast("double"), F.col("__x.c"), F.size(lines).cast("double")
+    w, lines = at("w"), at("l")
+    n, chars, held = F.size(w).cast("double"), at("c"), F.size(lines).cast("double")
     same = F.size(F.filter(w, lambda x, j: (j > 0) & (x == F.get(w, j - 1)))).cast("double")
     upper = F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}{2,}\P{Ll}*$"))).cast("double")
     base = F.struct(
@@ -52,12 +54,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         left(r"[^!]+").alias("exclamations"), left(r"\P{Lu}+").alias("capitals"), left(r"[^0-9]+").alias("digits"), left(r"[^.,;:?]+").alias("marks"),
     )
     values = [
-        F.log1p(n), F.log1p(F.greatest(chars - n, F.lit(0.0)) / (n + 1)), share(F.col("__x.symbols"), chars), share(F.col("__x.bars"), n), share(F.col("__x.exclamations"), n), share(F.col("__x.capitals"), chars),
-        share(same, n), F.log1p(F.size(F.array_distinct(w)).cast("double")) - F.log1p(n), share(F.col("__x.digits"), chars), share(F.col("__x.marks"), n), F.log1p(n / held), share(held - F.size(F.array_distinct(lines)), held), share(upper, n),
+        F.log1p(n), F.log1p(F.greatest(chars - n, F.lit(0.0)) / (n + 1)), share(at("symbols"), chars), share(at("bars"), n), share(at("exclamations"), n), share(at("capitals"), chars),
+        share(same, n), F.log1p(F.size(F.array_distinct(w)).cast("double")) - F.log1p(n), share(at("digits"), chars), share(at("marks"), n), F.log1p(n / held), share(held - F.size(F.array_distinct(lines)), held), share(upper, n),
     ]
     # the pieces of a text are made once for each row: an array of one, exploded, is no projection that is merged into the next
-    d = docs.drop("x").withColumn("__x", F.explode(F.array(base)))
-    return d.withColumn("x", F.array(*[v.cast("double") for v in values])).drop("__x")
+    d = docs.drop(to).withColumn(parts, F.explode(F.array(base)))
+    return d.withColumn(to, F.array(*[v.cast("double") for v in values])).drop(parts)
 
 
 def held_out(id_column: str, folds: int = FOLDS) -> Column:
@@ -131,12 +133,12 @@ def fit(examples: DataFrame) -> tuple[Discriminant | None, float]:
     return (discriminant(moments) if n0 and n1 else None), (n1 + 1) / (n0 + n1 + 2)
 
 
-def score(stats: DataFrame, model: Discriminant | None, share: float, threshold: float = THRESHOLD) -> DataFrame:
+def score(stats: DataFrame, model: Discriminant | None, share: float, threshold: float = THRESHOLD, x: str = "x") -> DataFrame:
     """Adds ``score`` and ``predicted``."""
     if model is None:
         d = stats.withColumn("score", F.lit(share))
     else:
-        odds = F.greatest(F.least(model.log_odds(F.col("x")), F.lit(MAX_LOG_ODDS)), F.lit(-MAX_LOG_ODDS))
+        odds = F.greatest(F.least(model.log_odds(F.col(x)), F.lit(MAX_LOG_ODDS)), F.lit(-MAX_LOG_ODDS))
         d = stats.withColumn("score", 1 / (1 + F.exp(-odds)))
     return d.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -150,9 +152,10 @@ def known_labels(labels: DataFrame, id_column: str = "doc_id", label: str = "qua
 def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The columns of ``docs`` without the text, and ``held_out``, ``score`` and ``predicted``; nothing but the statistics of the text is an input of a score."""
     d = docs.drop("held_out", "score", "predicted")
-    d = stored(statistics(d, text).drop(text).withColumn("held_out", held_out(id_column)))
-    examples = d.where(~F.col("held_out")).select(F.col(id_column).alias("__id"), "x").join(known_labels(labels, id_column, label), "__id")
-    return score(d, *fit(examples)).drop("x")
+    (x,) = unused(d.columns, "x")
+    d = stored(statistics(d, text, x).drop(text).withColumn("held_out", held_out(id_column)))
+    examples = d.where(~F.col("held_out")).select(F.col(id_column).alias("__id"), F.col(x).alias("x")).join(known_labels(labels, id_column, label), "__id")
+    return score(d, *fit(examples), x=x).drop(x)
 
 
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

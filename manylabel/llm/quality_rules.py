@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, table
+from .common import SPACE, ascii_lower, table, unused
 
 #: Common short words of the four languages; a running text in any of them has several.
 STOP_WORDS = (
@@ -68,7 +68,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     sorted by a 32-bit hash with their position in the low bits, neighbours with one hash
     are suspects, and only suspects are compared word for word.
     """
-    words, lines, packed, suspects = "__words", "__lines", "__packed", "__suspects"
+    words, lines, packed, suspects, n_lines, ellipsis, letter_words, nearest = unused(docs.columns, "words", "lines", "packed", "suspects", "n_lines", "ellipsis", "letter_words", "near")
     body = F.coalesce(F.col(text), F.lit(""))
     keep = [c for c in docs.columns if c not in MEASURES]
     d = docs.select(
@@ -83,10 +83,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.select(
         *[c for c in d.columns],
         F.size(w).cast("long").alias("n_words"),
-        F.size(lines).cast("long").alias("__n_lines"),
+        F.size(lines).cast("long").alias(n_lines),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("__ellipsis"),
-        F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).alias("__letter_words"),
+        F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).alias(ellipsis),
+        F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).alias(letter_words),
         F.size(F.filter(w, lambda x: ascii_lower(x).isin(*STOP_WORDS))).cast("long").alias("stop_words"),
         F.when(
             last >= 1,
@@ -97,10 +97,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop(lines)
     hashed = F.col(packed)
     near = F.transform(_neighbours_agree(hashed, lambda x: F.shiftright(x, _POSITION)), lambda x: x.bitwiseAND((1 << _POSITION) - 1).cast("int"))
-    d = d.withColumn("__near", near)
-    d = d.withColumn(suspects, F.sort_array(F.transform("__near", lambda p: F.struct(F.concat_ws(" ", F.get(w, p), F.get(w, p + 1), F.get(w, p + 2)).alias("g"), p.alias("p")))))
+    d = d.withColumn(nearest, near)
+    d = d.withColumn(suspects, F.sort_array(F.transform(nearest, lambda p: F.struct(F.concat_ws(" ", F.get(w, p), F.get(w, p + 1), F.get(w, p + 2)).alias("g"), p.alias("p")))))
     windows = F.transform(_neighbours_agree(F.col(suspects), lambda x: x["g"]), lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2))
-    n, n_lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("__n_lines"), F.lit(1))
+    n, held = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col(n_lines), F.lit(1))
     return d.select(
         *keep,
         "n_words",
@@ -112,9 +112,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.col("word_chars") / n).alias("mean_word_chars"),
         (F.col("n_symbols") / n).alias("symbols_per_word"),
         (F.col("stop_words") / n).alias("stop_word_ratio"),
-        (F.col("n_dup_lines") / n_lines).alias("dup_line_ratio"),
-        (F.col("__letter_words") / n).alias("letter_word_ratio"),
-        (F.col("__ellipsis") / n_lines).alias("ellipsis_line_ratio"),
+        (F.col("n_dup_lines") / held).alias("dup_line_ratio"),
+        (F.col(letter_words) / n).alias("letter_word_ratio"),
+        (F.col(ellipsis) / held).alias("ellipsis_line_ratio"),
     )
 
 

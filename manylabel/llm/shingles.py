@@ -21,16 +21,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    one = np.ones(n, _U)
-    up, down = one.copy(), one.copy()
-    up[1:], down[1:] = _U(_BASE), _U(pow(_BASE, -1, 1 << 64))
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: A word's hash is its bytes' polynomial modulo two primes near 2**32, at two bases. (Modulo a power of two, words of
+#: Thue and Morse's kind collide whatever the base.)
+_PRIMES = (4294967291, 4294967279)
+_BASES = (2862933557, 3202034522)
+#: Sums of a word's bytes times powers fit 64 bits below this length; where a text is longer, each term is reduced first.
+_UNREDUCED = 1 << 22
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int, base: int, prime: int) -> np.ndarray:
+    """``base ** k`` modulo ``prime`` for k below ``n``, a power of two, by doubling."""
+    out, have, step = np.ones(n, _U), 1, base
+    while have < n:
+        out[have : 2 * have] = out[:have] * _U(step) % _U(prime)
+        have, step = 2 * have, step * step % prime
+    return out
 
 
 def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,11 +49,17 @@ def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     end[inner - 1] |= word[1:-1][inner - 1]
     start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
     size = 1 << int(max(len(data), CHUNK_BYTES)).bit_length()
-    up, down = _powers(size)
-    low = np.where((data >= 65) & (data <= 90), data | 32, data)
-    run = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTES[low] * up[: len(data)], out=run[1:])
-    return mix((run[stop] - run[start]) * down[start]), np.searchsorted(edges, start, side="right") - 1
+    low = np.where((data >= 65) & (data <= 90), data | 32, data).astype(_U) + _U(1)
+    both = []
+    for base, prime in zip(_BASES, _PRIMES):
+        up, down = (_powers(size, b, prime)[: len(data)] for b in (base, pow(base, -1, prime)))
+        terms = low * up
+        if len(data) > _UNREDUCED:
+            terms %= _U(prime)
+        run = np.zeros(len(data) + 1, _U)
+        np.cumsum(terms, out=run[1:])  # may go round; differences do not
+        both.append((run[stop] - run[start]) % _U(prime) * down[start] % _U(prime))
+    return mix(mix(both[0] << _U(32) | both[1]) + (stop - start).astype(_U)), np.searchsorted(edges, start, side="right") - 1
 
 
 def _chunk(data: np.ndarray, edges: np.ndarray, n: int) -> list[np.ndarray]:

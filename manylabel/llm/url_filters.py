@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, table
+from .common import ascii_lower, checkpointed, table, unused
 from .components import components
 
 #: (rule, action); fixed values of the query.
@@ -89,12 +89,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, edges: Dat
     placed = matched.where("action = 'block'").join(roots.withColumnRenamed("node", "url"), "url", "left")
     blocked = placed.select(F.coalesce("root", "url").alias("root")).distinct().withColumn("by_alias", F.lit(True))
     aliases = roots.join(blocked, "root").select(F.col("node").alias("url"), "by_alias").union(blocked.select("root", "by_alias"))
+    (judged,) = unused(pages.columns, "url")
     verdicts = matched.join(aliases, "url", "full_outer").select(
-        F.col("url").alias("__url"), "rule", F.coalesce("action", F.when(F.col("by_alias"), F.lit("block")), F.lit("allow")).alias("verdict")
+        F.col("url").alias(judged), "rule", F.coalesce("action", F.when(F.col("by_alias"), F.lit("block")), F.lit("allow")).alias("verdict")
     )
     own = [F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     d = pages.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    return d.join(verdicts, d[url] == verdicts["__url"], "left").drop("__url").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    return d.join(verdicts, d[url] == verdicts[judged], "left").drop(judged).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

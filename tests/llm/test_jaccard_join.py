@@ -63,6 +63,26 @@ def test_odd_texts_and_edited_copies(spark):
     assert got == brute(rows, 3, 9, 10)
 
 
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """Thue and Morse's word and its complement have nothing in common."""
+    one = "a"
+    while len(one) < 4096:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, " ".join(f"{k}{one}" for k in "cdefg")), (4, " ".join(f"{k}{two}" for k in "cdefg")), (5, one.upper())]
+    got = {tuple(r) for r in j.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_shingles", "class_id").collect()}
+    assert got == {(1, 1, 1), (2, 1, 2), (3, 3, 3), (4, 3, 4), (5, 1, 1)}
+
+
+def test_hash_of_a_word_is_the_same_anywhere():
+    import pyarrow as pa
+
+    long = "x" * 50 + "yz" * (5 << 20)  # alone it is beyond the bound of unreduced sums
+    texts = [f"{pad} same words here" for pad in ("", "q" * 777, "ä " * 3000, long)]
+    sets = [set(u.tolist()) for u in sets_of(pa.array(texts), 3)]
+    assert len(set.intersection(*sets)) == 1
+
+
 def test_index_meets_every_link():
     """Sets at and around the threshold always share a list."""
     rng = np.random.default_rng(5)

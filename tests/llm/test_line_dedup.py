@@ -17,11 +17,12 @@ def test_equals_sql(spark, sf):
 def brute(rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(FOLD)
     holders = defaultdict(set)
-    for i, t in rows:
+    for n, (i, t) in enumerate(rows):
         for x in (t or "").split("\n"):
             if len(key(x)) >= 20:
-                holders[key(x)].add(i)
-    top = {k: max(x for x in v if x is not None) for k, v in holders.items() if len(v) >= 3}
+                holders[key(x)].add((i is not None, n if i is None else i))  # a row without id is a document
+    top = {k: max(v)[1] if max(v)[0] else None for k, v in holders.items() if len(v) >= 3}
+    top = {k: i for k, i in top.items() if i is not None}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -81,3 +82,28 @@ def test_empty_table(spark):
 def test_digest_is_of_the_kept_text(spark, sf):
     r = m.op4_line_dedup(spark, sf).orderBy("doc_id").first()
     assert len(r["kept_sha256"]) == len(hashlib.sha256().hexdigest())
+
+
+LONG = "A line of more than twenty letters"
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_rows_without_id_are_documents(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(m, "MAX_BROADCAST_IDS", broadcast)
+    other = "Another line of more than twenty letters"
+    rows = [(None, LONG), (None, f"{LONG}\n{other}"), (4, LONG), (None, other), (None, f"{other}\nx"), (5, "nothing of the kind")]
+    d = m.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), n_bits=1 << 16)
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in d.collect())
+    assert got == brute(rows) and got[(4, 1, 0, LONG)] == 1 and got[(None, 1, 1, "")] == 1 and got[(None, 1, 0, other)] == 1
+
+
+def test_texts_that_lose_nothing_stay_beyond_the_bound(spark, monkeypatch):
+    """With no ids broadcast, the bitmap lets hardly any other text into the join."""
+    from pyspark.sql import functions as F
+
+    from manylabel.llm.common import flagged
+
+    ids = spark.range(0, 40_000, 20)
+    d = flagged(spark.range(40_000), F.col("id"), ids, 2000, "may")
+    may = {r["id"] for r in d.where("may").collect()}
+    assert may >= set(range(0, 40_000, 20)) and len(may) < 2000 + 400 and d.count() == 40_000
