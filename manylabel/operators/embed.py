@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import unit
 from ..params import Params
-from .labelgraph import top
+from ..session import checkpointed, emptied, written
+from .labelgraph import amplify, label_knn, top
+from .partition import dense_numbers
+
+#: Rows of a cluster that is learned in one task; batches of an epoch of a larger one.
+GROUP_ROWS, BATCHES = 20_000, 4
 
 
 def project(features: DataFrame, projections: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -95,16 +103,26 @@ def _learn(x: list[tuple[np.ndarray, np.ndarray]], labels: list[np.ndarray], n_f
     return w, np.where(n > 0, emb / np.where(n > 0, n, 1), emb)
 
 
-def fit(features: DataFrame, labels: DataFrame, assigned: DataFrame, p: Params, max_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """Projections ``(learner, cluster, fid, w)`` and embeddings ``(learner, cluster, row_id, emb)``.
+def fit(features: DataFrame, labels: DataFrame, assigned: DataFrame, p: Params, max_rows: int = GROUP_ROWS, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """Projections ``(learner, cluster, fid, w)`` and embeddings ``(learner, cluster, row_id, emb)``, one matrix for each cluster.
 
-    A cluster is learned in one group; ``max_rows`` bounds it. Rows of a larger cluster are split
-    by hash into clusters of their own numbers before this (see ``plans.pipeline``).
+    A cluster of up to ``max_rows`` rows is learned in one group of one task; the rows and the
+    matrix of a larger one stay spread over all tasks (:func:`fit_sharded`).
     """
-    too_large = assigned.groupBy("learner", "cluster").agg(F.count("*").alias("n")).where(F.col("n") > max_rows).take(1)
-    if too_large:
-        raise ValueError(f"a cluster has more than {max_rows} rows; split it first")
     features = features.groupBy("row_id", "fid").agg(F.sum("val").alias("val"))
+    size = assigned.groupBy("learner", "cluster").agg(F.count("*").alias("n"))
+    large = checkpointed(size.where(F.col("n") > max_rows).select("learner", "cluster"))
+    any_large = bool(large.take(1))
+    small = assigned.join(large, ["learner", "cluster"], "left_anti") if any_large else assigned
+    w, emb = fit_groups(features, labels, small, p)
+    if any_large:
+        more_w, more_emb = fit_sharded(features, labels, assigned.join(large, ["learner", "cluster"], "left_semi"), p, batches)
+        w, emb = w.unionByName(more_w), emb.unionByName(more_emb)
+    return w, emb
+
+
+def fit_groups(features: DataFrame, labels: DataFrame, assigned: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """As :func:`fit`, each cluster in one group: for clusters that a task holds."""
     rows = features.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("fid", "val"))).alias("f"))
     rows = rows.join(labels.groupBy("row_id").agg(F.sort_array(F.collect_list("label")).alias("l")), "row_id", "left")
     d = assigned.select("learner", "cluster", "row_id").join(rows, "row_id")
@@ -121,13 +139,128 @@ def fit(features: DataFrame, labels: DataFrame, assigned: DataFrame, p: Params,
         out["learner"], out["cluster"] = key
         return out[["learner", "cluster", "kind", "key", "vec"]]
 
-    from ..session import checkpointed
-
     both = checkpointed(d.groupBy("learner", "cluster").applyInPandas(run, "learner int, cluster int, kind int, key long, vec array<double>"))
     w = both.where("kind = 0").select("learner", "cluster", F.col("key").cast("int").alias("fid"), F.col("vec").alias("w"))
     return w, both.where("kind = 1").select("learner", "cluster", F.col("key").alias("row_id"), F.col("vec").alias("emb"))
 
 
+# a cluster of any size: rows and matrix are tables
+
+_CLUSTER = ["learner", "cluster"]
+
+
+def _summed(values: Column, scale: Column, size: int) -> Column:
+    """The sum of scaled vectors as one sum for each component, which Spark adds up before it shuffles."""
+    return F.array(*[F.sum(F.get(values, d) * scale) for d in range(size)])
+
+
+def _uniform(*key: Column | str) -> Column:
+    """A number from 0 to 1 that depends on the key alone."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 52)) / float(1 << 52)
+
+
+def start_weights(x: DataFrame, p: Params) -> DataFrame:
+    """State ``(learner, cluster, fid, w, grown)``: uniform within 1 / sqrt(a row's mean number of features), and AdaGrad sums of 1."""
+    bound = x.groupBy(*_CLUSTER).agg((1 / F.sqrt(F.count("*") / F.countDistinct("row_id"))).alias("bound"))
+    d = x.select(*_CLUSTER, "fid").distinct().join(bound, _CLUSTER)
+    w = F.transform(F.sequence(F.lit(0), F.lit(p.emb_size - 1)), lambda i: (2 * _uniform(F.lit(p.seed), F.lit("w"), "learner", "cluster", "fid", i) - 1) * F.col("bound"))
+    return d.select(*_CLUSTER, "fid", w.alias("w"), F.array_repeat(F.lit(1.0), p.emb_size).alias("grown"))
+
+
+def projected(x: DataFrame, state: DataFrame, size: int) -> DataFrame:
+    """``(learner, cluster, row_id, z)`` of rows ``x(learner, cluster, row_id, fid, val)``; every row of ``x`` is there."""
+    d = x.join(state.select(*_CLUSTER, "fid", "w"), [*_CLUSTER, "fid"], "left")
+    z = _summed(F.coalesce("w", F.array_repeat(F.lit(0.0), size)), F.col("val"), size)
+    return d.groupBy(*_CLUSTER, "row_id").agg(z.alias("z"))
+
+
+def row_gradients(z: DataFrame, pairs: DataFrame, gamma: float, size: int) -> DataFrame:
+    """``(learner, cluster, row_id, g)``: the summed ascent directions of the ranking objective at each row's ``z``.
+
+    ``pairs`` is (learner, cluster, row_id, role, slot, other), role 1 for positives and 0 for negatives. A
+    base's own gradient and those of its positives and negatives count; rows of zeros have none.
+    """
+    own = [F.col(c).alias(c) for c in _CLUSTER]
+    held = pairs.join(z.select(*own, F.col("row_id").alias("other"), F.col("z").alias("oz")), [*_CLUSTER, "other"])
+    held = held.groupBy(*_CLUSTER, "row_id").agg(F.sort_array(F.collect_list(F.struct("role", "slot", "other", "oz"))).alias("near"))  # as many as slots
+    held = held.join(z, [*_CLUSTER, "row_id"])
+
+    def directions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for t, c, i, near, base in zip(frame["learner"], frame["cluster"], frame["row_id"], frame["near"], frame["z"]):
+                base, zs = np.asarray(base, float), np.array([np.asarray(x["oz"], float) for x in near])
+                role = np.array([x["role"] for x in near])
+                n0, ns = np.linalg.norm(base), np.linalg.norm(zs, axis=1)
+                if not n0 or role.all() or not role.any():
+                    continue
+                sound, ns = ns > 0, np.where(ns > 0, ns, 1)
+                inner = zs @ base
+                cos = inner / (n0 * ns)
+                term = np.exp(-gamma * (cos[role == 1][:, None] - cos[role == 0][None]))
+                a = gamma * term / (1 + term.sum(axis=1, keepdims=True))
+                each = np.zeros(len(role))
+                each[role == 1], each[role == 0] = a.sum(axis=1), -a.sum(axis=0)
+                each = (each * sound / (n0 * ns))[:, None]
+                out.append((t, c, i, (each * (zs - (inner / (n0 * n0))[:, None] * base)).sum(axis=0)))
+                out += [(t, c, x["other"], g) for x, g in zip(near, each * (base - (inner / (ns * ns))[:, None] * zs))]
+            yield pd.DataFrame(out, columns=[*_CLUSTER, "row_id", "g"])
+
+    g = held.mapInPandas(directions, "learner int, cluster int, row_id long, g array<double>")
+    return g.groupBy(*_CLUSTER, "row_id").agg(_summed(F.col("g"), F.lit(1.0), size).alias("g"))
+
+
+def adagrad_step(x: DataFrame, state: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
+    """The state after one batch: features of the pairs' rows are projected, and the rows' gradients summed by feature."""
+    base = pairs.select(*_CLUSTER, "row_id")
+    needed = base.union(pairs.select(*_CLUSTER, "other")).distinct()
+    used = x.join(needed, [*_CLUSTER, "row_id"], "left_semi")
+    g = row_gradients(projected(used, state, p.emb_size), pairs, p.gamma, p.emb_size)
+    by_feature = used.join(g, [*_CLUSTER, "row_id"]).groupBy(*_CLUSTER, "fid").agg(_summed(F.col("g"), F.col("val"), p.emb_size).alias("g"))
+    d = state.join(by_feature, [*_CLUSTER, "fid"], "left")
+    grown = F.when(F.col("g").isNull(), F.col("grown")).otherwise(F.zip_with("grown", "g", lambda n, v: n + v * v))
+    d = d.select(*_CLUSTER, "fid", "w", "g", grown.alias("grown"))
+    step = F.zip_with("g", "grown", lambda v, n: p.eta0 * v / F.sqrt(n))
+    return d.select(*_CLUSTER, "fid", F.when(F.col("g").isNull(), F.col("w")).otherwise(F.zip_with("w", step, lambda w, v: w + v)).alias("w"), "grown")
+
+
+def numbered_rows(assigned: DataFrame) -> DataFrame:
+    """``(learner, cluster, row_id, at, n)``: rows numbered from 0 within their cluster, and its size."""
+    d = checkpointed(dense_numbers(assigned, (*_CLUSTER, "row_id")))
+    first = d.groupBy(*_CLUSTER).agg(F.min("number").alias("first"), F.count("*").alias("n"))  # one row for each cluster
+    return d.join(first, _CLUSTER).select(*_CLUSTER, "row_id", (F.col("number") - F.col("first")).alias("at"), "n")
+
+
+def fit_sharded(features: DataFrame, labels: DataFrame, assigned: DataFrame, p: Params, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """As :func:`fit`, for clusters of any size, all learners and clusters in the same jobs.
+
+    The matrix is a table ``(learner, cluster, fid, w, grown)``. An epoch deals the rows to ``batches`` by a keyed hash.
+    A batch joins only the features of its rows, positives and negatives; their gradients are summed by
+    row and then by feature with partial sums in each task. Neighbours and numbers are found once.
+    """
+    rows = checkpointed(assigned.select("learner", "cluster", "row_id").join(features.select("row_id").distinct(), "row_id", "left_semi"))
+    x = checkpointed(features.join(rows, "row_id").select(*_CLUSTER, "row_id", "fid", F.col("val").cast("double").alias("val")))
+    near = label_knn(labels.join(rows, "row_id").select(*_CLUSTER, "row_id", "label"), p.num_nn, p.label_normalize > 0, within=tuple(_CLUSTER))
+    positives = checkpointed(amplify(near, p.num_nn, (*_CLUSTER, "row_id")).select(*_CLUSTER, "row_id", F.lit(1).alias("role"), F.col("slot").cast("int").alias("slot"), F.col("neighbor").alias("other")))
+    numbered = checkpointed(numbered_rows(rows))
+    bases = checkpointed(numbered.join(positives.select(*_CLUSTER, "row_id").distinct(), [*_CLUSTER, "row_id"], "left_semi"))
+    target = numbered.select(*_CLUSTER, "at", F.col("row_id").alias("other"))
+    state, at = written(start_weights(x, p))
+    for epoch in range(p.emb_iter):
+        for b in range(batches):
+            own = bases.where(F.pmod(F.xxhash64(F.lit(p.seed), F.lit(epoch), *_CLUSTER, "row_id"), F.lit(batches)) == b)
+            drawn = own.select(*_CLUSTER, "row_id", "n", F.explode(F.sequence(F.lit(0), F.lit(p.num_nn - 1))).alias("slot"))
+            drawn = drawn.select(*_CLUSTER, "row_id", "slot", F.pmod(F.xxhash64(F.lit(p.seed), F.lit("q"), F.lit(epoch), *_CLUSTER, "row_id", "slot"), F.col("n")).alias("at"))
+            negatives = drawn.join(target, [*_CLUSTER, "at"]).select(*_CLUSTER, "row_id", F.lit(0).alias("role"), "slot", "other")
+            pairs, pairs_at = written(positives.join(own.select(*_CLUSTER, "row_id"), [*_CLUSTER, "row_id"], "left_semi").union(negatives))
+            new, new_at = written(adagrad_step(x, state, pairs, p))
+            emptied(state, at)
+            emptied(pairs, pairs_at)
+            state, at = new, new_at
+    emb = projected(x, state, p.emb_size).select(*_CLUSTER, "row_id", unit(F.col("z")).alias("emb"))
+    return state.select(*_CLUSTER, "fid", "w"), checkpointed(emb)
+
+
 def local_precision(neighbours: DataFrame, labels: DataFrame, by: tuple[str, ...] = (), depth: int = 5) -> DataFrame:
     """``(by, k, precision)`` of the labels that each row's neighbours ``(by, row_id, neighbor)`` vote for, ties to the lesser label."""
     votes = neighbours.join(labels.withColumnRenamed("row_id", "neighbor"), "neighbor").groupBy(*by, "row_id", "label").agg(F.count("*").alias("votes"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def frequencies(labels: DataFrame) -> DataFrame:
     """How often each label occurs; repeats in a row count."""
@@ -34,16 +36,62 @@ def top(scored: DataFrame, by: tuple[str, ...], score: Column, tie: str, m: int)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
 
 
-def label_knn(labels: DataFrame, m: int, normalize: bool = True, within: tuple[str, ...] = (), pruned: DataFrame | None = None) -> DataFrame:
-    """``(within, row_id, rank, neighbor, score)``: rows that share most labels, each shared label counting 1 / the neighbour's number of labels."""
-    size = labels.groupBy(*within, "row_id").agg(F.count("*").alias("size"))
-    used = labels if pruned is None else pruned
-    b = used.select(*within, "label", F.col("row_id").alias("neighbor"))
-    shared = used.join(b, [*within, "label"]).where(F.col("row_id") != F.col("neighbor"))
-    shared = shared.groupBy(*within, "row_id", "neighbor").agg(F.count("*").alias("common"))
-    scored = shared.join(size.withColumnRenamed("row_id", "neighbor"), [*within, "neighbor"])
-    scored = scored.withColumn("score", F.col("common") / F.col("size") if normalize else F.col("common").cast("double"))
-    return top(scored, (*within, "row_id"), F.col("score"), "neighbor", m).select(*within, "row_id", "rank", "neighbor", "score")
+#: A label held by more rows than this is not joined with itself row by row.
+HOT = 4096
+
+
+def label_knn(labels: DataFrame, m: int, normalize: bool = True, within: tuple[str, ...] = (), pruned: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """``(within, row_id, rank, neighbor, score)``: rows that share most labels, each shared label counting 1 / the neighbour's number of labels.
+
+    Exact for labels of any frequency. Rows that share a label of at most ``hot`` rows meet in an inverted-index
+    join. What rows share by hotter labels alone depends on their sets of hot labels and on the
+    neighbour's size, so such neighbours come from :func:`_hot_neighbors`, which joins sets instead of rows.
+    """
+    by = list(within)
+    size = labels.groupBy(*by, "row_id").agg(F.count("*").alias("size"))
+    used = (labels if pruned is None else pruned).select(*by, "label", "row_id")
+    heads = checkpointed(used.groupBy(*by, "label").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*by, "label"))
+    has_heads = bool(heads.take(1))
+    rare = used.join(heads, [*by, "label"], "left_anti") if has_heads else used
+    other = rare.select(*[F.col(c).alias(c) for c in (*by, "label")], F.col("row_id").alias("neighbor"))
+    shared = rare.join(other, [*by, "label"]).where(F.col("row_id") != F.col("neighbor"))
+    shared = shared.groupBy(*by, "row_id", "neighbor").agg(F.count("*").alias("common"))
+    score = F.col("common") / F.col("size") if normalize else F.col("common").cast("double")
+    if not has_heads:
+        scored = shared.join(size.withColumnRenamed("row_id", "neighbor"), [*by, "neighbor"]).withColumn("score", score)
+        return top(scored, (*by, "row_id"), F.col("score"), "neighbor", m).select(*by, "row_id", "rank", "neighbor", "score")
+    # each row's hot labels, repeats included
+    sets = used.join(heads, [*by, "label"], "left_semi").groupBy(*by, "row_id").agg(F.sort_array(F.collect_list("label")).alias("hots"))
+    profiles = checkpointed(size.join(sets, [*by, "row_id"], "left"))
+    of = lambda row, *names: profiles.select(*[F.col(c).alias(c) for c in by], F.col("row_id").alias(row), *names)
+    both = shared.join(of("row_id", F.col("hots").alias("own")), [*by, "row_id"]).join(of("neighbor", F.col("hots").alias("theirs"), "size"), [*by, "neighbor"])
+    twice = F.aggregate(F.coalesce("own", F.array().cast(profiles.schema["hots"].dataType)), F.lit(0).cast("long"), lambda n, x: n + F.size(F.filter(F.coalesce("theirs", F.array().cast(profiles.schema["hots"].dataType)), lambda y: y == x)))
+    exact = both.withColumn("common", F.col("common") + twice).select(*by, "row_id", "neighbor", score.alias("score"))
+    bound = _hot_neighbors(profiles.where("hots IS NOT NULL"), m, normalize, by)
+    # a pair that shares rare labels too has a smaller score in the second list
+    scored = exact.unionByName(bound).groupBy(*by, "row_id", "neighbor").agg(F.max("score").alias("score"))
+    return top(scored, (*by, "row_id"), F.col("score"), "neighbor", m).select(*by, "row_id", "rank", "neighbor", "score")
+
+
+def _hot_neighbors(profiles: DataFrame, m: int, normalize: bool, by: list[str]) -> DataFrame:
+    """``(by, row_id, neighbor, score)`` by the hot labels alone: for each row at least its best ``m``, ties by id.
+
+    ``profiles`` is (by, row_id, size, hots). Rows of equal ``hots`` and ``size`` score alike as neighbours, so only the
+    ``m + 1`` least ids of each such profile can be among anybody's best ``m`` (one may be the row itself); and rows of
+    equal ``hots`` have the same list. Profiles are joined by label, so the work follows the number of
+    different sets, not that of the rows; a row only meets the ``m + 1`` entries of its set's list.
+    """
+    first = Window.partitionBy(*by, "hots", "size").orderBy("row_id")
+    members = profiles.withColumn("at", F.row_number().over(first)).where(F.col("at") <= m + 1).select(*by, F.col("hots").alias("theirs"), "size", F.col("row_id").alias("neighbor"))
+    mine = profiles.select(*by, "hots").distinct()
+    theirs = profiles.select(*by, F.col("hots").alias("theirs"), "size").distinct()
+    pairs = mine.withColumn("label", F.explode("hots")).join(theirs.withColumn("label", F.explode("theirs")), [*by, "label"])
+    pairs = pairs.groupBy(*by, "hots", "theirs", "size").agg(F.count("*").alias("common"))
+    score = F.col("common") / F.col("size") if normalize else F.col("common").cast("double")
+    best = pairs.select(*by, "hots", "theirs", "size", score.alias("score")).join(members, [*by, "theirs", "size"])
+    best = top(best, (*by, "hots"), F.col("score"), "neighbor", m + 1).select(*by, "hots", "neighbor", "score")
+    rows = profiles.select(*[F.col(c).alias(c) for c in (*by, "hots", "row_id")])
+    return rows.join(best, [*by, "hots"]).where(F.col("row_id") != F.col("neighbor")).select(*by, "row_id", "neighbor", "score")
 
 
 def amplify(ranked: DataFrame, m: int, by: tuple[str, ...] = ("row_id",)) -> DataFrame:

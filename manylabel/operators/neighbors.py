@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_double, unit
+from ..functions.vectors import as_double, dot, squared_distance, unit
+from ..session import checkpointed
 
 #: Vectors on each side of a tile.
 TILE = 2048
@@ -83,8 +85,6 @@ def ball(members: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, D
 
 def split(members: DataFrame, base_id: int) -> DataFrame:
     """One level of the tree: ``(row_id, side)`` with 0 left of the plane between a, farthest from the base, and b, farthest from a."""
-    from ..functions.vectors import dot, squared_distance
-
     m = members.select("row_id", as_double(F.col("emb")).alias("emb"))
     base = m.where(F.col("row_id") == base_id).select(F.col("row_id").alias("base"), F.col("emb").alias("base_emb"))
     far = lambda d, e, i: d.where(F.col("row_id") != F.col(i)).select("row_id", "emb", squared_distance(F.col("emb"), F.col(e)).alias("d2")).orderBy(F.col("d2").desc(), "row_id").limit(1)
@@ -197,3 +197,99 @@ def search_index(queries: DataFrame, index: DataFrame, k: int, eps: float = 0.0,
 def graph_search(queries: DataFrame, members: DataFrame, k: int, num_edge: int = 50, eps: float = 0.0, within: tuple[str, ...] = ("learner", "cluster"), seed: int = 0, part_rows: int = PART, exclude_self: bool = False) -> DataFrame:
     """:func:`build_index` and :func:`search_index` in one."""
     return search_index(queries, build_index(members, num_edge, within, part_rows), k, eps, within, seed, exclude_self)
+
+
+# the same search as rounds of joins: a tree grown level by level, and a frontier that follows the edges
+
+#: Vectors of a leaf, and levels of a tree; a node's number (1 for the root, 2 n and 2 n + 1 below n) fits 63 bits.
+LEAF, LEVELS = 32, 60
+
+
+def grow_tree(members: DataFrame, leaf: int = LEAF, within: tuple[str, ...] = (), levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """Leaves ``(within, row_id, node)`` and nodes ``(within, node, n, center)`` of a binary tree for each group.
+
+    A node of more than ``leaf`` rows is split by the plane between a, the row farthest from the row of least id, and b, the
+    one farthest from a (neither is that row). A round splits all nodes of a level in all groups: a and b are
+    aggregates with partial maxima, so that no task holds a node. A node whose rows all
+    fall on one side, such as equal vectors, stays a leaf.
+    """
+    by = [*within, "node"]
+    active = checkpointed(members.select(*within, "row_id", as_double(F.col("emb")).alias("emb")).withColumn("node", F.lit(1).cast("long")))
+    width = (active.agg(F.max(F.size("emb"))).first()[0]) or 0
+    center = F.array(*[F.avg(F.get("emb", i)) for i in range(width)]).cast("array<double>")
+    far = lambda e: F.max(F.struct(squared_distance(F.col("emb"), F.col(e)).alias("d2"), (-F.col("row_id")).alias("m"), F.col("emb").alias("emb")))
+    right = dot(F.zip_with("b", "a", lambda x, y: x - y), F.zip_with("emb", F.zip_with("a", "b", lambda x, y: (x + y) / 2), lambda x, y: x - y)) > 0
+    leaves, nodes = [], []
+    for level in range(levels + 1):
+        info = checkpointed(active.groupBy(*by).agg(F.count("*").alias("n"), center.alias("center"), F.min(F.struct("row_id", "emb")).alias("base")))
+        nodes.append(info.select(*by, "n", "center"))
+        full = info.where((F.col("n") > leaf) & F.lit(level < levels)).select(*by, F.col("base.row_id").alias("base_id"), F.col("base.emb").alias("base"))
+        leaves.append(active.join(full, by, "left_anti").select(*by, "row_id"))
+        if not full.take(1):
+            break
+        rows = active.join(full, by)
+        others = rows.where("row_id <> base_id")
+        first = checkpointed(others.groupBy(*by).agg(far("base").alias("f")).select(*by, F.col("f.emb").alias("a")))
+        second = others.join(first, by).groupBy(*by).agg(far("a").alias("f")).select(*by, F.col("f.emb").alias("b"))
+        sides = checkpointed(rows.join(first.join(second, by), by).select(*by, "row_id", "emb", right.cast("int").alias("side")))
+        stuck = checkpointed(sides.groupBy(*by).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high").select(*by))
+        leaves.append(sides.join(stuck, by, "left_semi").select(*by, "row_id"))
+        active = checkpointed(sides.join(stuck, by, "left_anti").select(*within, "row_id", "emb", (2 * F.col("node") + F.col("side")).alias("node")))
+    together = lambda parts: reduce(DataFrame.union, parts)
+    return checkpointed(together(leaves).select(*within, "row_id", "node")), checkpointed(together(nodes))
+
+
+def nearest_leaf(queries: DataFrame, nodes: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """``(within, query_id, node)``: from the root, the child of the nearer centre, ties to the left; a level in each round."""
+    by = list(within)
+    children = nodes.select(*by, F.shiftright("node", 1).alias("parent"), F.col("node").alias("child"), "center").where("child > 1")
+    at = checkpointed(queries.select(*by, "query_id", as_double(F.col("emb")).alias("emb"), F.lit(1).cast("long").alias("node")))
+    done = []
+    for _ in range(LEVELS + 1):
+        step = at.join(children.withColumnRenamed("parent", "node"), [*by, "node"], "left")
+        step = step.groupBy(*by, "query_id", "node").agg(F.min(F.struct(squared_distance(F.col("emb"), F.col("center")).alias("d2"), "child", F.col("emb").alias("emb"))).alias("s"))
+        step = checkpointed(step.select(*by, "query_id", "node", F.col("s.child").alias("child"), F.col("s.emb").alias("emb")))
+        done.append(step.where("child IS NULL").select(*by, "query_id", "node"))
+        at = step.where("child IS NOT NULL").select(*by, "query_id", "emb", F.col("child").alias("node"))
+        if not at.take(1):
+            break
+    return checkpointed(reduce(DataFrame.union, done))
+
+
+def search_frontier(queries: DataFrame, index: DataFrame, k: int, eps: float = 0.0, within: tuple[str, ...] = ("learner", "cluster"), exclude_self: bool = False, leaf: int = LEAF, tree: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(within, query_id, rank, row_id, score)`` and ``(within, query_id, visited)``: best-first search as rounds of joins.
+
+    ``index`` is a table of :func:`build_index`, ``tree`` one of :func:`grow_tree` within its parts. The rows of the leaf nearest to a query in each part are its first
+    frontier. A round measures the frontier, merges it into the query's best ``k`` over all parts, and follows the edges of
+    those rows that are closer than (1 + eps) times the worst of the best to rows not seen before; since the worst only
+    shrinks, a row that is too far once stays so. It ends when no query has a frontier. Nothing is held by query or part in a task.
+    """
+    by, keys = list(within), [*within, "part"]
+    want = k + exclude_self
+    vertices = index.select(*[F.col(c).alias(c) for c in (*keys, "row_id", "emb", "edges")])
+    q = checkpointed(queries.select(*by, "query_id", unit(as_double(F.col("emb"))).alias("q")))
+    leaves, nodes = tree or grow_tree(index, leaf, tuple(keys))
+    start = q.select(*by, "query_id", F.col("q").alias("emb")).join(nodes.where("node = 1").select(*keys), by)
+    entries = nearest_leaf(start, nodes, tuple(keys))
+    new = checkpointed(entries.join(leaves, [*keys, "node"]).select(*keys, "query_id", "row_id"))
+    seen, best = new, None
+    while new.take(1):
+        met = new.join(vertices, [*keys, "row_id"]).join(q, [*by, "query_id"])
+        met = checkpointed(met.select(*keys, "query_id", "row_id", squared_distance(F.col("emb"), F.col("q")).alias("d2"), "edges"))
+        found = met.select(*by, "query_id", "row_id", "d2")
+        found = found if best is None else best.unionByName(found)
+        w = Window.partitionBy(*by, "query_id").orderBy("d2", "row_id")
+        best = checkpointed(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= want).drop("rank"))
+        worst = best.groupBy(*by, "query_id").agg(F.when(F.count("*") >= want, F.max("d2")).otherwise(float("inf")).alias("worst"))
+        near = met.join(worst, [*by, "query_id"]).where(F.col("d2") <= (1 + eps) * F.col("worst"))
+        new = near.select(*keys, "query_id", F.explode("edges").alias("row_id")).distinct().join(seen, [*keys, "query_id", "row_id"], "left_anti")
+        new = checkpointed(new)
+        seen = checkpointed(seen.unionByName(new))
+    visited = seen.groupBy(*by, "query_id").agg(F.count("*").alias("visited"))
+    if best is None:
+        best = new.select(*by, "query_id", "row_id", F.lit(0.0).alias("d2"))
+    if exclude_self:
+        best = best.where("query_id <> row_id")
+    w = Window.partitionBy(*by, "query_id").orderBy("d2", "row_id")
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(*by, "query_id", "rank", "row_id", (1 - F.col("d2") / 2).alias("score")), visited

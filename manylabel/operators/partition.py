@@ -30,17 +30,49 @@ def scores(features: DataFrame, weights: DataFrame) -> DataFrame:
     return features.join(weights, "fid").groupBy("learner", "row_id", "k").agg(F.sum(F.col("val") * F.col("w")).alias("score"))
 
 
-def nearest_cluster(features: DataFrame, weights: DataFrame, k: int, learners: DataFrame | None = None) -> DataFrame:
-    """``(learner, row_id, cluster, score)``: the first cluster of the highest score; clusters that share no feature score 0."""
-    rows = features.select("row_id").distinct()
+#: Weights that are sent to every task at once; more are sent in blocks of clusters.
+MAX_SENT_WEIGHTS = 500_000
+
+
+def weight_blocks(weights: DataFrame, k: int, most: int) -> tuple[list[DataFrame], bool]:
+    """The weights in as few blocks of whole clusters as keep each at ``most`` rows, and whether that holds (a single cluster may have more)."""
+    n = 1
+    while True:
+        at = F.pmod(F.col("k"), F.lit(n))
+        largest = weights.groupBy(at).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= most or n >= k:
+            return [weights.where(at == b) for b in range(n)], largest <= most
+        n = min(k, max(2 * n, -(-largest * n // most)))
+
+
+def nearest_cluster(features: DataFrame, weights: DataFrame, k: int, learners: DataFrame | None = None, most: int = MAX_SENT_WEIGHTS) -> DataFrame:
+    """``(learner, row_id, cluster, score)``: the first cluster of the highest score; clusters that share no feature score 0.
+
+    Features are brought together by row once. Weights go to them, block by block of clusters, each of a checked size, so a
+    row's scores are summed where the row is and only its best of each block is kept: nothing that grows with
+    rows times clusters is shuffled. A block that is too large to be sent is joined by feature instead.
+    """
+    every = features.select("row_id").distinct()
     learners = weights.select("learner").distinct() if learners is None else learners
-    known = scores(features, weights).groupBy("learner", "row_id").agg(F.max(F.struct("score", (-F.col("k")).alias("m"))).alias("b"), F.collect_set("k").alias("ks"))
-    every = rows.join(F.broadcast(learners))  # learners are few
-    d = every.join(known, ["learner", "row_id"], "left")
+    every = every.join(F.broadcast(learners))  # learners are few
+    x = features.repartition("row_id")
+    best = F.max(F.struct("score", (-F.col("k")).alias("m")))
+    found = None
+    blocks, fit = weight_blocks(weights, k, most)
+    for block in blocks:
+        small = fit or block.limit(most + 1).count() <= most
+        d = x.join(F.broadcast(block), "fid") if small else features.join(block, "fid")
+        d = d.groupBy("learner", "row_id", "k").agg(F.sum(F.col("val") * F.col("w")).alias("score")).groupBy("learner", "row_id").agg(best.alias("b"), F.count("*").alias("n"))
+        found = d if found is None else found.union(d)
+    known = found.groupBy("learner", "row_id").agg(F.max("b").alias("b"), F.sum("n").alias("n"))
     score, cluster = F.col("b.score"), -F.col("b.m")
-    # the clusters of no known score, looked for only where one of them can win
+    d = every.join(known, ["learner", "row_id"], "left")
+    # a cluster of no known score can only win where no score is above 0; the others of such a row are looked up
+    doubt = known.where((F.col("b.score") <= 0) & (F.col("n") < k)).select("learner", "row_id")
+    seen = features.join(doubt, "row_id").join(weights, ["learner", "fid"]).groupBy("learner", "row_id").agg(F.collect_set("k").alias("ks"))
+    d = d.join(seen, ["learner", "row_id"], "left")
     unknown = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(k - 1)), F.coalesce("ks", F.array().cast("array<int>"))))
-    other = F.when(score.isNull() | (score <= 0), unknown)
+    other = F.when(score.isNull() | ((score <= 0) & (F.col("n") < k)), unknown)
     silent = other.isNotNull() & (score.isNull() | (score < 0) | ((score == 0) & (other < cluster)))
     return d.select("learner", "row_id", F.when(silent, other).otherwise(cluster).cast("int").alias("cluster"), F.when(silent, F.lit(0.0)).otherwise(score).alias("score"))
 

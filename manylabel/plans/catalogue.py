@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import l2_normalize, long_form, reindex
 from ..operators import embed, labelgraph, metrics, neighbors, partition, vote
 from ..params import Params
+from ..session import checkpointed, shared_path
 from ..sources import model, svmlight
 from . import fixtures as fx
 
@@ -71,12 +72,12 @@ def _(spark, sf_dir):
     return one(100).union(one(5000))
 
 
-def _knn_sql(base: str, m: int, within: str = "", where: str = "") -> str:
+def _knn_sql(base: str, m: int, within: str = "", lab: str = "lab") -> str:
     """CTEs up to ``ranked(row_id, neighbor, score, rank)``."""
     same = f"AND a.{within} = b.{within}" if within else ""
     return f"""{base},
-shared AS (SELECT a.row_id, b.row_id AS neighbor, count(*) AS common FROM lab a JOIN lab b ON a.label = b.label {same} WHERE a.row_id <> b.row_id GROUP BY ALL),
-sizes AS (SELECT row_id AS neighbor, count(*) AS size FROM lab GROUP BY row_id),
+shared AS (SELECT a.row_id, b.row_id AS neighbor, count(*) AS common FROM {lab} a JOIN {lab} b ON a.label = b.label {same} WHERE a.row_id <> b.row_id GROUP BY ALL),
+sizes AS (SELECT row_id AS neighbor, count(*) AS size FROM {lab} GROUP BY row_id),
 scored AS (SELECT row_id, neighbor, common / size::DOUBLE AS score FROM shared JOIN sizes USING (neighbor)),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, neighbor)::INT AS rank FROM scored) WHERE rank <= {m})"""
 
@@ -125,6 +126,12 @@ def _(spark, sf_dir):
     return _rounded(labelgraph.label_knn(labels, 10, pruned=labelgraph.prune_heads(labels, freq, threshold)), "score")
 
 
+@query("Q06d_label_knn_hot", f"WITH {_knn_sql(fx.ORDERS + fx.HOT, 10, lab='hot')} SELECT row_id, rank, neighbor, round(score, 6) AS score FROM ranked")
+def _(spark, sf_dir):
+    """A label in half of all rows, and nothing pruned."""
+    return _rounded(labelgraph.label_knn(fx.hot_labels(spark, sf_dir), 10, hot=256), "score")
+
+
 # partitions
 
 _KMEANS = fx.VECTORS + """,
@@ -221,6 +228,18 @@ def _(spark, sf_dir):
     return drawn.groupBy("row_id").agg(F.count("*").alias("n"))
 
 
+@query("Q14c_pairwise_learns", "SELECT 0::INT AS learner, true AS better UNION ALL SELECT 1, true")
+def _(spark, sf_dir):
+    """Whether, after training on terms and languages, positive pairs are in one cluster more often, by a tenth of them, than clusters of these sizes give by chance."""
+    features, labels, _ = fx.documents(spark, sf_dir)
+    features = checkpointed(l2_normalize(features))
+    w = partition.fit_pairwise(features, labels, 4, learners=2, epochs=2, num_nn=5, lam=0.1, batches=2, seed=3)
+    a = checkpointed(partition.nearest_cluster(features, w, 4))
+    pos = labelgraph.label_knn(labels, 5).select("row_id", F.col("neighbor").alias("other"))
+    share = a.groupBy("learner", "cluster").agg(F.count("*").alias("n")).groupBy("learner").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n") / F.sum("n")).alias("chance"))
+    return partition.pair_accuracy(a, pos).join(share, "learner").select("learner", (F.col("accuracy") > F.col("chance") + 0.1).alias("better"))
+
+
 _ASSIGNED = """
 sc AS (SELECT row_id, k, sum(val * ((31 * fid + 17 * k) % 101 - 50)) AS score FROM feat, range(0, 8) x(k) GROUP BY ALL),
 a AS (SELECT row_id, k::INT AS cluster FROM sc QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, k) = 1)"""
@@ -253,6 +272,16 @@ def _(spark, sf_dir):
     return _rounded(partition.pair_accuracy(a, pos), "accuracy").select("n_pairs", "n_correct", "accuracy")
 
 
+@query("Q15b_hashed_weights", f"""WITH {fx.ORDERS}, w AS (SELECT k, fid, ((31 * fid + 17 * k) % 101 - 50)::DOUBLE AS w, (k * 1000003 + fid) & 255 AS slot FROM (SELECT DISTINCT fid FROM feat), range(0, 8) x(k)),
+h AS (SELECT k, fid, sum(w) OVER (PARTITION BY slot) AS w FROM w),
+sc AS (SELECT row_id, k, sum(val * w) AS score FROM feat JOIN h USING (fid) GROUP BY ALL)
+SELECT row_id, k::INT AS cluster, score FROM sc QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, k) = 1""")
+def _(spark, sf_dir):
+    """The nearest cluster when weights share 256 slots, so that most places collide."""
+    features, _, w, _ = _arithmetic_clusters(spark, sf_dir)
+    return partition.nearest_cluster(features, partition.hash_weights(w, 1000003, 8), 8).select("row_id", "cluster", "score")
+
+
 @query("Q17_reindex_labels", f"WITH {_CLUSTERS} SELECT DISTINCT cluster, label, dense_rank() OVER (PARTITION BY cluster ORDER BY label)::INT AS new_id FROM a JOIN lab USING (row_id)")
 def _(spark, sf_dir):
     _, labels, _, a = _arithmetic_clusters(spark, sf_dir)
@@ -312,6 +341,46 @@ def _(spark, sf_dir):
     return QUERIES["Q20_embedding_fit"](spark, sf_dir).where("k = 1").select((F.col("precision") > 0.7).alias("enough"))
 
 
+@query("Q20c_embedding_sharded", "SELECT 1::BIGINT AS clusters, true AS enough")
+def _(spark, sf_dir):
+    """The same for one cluster of all documents, whose matrix stays a table: seven tenths of the nearest neighbours agree."""
+    features, labels, assigned = fx.documents(spark, sf_dir)
+    one = assigned.withColumn("cluster", F.lit(0))
+    _, emb = embed.fit(l2_normalize(features), labels, one, Params(emb_size=16, num_nn=5, emb_iter=2, seed=1), max_rows=0)
+    q = emb.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
+    near = neighbors.knn(q, emb, 10, within=("learner", "cluster"), exclude_self=True)
+    near = near.select("learner", "cluster", F.col("query_id").alias("row_id"), F.col("row_id").alias("neighbor"))
+    p = embed.weighted_precision(embed.local_precision(near, labels, ("learner", "cluster"), depth=1))
+    return p.select((F.col("precision") > 0.7).alias("enough")).join(emb.agg(F.countDistinct("cluster").alias("clusters"))).select("clusters", "enough")
+
+
+@query("Q20d_embedding_step", f"""WITH {fx.VECTORS}, {_PAIRS.split("cs AS")[0].rstrip().rstrip(",")},
+w AS (SELECT f, d, ((31 * f + 17 * d) % 101)::DOUBLE / 101 - 0.5 AS w FROM range(0, 64) x(f), range(0, 4) y(d)),
+u AS (SELECT row_id, f, e[f + 1] AS val FROM emb, range(0, 64) x(f)),
+z AS (SELECT row_id, list(x ORDER BY d) AS z FROM (SELECT row_id, d, sum(val * w) AS x FROM u JOIN w USING (f) GROUP BY ALL) GROUP BY row_id),
+cs AS (SELECT pr.row_id, role, slot, other, a.z AS za, b.z AS zb, list_dot_product(a.z, b.z) AS i, sqrt(list_dot_product(a.z, a.z)) AS na, sqrt(list_dot_product(b.z, b.z)) AS nb FROM pr JOIN z a USING (row_id) JOIN z b ON b.row_id = pr.other),
+t AS (SELECT p.row_id, p.slot AS ps, q.slot AS qs, exp(-10 * (p.i / p.na / p.nb - q.i / q.na / q.nb)) AS t FROM cs p JOIN cs q USING (row_id) WHERE p.role = 'p' AND q.role = 'q'),
+a AS (SELECT row_id, ps, qs, 10 * t / (1 + sum(t) OVER (PARTITION BY row_id, ps)) AS a FROM t),
+co AS (SELECT row_id, 'p' AS role, ps AS slot, sum(a) AS c FROM a GROUP BY ALL UNION ALL SELECT row_id, 'q', qs, -sum(a) FROM a GROUP BY ALL),
+gz AS (SELECT cs.row_id, d, c / (na * nb) * (zb[d + 1] - i / (na * na) * za[d + 1]) AS g FROM cs JOIN co USING (row_id, role, slot), range(0, 4) y(d)
+       UNION ALL SELECT cs.other, d, c / (na * nb) * (za[d + 1] - i / (nb * nb) * zb[d + 1]) FROM cs JOIN co USING (row_id, role, slot), range(0, 4) y(d)),
+gw AS (SELECT f, d, sum(val * g) AS g FROM (SELECT row_id, d, sum(g) AS g FROM gz GROUP BY ALL) JOIN u USING (row_id) GROUP BY ALL)
+SELECT f::INT AS fid, d::INT AS dim, round(w + 0.1 * g / sqrt(1 + g * g), 5) + 0.0 AS w, round(1 + g * g, 2) AS grown FROM gw JOIN w USING (f, d)""")
+def _(spark, sf_dir):
+    """One batch of the sharded learner over all vectors: projections, ranking gradients of rows, their sums by feature, and the AdaGrad step."""
+    emb, _ = fx.vectors(spark, sf_dir)
+    n = emb.count()
+    one = {"learner": F.lit(0), "cluster": F.lit(0)}
+    x = long_form(emb, "row_id", "emb").withColumns(one)
+    w = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: ((31 * F.col("fid") + 17 * d) % 101) / 101.0 - 0.5)
+    state = x.select("learner", "cluster", "fid").distinct().withColumns({"w": w, "grown": F.array_repeat(F.lit(1.0), 4)})
+    three = emb.select("row_id", F.explode(F.array(*[F.lit(t) for t in range(3)])).alias("slot")).withColumns(one)
+    pairs = three.withColumns({"role": F.lit(1), "other": (F.col("row_id") + 1 + F.col("slot")) % n}).unionByName(three.withColumns({"role": F.lit(0), "other": (7 * F.col("row_id") + 13 * F.col("slot") + 5) % n}))
+    out = embed.adagrad_step(x, state, pairs, Params(emb_size=4, gamma=10.0, eta0=0.1))
+    d = out.select("fid", F.posexplode(F.arrays_zip("w", "grown")).alias("dim", "s"))
+    return d.select("fid", "dim", (F.round("s.w", 5) + 0.0).alias("w"), F.round("s.grown", 2).alias("grown"))
+
+
 _LOCAL = """
 v AS (SELECT g, n.row_id, label, count(*) AS votes FROM nb n JOIN lab ON lab.row_id = n.neighbor GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY votes DESC, label) AS rank FROM v),
@@ -382,6 +451,36 @@ def _(spark, sf_dir):
     return neighbors.split(emb, emb.agg(F.min("row_id")).first()[0])
 
 
+def _level_sql(level: int, leaf: int) -> str:
+    """From ``n0(row_id, node, e)``: base, a and b of each full node, and the next level's nodes."""
+    i = level
+    return f"""
+s{i} AS (SELECT node, count(*) AS n, arg_min(e, row_id) AS be, min(row_id) AS bid FROM n{i} GROUP BY node HAVING count(*) > {leaf}),
+a{i} AS (SELECT node, e AS ae FROM n{i} JOIN s{i} USING (node) WHERE row_id <> bid QUALIFY row_number() OVER (PARTITION BY node ORDER BY list_distance(e, be) DESC, row_id) = 1),
+b{i} AS (SELECT node, e AS be FROM n{i} JOIN s{i} USING (node) JOIN a{i} USING (node) WHERE row_id <> bid QUALIFY row_number() OVER (PARTITION BY node ORDER BY list_distance(e, ae) DESC, row_id) = 1),
+n{i + 1} AS (SELECT row_id, CASE WHEN ae IS NULL THEN node WHEN list_sum(list_transform(range(1, 65), lambda i: (b{i}.be[i] - ae[i]) * (e[i] - (ae[i] + b{i}.be[i]) / 2))) > 0 THEN 2 * node + 1 ELSE 2 * node END AS node, e
+       FROM n{i} LEFT JOIN a{i} USING (node) LEFT JOIN b{i} USING (node))"""
+
+
+_TREE = fx.VECTORS + ",\nn0 AS (SELECT row_id, 1::BIGINT AS node, e FROM emb)," + ",".join(_level_sql(i, 32) for i in range(3))
+
+
+@query("Q26b_tree_levels", f"WITH {_TREE} SELECT row_id, node FROM n3")
+def _(spark, sf_dir):
+    """Three levels of the tree: each row's node, which tells its path."""
+    return neighbors.grow_tree(fx.vectors(spark, sf_dir)[0], leaf=32, levels=3)[0]
+
+
+@query("Q26c_tree_leaves", "SELECT count(*)::BIGINT AS n_rows, true AS bounded, true AS nested FROM embeddings")
+def _(spark, sf_dir):
+    """The whole tree: every row is in one leaf, leaves are bounded, and a node has the rows of its two children."""
+    leaves, nodes = neighbors.grow_tree(fx.vectors(spark, sf_dir)[0], leaf=32)
+    n = leaves.groupBy("node").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), (F.max("n") <= 32).alias("bounded"))
+    both = nodes.where("node > 1").groupBy(F.shiftright("node", 1).alias("node")).agg(F.sum("n").alias("below"), F.count("*").alias("c"))
+    whole = nodes.join(both, "node", "left").agg(F.every(F.col("below").isNull() | ((F.col("below") == F.col("n")) & (F.col("c") == 2))).alias("nested"))
+    return n.join(whole)
+
+
 @query("Q27_ball", f"""WITH {fx.VECTORS},
 u AS (SELECT row_id, unnest(range(0, 64)) AS dim, unnest(e) AS x FROM emb), c AS (SELECT dim, avg(x) AS mean FROM u GROUP BY dim)
 SELECT dim::INT AS dim, round(mean, 6) + 0.0 AS value FROM c
@@ -394,7 +493,7 @@ def _(spark, sf_dir):
 @query("Q28_graph_search")
 def _(spark, sf_dir):
     m = fx.vectors(spark, sf_dir)[0].withColumns({"learner": F.lit(0), "cluster": F.lit(0)})
-    return neighbors.graph_search(fx.search_queries(m), m, 10, num_edge=50, eps=0.1, exclude_self=True)
+    return neighbors.graph_search(fx.search_queries(m), m, 10, num_edge=50, eps=0.1, part_rows=256, exclude_self=True)
 
 
 @query("Q28b_graph_search_recall", "SELECT count(*)::BIGINT * 10 AS n_true, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
@@ -406,6 +505,18 @@ def _(spark, sf_dir):
     return d.select("n_true", (F.col("hits") >= 0.9 * F.col("n_true")).alias("enough"))
 
 
+@query("Q28c_frontier_search", "SELECT count(*)::BIGINT * 10 AS n_true, true AS enough, true AS bounded FROM embeddings WHERE vec_id % 20 = 0")
+def _(spark, sf_dir):
+    """The search as rounds of joins over several parts: recall of nine tenths, and queries that see fewer rows than there are."""
+    m = fx.vectors(spark, sf_dir)[0].withColumns({"learner": F.lit(0), "cluster": F.lit(0)})
+    index = checkpointed(neighbors.build_index(m, 20, part_rows=256))
+    found, visited = neighbors.search_frontier(fx.search_queries(m), index, 10, eps=0.05, exclude_self=True)
+    exact = _knn(spark, sf_dir, "cosine").select("query_id", "row_id")
+    d = exact.join(found.select("query_id", "row_id", F.lit(1).alias("hit")), ["query_id", "row_id"], "left").agg(F.count("*").alias("n_true"), F.count("hit").alias("hits"))
+    seen = visited.agg(F.avg("visited").alias("seen"), F.count("*").alias("q")).join(m.agg(F.count("*").alias("n")))
+    return d.join(seen).select("n_true", (F.col("hits") >= 0.9 * F.col("n_true")).alias("enough"), ((F.col("seen") < 0.9 * F.col("n")) & (10 * F.col("q") == F.col("n_true"))).alias("bounded"))
+
+
 # votes and scores
 
 
@@ -458,6 +569,33 @@ def _(spark, sf_dir):
     return _rounded(metrics.ndcg_at_k(pred, true, true), "value")
 
 
+_TEXT = fx.LEARNERS + """,
+o AS (SELECT row_id, label, rank, row_number() OVER (PARTITION BY row_id ORDER BY label) AS place FROM pred),
+h2 AS (SELECT 'score' AS ordering, row_id, label, rank FROM o UNION ALL SELECT 'text', row_id, label, place FROM o),
+t2 AS (SELECT ordering, h2.row_id, rank, (t.label IS NOT NULL)::INT AS hit FROM h2 LEFT JOIN true_ t USING (row_id, label)),
+n2 AS (SELECT count(DISTINCT row_id) + count(DISTINCT row_id) FILTER (row_id % 3 = 0) AS n FROM true_)"""
+
+
+def _from_text(spark, sf_dir, metric):
+    pred, true, _ = _predictions(spark, sf_dir)
+    path = shared_path(spark, "results")
+    fx.result_lines(pred, true).write.text(path)
+    rows, true, pred = svmlight.read_results(spark, path)
+    one = lambda name, ordered: metric(metrics.rerank(pred, ordered), true, rows).select(F.lit(name).alias("ordering"), "k", "value")
+    return _rounded(one("score", False).union(one("text", True)), "value")
+
+
+@query("Q33b_precision_from_text", f"WITH {_TEXT} SELECT ordering, k, round(sum(hit)::DOUBLE / (k * (SELECT n FROM n2)), 6) AS value FROM ks JOIN t2 ON rank <= k GROUP BY ordering, k")
+def _(spark, sf_dir):
+    """From result text, with the predictions ranked by score and as they stand; lines without two parts count as rows."""
+    return _from_text(spark, sf_dir, metrics.precision_at_k)
+
+
+@query("Q34b_ndcg_from_text", f"WITH {_TEXT} SELECT ordering, k, round(sum(hit / log2(rank + 1) / ideal) / (SELECT n FROM n2), 6) AS value FROM t2 JOIN ideal USING (row_id) WHERE rank <= k GROUP BY ordering, k")
+def _(spark, sf_dir):
+    return _from_text(spark, sf_dir, metrics.ndcg_at_k)
+
+
 @query("Q35_propensity", f"WITH {fx.LEARNERS} SELECT label, round(weight, 6) AS weight FROM weight UNION ALL SELECT -1, round(unseen, 6) FROM unseen")
 def _(spark, sf_dir):
     _, _, train = _predictions(spark, sf_dir)
@@ -499,6 +637,51 @@ def _(spark, sf_dir):
     return _rounded(model.sizes(_arithmetic_clusters(spark, sf_dir)[2], fx.vectors(spark, sf_dir)[0]), "density")
 
 
+@query("Q39b_model_size_of_all_parts", f"""WITH {fx.ORDERS}, {_TREE.lstrip().replace("lab AS", "vlab AS", 1)},
+w AS (SELECT k, fid, (31 * fid + 17 * k) % 101 - 50 AS w FROM (SELECT DISTINCT fid FROM feat), range(0, 8) x(k)),
+m AS (SELECT k, fid, d, (31 * fid + 17 * d + k) % 101 - 50 AS x FROM w, range(0, 4) y(d)),
+v AS (SELECT count(*) AS n FROM emb),
+paths AS (SELECT DISTINCT node >> s AS node FROM n3, range(0, 4) x(s) WHERE node >> s > 0)
+SELECT 'clusters' AS part, count(*) FILTER (w <> 0)::BIGINT AS n_values, round(count(*) FILTER (w <> 0) / count(*)::DOUBLE, 6) AS density FROM w
+UNION ALL SELECT 'embeddings', sum(len(embedding))::BIGINT, 1.0 FROM embeddings
+UNION ALL SELECT 'projections', count(*) FILTER (x <> 0)::BIGINT, round(count(*) FILTER (x <> 0) / count(*)::DOUBLE, 6) FROM m
+UNION ALL SELECT 'index', (n * least(20, n - 1))::BIGINT, round(least(20, n - 1) / (n - 1)::DOUBLE, 6) FROM v
+UNION ALL SELECT 'tree', (SELECT count(*) FROM paths)::BIGINT, round((SELECT count(*) FROM paths) / n::DOUBLE, 6) FROM v""")
+def _(spark, sf_dir):
+    emb, _ = fx.vectors(spark, sf_dir)
+    w = _arithmetic_clusters(spark, sf_dir)[2]
+    vec = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: ((31 * F.col("fid") + 17 * d + F.col("k")) % 101 - 50).cast("double"))
+    matrix = w.select("learner", F.col("k").alias("cluster"), "fid", vec.alias("w"))
+    index = neighbors.build_index(emb.withColumns({"learner": F.lit(0), "cluster": F.lit(0)}), 20)
+    return _rounded(model.sizes(w, emb, matrix, index, neighbors.grow_tree(emb, leaf=32, levels=3)[1]), "density")
+
+
+@query("Q41_model_round_trip", f"""WITH {fx.ORDERS}, {fx.VECTORS.lstrip().replace("lab AS", "vlab AS", 1)},
+w AS (SELECT t, k, fid, (31 * fid + 17 * k + t) % 101 - 50 AS w FROM (SELECT DISTINCT fid FROM feat), range(0, 4) x(k), range(0, 2) y(t))
+SELECT 'labels' AS part, -1::INT AS learner, count(*)::BIGINT AS n, sum(label)::DOUBLE AS total FROM lab
+UNION ALL SELECT 'clusters', t::INT, count(*)::BIGINT, sum(w)::DOUBLE FROM w GROUP BY t
+UNION ALL SELECT 'assignments', t::INT, count(*)::BIGINT, sum((row_id + t) % 4)::DOUBLE FROM emb, range(0, 2) y(t) GROUP BY t
+UNION ALL SELECT 'embeddings', t::INT, count(*)::BIGINT, round(sum(list_sum(e)), 4) FROM emb, range(0, 2) y(t) GROUP BY t
+UNION ALL SELECT 'projections', t::INT, count(*)::BIGINT, sum(w)::DOUBLE FROM w GROUP BY t""")
+def _(spark, sf_dir):
+    """A model of three learners is saved, and the first two of them are loaded again."""
+    features, labels = fx.orders(spark, sf_dir)
+    emb, _ = fx.vectors(spark, sf_dir)
+    learner = F.explode(F.array(*[F.lit(t) for t in range(3)])).alias("learner")
+    w = features.select("fid", learner).distinct().withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    w = w.withColumn("w", ((31 * F.col("fid") + 17 * F.col("k") + F.col("learner")) % 101 - 50).cast("double"))
+    e = emb.select("row_id", "emb", learner).withColumn("cluster", ((F.col("row_id") + F.col("learner")) % 4).cast("int"))
+    path = shared_path(spark, "model")
+    model.Model(labels, w, e, w.select("learner", F.col("k").alias("cluster"), "fid", F.array("w").alias("w")), e).save(path)
+    m = model.Model.load(spark, path, num_learner=2)
+    part = lambda name, d, value: d.groupBy("learner").agg(F.count("*").alias("n"), F.round(F.sum(value), 4).cast("double").alias("total")).select(F.lit(name).alias("part"), "learner", "n", "total")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    out = part("labels", m.labels.withColumn("learner", F.lit(-1)), F.col("label"))
+    for name, d, value in (("clusters", m.clusters, F.col("w")), ("assignments", m.assignments, F.col("cluster")), ("embeddings", m.embeddings, total("emb")), ("projections", m.projections, total("w"))):
+        out = out.union(part(name, d, value))
+    return out
+
+
 @query("Q40_flagship", f"""WITH {fx.VECTORS},
 near AS (SELECT * FROM (SELECT q.row_id AS query_id, m.row_id, row_number() OVER (PARTITION BY q.row_id ORDER BY list_cosine_similarity(q.e, m.e) DESC, m.row_id) AS rank
          FROM emb q, emb m WHERE q.row_id % 5 = 0 AND m.row_id % 5 <> 0) WHERE rank <= 10),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, unit
@@ -20,6 +20,12 @@ def orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return features, d.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("label")).distinct()
 
 
+def hot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of orders, and one more that half of all orders have."""
+    labels = orders(spark, sf_dir)[1]
+    return labels.union(labels.select("row_id").distinct().where("row_id % 2 = 0").select("row_id", F.lit(0)))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as text rows, labels and features in the order of their ids."""
     features, labels = orders(spark, sf_dir)
@@ -63,9 +69,18 @@ def documents(spark: SparkSession, sf_dir: str, cluster_rows: int = 250) -> tupl
     return features, labels, assigned
 
 
+def result_lines(predictions: DataFrame, true: DataFrame) -> DataFrame:
+    """Result text whose predictions stand in the order of their labels, and a line without two parts for each third row."""
+    by_label = predictions.withColumn("rank", F.row_number().over(Window.partitionBy("row_id").orderBy("label")))
+    whole = svmlight.render_results(by_label.withColumn("score", F.col("score").cast("double")), true).select("value")
+    return whole.union(true.select("row_id").distinct().where("row_id % 3 = 0").select(F.concat(F.lit("alone"), F.col("row_id"))))
+
+
 ORDERS = """
 feat AS (SELECT l_orderkey AS row_id, l_suppkey AS fid, count(*)::DOUBLE AS val FROM lineitem GROUP BY ALL),
 lab AS (SELECT DISTINCT l_orderkey AS row_id, l_partkey AS label FROM lineitem)"""
+HOT = """,
+hot AS (SELECT row_id, label FROM lab UNION ALL SELECT DISTINCT l_orderkey, 0 FROM lineitem WHERE l_orderkey % 2 = 0)"""
 VECTORS = """
 emb AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS e FROM embeddings),
 lab AS (SELECT vec_id AS row_id, unnest([label::BIGINT, 100 + vec_id % 7]) AS label FROM embeddings)"""

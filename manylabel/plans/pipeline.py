@@ -22,17 +22,6 @@ from ..session import checkpointed
 from ..sources import svmlight
 from ..sources.model import Model
 
-#: A cluster above this is split by hash before it is learned.
-MAX_CLUSTER_ROWS = 20_000
-
-
-def split_large(assigned: DataFrame, k: int, max_rows: int = MAX_CLUSTER_ROWS) -> DataFrame:
-    """Clusters above ``max_rows`` become parts ``cluster + part * k``, dealt by hash."""
-    n = assigned.groupBy("learner", "cluster").agg(F.ceil(F.count("*") / max_rows).cast("int").alias("parts"))
-    d = assigned.join(n, ["learner", "cluster"])
-    part = F.pmod(F.xxhash64("row_id"), "parts").cast("int")
-    return d.withColumn("cluster", (F.col("cluster") + part * F.lit(k)).cast("int")).drop("parts")
-
 
 def train(features: DataFrame, labels: DataFrame, p: Params) -> Model:
     x = checkpointed(l2_normalize(features))
@@ -50,8 +39,8 @@ def train(features: DataFrame, labels: DataFrame, p: Params) -> Model:
         if p.hash_bits:
             w = partition.hash_weights(w, 1 + x.agg(F.max("fid")).first()[0], p.hash_bits)
         assigned = partition.nearest_cluster(x, w, k, learners)
-    assigned = checkpointed(split_large(assigned.select("learner", "row_id", "cluster"), k))
-    w_emb, emb = embed.fit(x, labels, assigned, p, max_rows=2 * MAX_CLUSTER_ROWS)
+    assigned = checkpointed(assigned.select("learner", "row_id", "cluster"))
+    w_emb, emb = embed.fit(x, labels, assigned, p)
     index = neighbors.build_index(emb, p.num_edge) if p.pred_type > 0 else None  # built once, and saved with the model
     return Model(labels, w.select("learner", "k", "fid", "w"), assigned, w_emb, emb, index)
 
@@ -67,10 +56,6 @@ def predict(model: Model, features: DataFrame, p: Params) -> DataFrame:
         assigned = partition.nearest_cluster(x, model.clusters.where(F.col("learner") < p.num_learner), k, learners)
     else:
         assigned = x.select("row_id").distinct().join(F.broadcast(learners)).withColumn("cluster", F.lit(0))
-    # a split cluster is searched in all of its parts
-    parts = emb.select("learner", F.col("cluster").alias("part")).distinct()
-    parts = parts.withColumn("cluster", F.col("part") % k)
-    assigned = assigned.join(parts, ["learner", "cluster"]).select("learner", "row_id", F.col("part").alias("cluster"))
     q = embed.project(x, model.projections, assigned).withColumnRenamed("row_id", "query_id")
     within = ("learner", "cluster")
     if p.pred_type > 0:
@@ -86,10 +71,7 @@ def main(argv: list[str]) -> int:
     ordered = "--ordered" in argv
     mode, path, *rest = (a for a in argv if a != "--ordered")
     if mode == "score":
-        d = svmlight.parse_results(spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()))
-        d = checkpointed(d)
-        true = svmlight.labels_of(d.where("labels IS NOT NULL"))
-        pred = d.where("preds IS NOT NULL").select("row_id", F.posexplode("preds").alias("at", "p")).select("row_id", (F.col("at") + 1).alias("rank"), "p.label", "p.score")
+        d, true, pred = svmlight.read_results(spark, path)
         pred = metrics.rerank(pred, ordered)
         out = [("P", metrics.precision_at_k(pred, true, d)), ("nDCG", metrics.ndcg_at_k(pred, true, d))]
         if rest:

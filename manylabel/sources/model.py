@@ -54,11 +54,25 @@ def _columns(schema: str) -> list[StructField]:
     return StructType.fromDDL(schema).fields
 
 
-def sizes(weights: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
-    """Part, number of non-zero values, and density over its groups' full shape."""
+def sizes(weights: DataFrame, embeddings: DataFrame | None = None, projections: DataFrame | None = None, index: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Part, number of non-zero values, and density over its groups' full shape.
+
+    Parts are the clusters' weights; the embeddings; the projections (non-zero values, over all features of any cluster); the index (edges, over the
+    vertices' possible ones) and its trees (nodes, over the leaves' rows).
+    """
     w = weights.where(F.abs("w") > 0)
     shape = weights.agg(F.countDistinct("k").alias("k"), F.countDistinct("fid").alias("f"))
     out = w.agg(F.count("*").alias("n_values")).join(shape).select(F.lit("clusters").alias("part"), "n_values", (F.col("n_values") / (F.col("k") * F.col("f"))).alias("density"))
     if embeddings is not None:
         out = out.union(embeddings.agg(F.sum(F.size("emb")).alias("n_values")).select(F.lit("embeddings"), "n_values", F.lit(1.0)))
+    if projections is not None:
+        held = F.sum(F.size(F.filter("w", lambda x: x != 0))).alias("n_values")
+        d = projections.agg(held, F.countDistinct("learner", "cluster").alias("g"), F.countDistinct("fid").alias("f"), F.max(F.size("w")).alias("e"))
+        out = out.union(d.select(F.lit("projections"), "n_values", F.col("n_values") / (F.col("g") * F.col("f") * F.col("e"))))
+    if index is not None:
+        d = index.agg(F.sum(F.size("edges")).alias("n_values"), F.count("*").alias("n"))
+        out = out.union(d.select(F.lit("index"), "n_values", F.col("n_values") / (F.col("n") * (F.col("n") - 1))))
+    if nodes is not None:
+        d = nodes.agg(F.count("*").alias("n_values"), F.sum(F.when(F.col("node") == 1, F.col("n"))).alias("n"))
+        out = out.union(d.select(F.lit("tree"), "n_values", F.col("n_values") / F.col("n")))
     return out

@@ -86,5 +86,12 @@ def parse_results(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.withColumns({"labels": F.when(two, labels).cast(_LABELS), "preds": F.when(two, preds)})
 
 
+def read_results(spark: SparkSession, path: str, value: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows(row_id)`` of every line, ``true(row_id, label)`` and ``predictions(row_id, rank, label, score)`` in the order of the text."""
+    d = checkpointed(parse_results(spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()), value))
+    pred = d.where("preds IS NOT NULL").select("row_id", F.posexplode("preds").alias("at", "p")).select("row_id", (F.col("at") + 1).alias("rank"), "p.label", "p.score")
+    return d.select("row_id"), labels_of(d.where("labels IS NOT NULL")), pred
+
+
 def write_results(predictions: DataFrame, labels: DataFrame, path: str) -> None:
     render_results(predictions, labels).orderBy("row_id").select("value").write.mode("overwrite").text(path)

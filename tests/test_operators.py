@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from manylabel.functions.vectors import l2_normalize, sigmoid
 from manylabel.operators import labelgraph, neighbors, partition, vote
+from manylabel.session import checkpointed
 
 L = {0: [1, 2], 1: [1, 2, 3], 2: [2], 3: [1], 4: [9]}
 
@@ -28,6 +29,45 @@ def test_label_knn_and_amplification(labels):
     }
 
 
+def brute_label_knn(rows, m, normalize, cluster=lambda i: 0):
+    held = {}
+    for i, x in rows:
+        held.setdefault(i, Counter())[x] += 1
+    out = set()
+    for i, own in held.items():
+        near = []
+        for j, theirs in held.items():
+            common = sum(own[x] * theirs[x] for x in own)
+            if i != j and common and cluster(i) == cluster(j):
+                near.append((-(common / sum(theirs.values()) if normalize else common), j))
+        out |= {(i, r, j, round(-s, 9)) for r, (s, j) in enumerate(sorted(near)[:m], 1)}
+    return out
+
+
+@pytest.mark.parametrize("hot, normalize", [(1, True), (40, True), (8, False)])
+def test_hot_labels_change_nothing(spark, hot, normalize):
+    """One label in half of all rows, two in many, rare ones, repeats: the same lists whatever counts as hot."""
+    rng = np.random.default_rng(11)
+    rows = [(i, int(x)) for i in range(160) for x in [0] * (i % 2) + [1] * (i % 3 == 0) + [2] * (2 * (i % 7 == 0)) + list(3 + rng.integers(0, 60, i % 4))]
+    d = spark.createDataFrame([(i, x, i % 2) for i, x in rows], "row_id long, label long, cluster int")
+    got = lambda x: {(r["row_id"], r["rank"], r["neighbor"], round(r["score"], 9)) for r in x.collect()}
+    if hot == 40:
+        assert got(labelgraph.label_knn(d.drop("cluster"), 5, normalize, hot=hot)) == brute_label_knn(rows, 5, normalize)
+    assert got(labelgraph.label_knn(d, 5, normalize, within=("cluster",), hot=hot)) == brute_label_knn(rows, 5, normalize, lambda i: i % 2)
+
+
+def test_a_label_of_half_the_rows_makes_no_quadratic_join(spark):
+    """20,000 rows, half of them of one label: no stage of the plan makes more than a few rows for each row of the input."""
+    n, m = 20_000, 5
+    d = spark.range(n).select(F.col("id").alias("row_id"), F.explode(F.array(F.col("id") % 2, 10 + (F.col("id") / 4).cast("long"))).alias("label")).where("label <> 1")
+    out = labelgraph.label_knn(d, m, hot=1000)
+    got = Counter(r["row_id"] for r in out.collect())
+    assert all(got[i] == m for i in range(0, n, 2)) and all(got[i] == 3 for i in range(1, n, 2))
+    # even rows: the three of their own group of four share a rare label; one of them the hot one too
+    four = {r["neighbor"]: r["score"] for r in out.where("row_id = 4000").collect()}
+    assert four[4002] == 1.0 and four[4001] == four[4003] == 1.0 and sorted(four)[:2] == [0, 2]
+
+
 @pytest.mark.parametrize("budget, want", [(0, 1), (5, 1), (10, 3), (15, 3)])
 def test_head_threshold(spark, budget, want):
     freq = spark.createDataFrame([(1, 3), (2, 3), (3, 1), (4, 1)], "label int, n long")
@@ -47,6 +87,33 @@ def test_cluster_of_unknown_features_is_the_first_silent_one(spark):
     assert got == {1: 1, 2: 2, 3: 0}
 
 
+def test_nearest_cluster_equals_brute_force_in_any_blocks(spark):
+    rng = np.random.default_rng(8)
+    n, k = 80, 7
+    x = {(i, int(f)): float(rng.integers(1, 4)) for i in range(n) for f in rng.choice(30, 4, replace=False)}
+    w = {(t, c, f): float(rng.integers(-3, 3)) for t in range(2) for c in range(k) for f in range(28) if rng.random() < 0.4}
+    features = spark.createDataFrame([(i, f, v) for (i, f), v in x.items()], "row_id long, fid int, val double")
+    weights = spark.createDataFrame([(*key, v) for key, v in w.items()], "learner int, k int, fid int, w double")
+    want = set()
+    for t in range(2):
+        for i in range(n):
+            s = [sum(v * w.get((t, c, f), 0) for (j, f), v in x.items() if j == i) for c in range(k)]
+            want.add((t, i, int(np.argmax(s)), max(s)))
+    for most in (1_000_000, 60):
+        got = {(r["learner"], r["row_id"], r["cluster"], r["score"]) for r in partition.nearest_cluster(features, weights, k, most=most).collect()}
+        assert got == want
+    blocks, fit = partition.weight_blocks(weights, k, 60)
+    assert len(blocks) > 1 and fit and sum(b.count() for b in blocks) == len(w)
+
+
+def test_scores_stay_where_their_row_is(spark):
+    """Between the scan of the features and a row's best cluster lies one exchange, by row."""
+    x = spark.range(4000).select((F.col("id") % 500).alias("row_id"), (F.col("id") % 40).cast("int").alias("fid"), F.lit(1.0).alias("val"))
+    w = spark.range(4000).select(F.lit(0).alias("learner"), (F.col("id") % 100).cast("int").alias("k"), (F.col("id") / 100).cast("int").alias("fid"), F.col("id").cast("double").alias("w"))
+    plan = partition.nearest_cluster(x, w, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(learner" not in plan.split("hashpartitioning(row_id")[0] and not any("k#" in line and "hashpartitioning" in line for line in plan.splitlines())
+
+
 def test_kmeans_objective_does_not_fall(spark):
     rng = np.random.default_rng(0)
     x = spark.createDataFrame([(i, j, float(v)) for i in range(60) for j, v in enumerate(rng.normal(size=4) + 5 * np.eye(4)[i % 4])], "row_id long, fid int, val double")
@@ -125,6 +192,60 @@ def test_a_stored_index_serves_searches(spark, tmp_path):
     assert neighbors.build_index(d.limit(0), 5, ("cluster",)).count() == 0
 
 
+def brute_tree(rows, leaf, levels):
+    """Node of each row, by the rule in the text."""
+    at = {i: 1 for i in rows}
+    for _ in range(levels):
+        for node in set(at.values()):
+            own = sorted(i for i in rows if at[i] == node)
+            if len(own) <= leaf:
+                continue
+            far = lambda j: max(own[1:], key=lambda i: (((rows[i] - j) ** 2).sum(), -i))
+            a = rows[far(rows[own[0]])]
+            b = rows[far(a)]
+            right = {i: (b - a) @ (rows[i] - (a + b) / 2) > 0 for i in own}
+            if len(set(right.values())) == 2:
+                at.update({i: 2 * node + right[i] for i in own})
+    return at
+
+
+def test_tree_grows_level_by_level(spark):
+    rng = np.random.default_rng(4)
+    x = {(c, 7 * i): rng.normal(size=4) for c in range(2) for i in range(60)} | {(1, 1000 + i): np.ones(4) for i in range(20)}
+    d = spark.createDataFrame([(c, i, v.tolist()) for (c, i), v in x.items()], "part int, row_id long, emb array<double>")
+    for levels in (2, 60):
+        leaves, nodes = neighbors.grow_tree(d, 10, ("part",), levels)
+        got = {(r["part"], r["row_id"]): r["node"] for r in leaves.collect()}
+        want = {(c, i): n for c in range(2) for i, n in brute_tree({i: v for (p, i), v in x.items() if p == c}, 10, levels).items()}
+        assert got == want
+    sizes = Counter((c, n) for (c, _), n in got.items())
+    assert sorted(sizes.values())[-2] <= 10 < max(sizes.values())  # only the equal vectors stay together
+    for r in nodes.collect():
+        below = [v for (c, i), v in x.items() if c == r["part"] and bin(got[c, i])[2:].startswith(bin(r["node"])[2:])]
+        assert r["n"] == len(below) and np.allclose(r["center"], np.mean(below, axis=0))
+    empty = neighbors.grow_tree(d.limit(0), 10, ("part",))
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_frontier_search(spark):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(12, 6))
+    d = spark.createDataFrame([(i, 0, (c[i % 12] + 0.4 * rng.normal(size=6)).tolist()) for i in range(600)], "row_id long, cluster int, emb array<double>")
+    index = checkpointed(neighbors.build_index(d, 16, ("cluster",), part_rows=150))
+    assert index.select("part").distinct().count() == 4
+    q = d.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
+    exact = {(r["query_id"], r["row_id"]): (r["rank"], round(r["score"], 9)) for r in neighbors.knn(q, d, 5, within=("cluster",), exclude_self=True).collect()}
+    found, visited = neighbors.search_frontier(q, index, 5, 0.3, ("cluster",), exclude_self=True, leaf=12)
+    got = {(r["query_id"], r["row_id"]): (r["rank"], round(r["score"], 9)) for r in found.collect()}
+    assert len(exact.keys() & got.keys()) >= 0.9 * len(exact) and all(i != j for i, j in got)
+    seen = [r["visited"] for r in visited.collect()]
+    assert len(seen) == 30 and max(seen) < 600 and np.mean(seen) < 400
+    wide, all_seen = neighbors.search_frontier(q, index, 5, 1e9, ("cluster",), exclude_self=True, leaf=12)
+    assert {(r["query_id"], r["row_id"]): (r["rank"], round(r["score"], 9)) for r in wide.collect()} == exact  # with endless slack all is walked
+    none, _ = neighbors.search_frontier(q, index.limit(0), 5, within=("cluster",))
+    assert none.count() == 0
+
+
 def test_pruning_leaves_out_head_labels(spark):
     labels = spark.createDataFrame([(i, 7) for i in range(30)] + [(i, 100 + i // 2) for i in range(30)], "row_id long, label int")
     freq = labelgraph.frequencies(labels)
@@ -213,6 +334,68 @@ def test_embedding_step_follows_the_numerical_gradient():
     assert np.allclose((w - start) / p.eta0 * np.sqrt(1 + g * g), -g, atol=1e-3)
 
 
+def loss_gradient(x, w, pairs, gamma):
+    """Finite differences of the ranking objective by the weights; ``pairs`` maps a base row to its positives and negatives."""
+
+    def objective(w):
+        z = {i: sum(v * w[f] for f, v in own.items()) for i, own in x.items()}
+        cos = lambda i, j: z[i] @ z[j] / np.linalg.norm(z[i]) / np.linalg.norm(z[j])
+        return -sum(np.log1p(sum(np.exp(-gamma * (cos(i, p) - cos(i, q))) for q in neg)) for i, (pos, neg) in pairs.items() for p in pos)
+
+    g = np.zeros_like(w)
+    for at in np.ndindex(*w.shape):
+        e = np.zeros_like(w)
+        e[at] = 1e-6
+        g[at] = (objective(w + e) - objective(w - e)) / 2e-6
+    return g
+
+
+def test_sharded_step_follows_the_numerical_gradient(spark):
+    """A batch of three bases that share features and rows; the step is AdaGrad on the whole batch's gradient."""
+    from manylabel.operators import embed
+    from manylabel.params import Params
+
+    rng = np.random.default_rng(3)
+    p = Params(emb_size=3, gamma=2.0, eta0=0.1)
+    x = {i: {int(f): float(rng.normal()) for f in rng.choice(8, 3, replace=False)} for i in range(6)}
+    w = rng.normal(size=(8, 3))
+    pairs = {0: ([1, 2], [3, 4]), 1: ([0, 2], [4, 5]), 2: ([1, 1], [5, 3])}
+    given = [(0, 7, i, role, s, j) for i, near in pairs.items() for role in (1, 0) for s, j in enumerate(near[1 - role])]
+    given += [(0, 7, 5, 1, 0, 4)]  # a base without negatives has no gradient
+    state = embed.adagrad_step(
+        spark.createDataFrame([(0, 7, i, f, v) for i, own in x.items() for f, v in own.items()], "learner int, cluster int, row_id long, fid int, val double"),
+        spark.createDataFrame([(0, 7, f, w[f].tolist(), [1.0] * 3) for f in range(8)], "learner int, cluster int, fid int, w array<double>, grown array<double>"),
+        spark.createDataFrame(given, "learner int, cluster int, row_id long, role int, slot int, other long"),
+        p,
+    )
+    got = {r["fid"]: r for r in state.collect()}
+    g = loss_gradient(x, w, pairs, p.gamma)
+    assert np.allclose([got[f]["grown"] for f in range(8)], 1 + g * g, atol=1e-5)
+    assert np.allclose([got[f]["w"] for f in range(8)], w + p.eta0 * g / np.sqrt(1 + g * g), atol=1e-5)
+
+
+def test_large_clusters_are_learned_whole(spark):
+    """One cluster above the bound and one below, four topics each: both get one matrix, and neighbours agree on the topic."""
+    from manylabel.operators import embed
+    from manylabel.params import Params
+
+    rng = np.random.default_rng(12)
+    topic = lambda i: i % 4
+    x = [(i, int(f), 1.0) for i in range(480) for f in {*(30 * topic(i) + rng.integers(0, 30, 4)), *(120 + rng.integers(0, 40, 3))}]
+    features = spark.createDataFrame(x, "row_id long, fid int, val double")
+    labels = spark.createDataFrame([(i, topic(i)) for i in range(480)], "row_id long, label int")
+    assigned = spark.createDataFrame([(0, int(i >= 400), i) for i in range(480)], "learner int, cluster int, row_id long")
+    p = Params(emb_size=8, num_nn=4, emb_iter=2, seed=3)
+    w, emb = embed.fit(l2_normalize(features), labels, assigned, p, max_rows=100, batches=3)
+    assert {r["cluster"]: r["n"] for r in emb.groupBy("cluster").agg(F.count("*").alias("n")).collect()} == {0: 400, 1: 80}
+    assert w.where("cluster = 0").select("fid").distinct().count() == w.where("cluster = 0").count() > 100
+    near = neighbors.knn(emb.withColumnRenamed("row_id", "query_id"), emb, 1, within=("learner", "cluster"), exclude_self=True)
+    right = near.groupBy("cluster").agg(F.avg((F.col("query_id") % 4 == F.col("row_id") % 4).cast("double")).alias("p")).collect()
+    assert all(r["p"] > 0.9 for r in right)
+    again = embed.project(l2_normalize(features), w, assigned).join(emb.withColumnRenamed("emb", "unit"), ["learner", "cluster", "row_id"])
+    assert again.count() == 480
+
+
 def test_empty_rows(spark):
     x = spark.createDataFrame([], "row_id long, fid int, val double")
     w = spark.createDataFrame([], "learner int, k int, fid int, w double")

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from manylabel import params
 from manylabel.operators import metrics
@@ -85,6 +86,32 @@ def test_train_save_load_predict(spark, tmp_path):
         assert sum(best.get(i) == i % 3 for i in range(60)) >= 55
 
 
+def test_loading_the_first_learners_reads_no_other_folder(spark, tmp_path):
+    e = spark.range(60).select((F.col("id") % 6).cast("int").alias("learner"), F.lit(0).alias("cluster"), F.col("id").alias("row_id"), F.array(F.lit(1.0)).alias("emb"))
+    w = e.select("learner", F.lit(0).alias("k"), F.col("row_id").cast("int").alias("fid"), F.lit(1.0).alias("w"))
+    labels = spark.range(3).select(F.col("id").alias("row_id"), F.lit(1).alias("label"))
+    Model(labels, w, e, w.select("learner", F.lit(0).alias("cluster"), "fid", F.array("w").alias("w")), e).save(str(tmp_path / "m"))
+    m = Model.load(spark, str(tmp_path / "m"), 2)
+    for d in (m.clusters, m.assignments, m.projections, m.embeddings):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(learner" in plan and "(learner" in plan.split("PartitionFilters")[1].split("]")[0] and "< 2" in plan
+        read = {r[0].split("learner=")[1].split("/")[0] for r in d.select(F.input_file_name()).distinct().collect()}
+        assert read == {"0", "1"} and d.count() == 20
+    assert m.labels.count() == 3 and m.index is None
+
+
+def test_sizes_of_all_parts(spark):
+    from manylabel.sources import model
+
+    w = spark.createDataFrame([(0, 0, 1, 2.0), (0, 1, 2, 0.0), (0, 1, 1, 3.0)], "learner int, k int, fid int, w double")
+    emb = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "row_id long, emb array<double>")
+    proj = spark.createDataFrame([(0, 0, 1, [1.0, 0.0]), (0, 1, 2, [1.0, 1.0])], "learner int, cluster int, fid int, w array<double>")
+    index = spark.createDataFrame([(1, [2, 3]), (2, [1]), (3, [])], "row_id long, edges array<long>")
+    nodes = spark.createDataFrame([(1, 8), (2, 5), (3, 3)], "node long, n long")
+    got = {r["part"]: (r["n_values"], round(r["density"], 4)) for r in model.sizes(w, emb, proj, index, nodes).collect()}
+    assert got == {"clusters": (2, 0.5), "embeddings": (4, 1.0), "projections": (3, 0.375), "index": (3, 0.5), "tree": (3, 0.375)}
+
+
 def test_rows_are_numbered_in_file_order(spark, tmp_path):
     lines = [f"{i} {i % 9}:1" if i % 3 else "not a row" for i in range(5000)]
     (tmp_path / "d.txt").write_text("\n".join(lines))
