@@ -99,8 +99,9 @@ TEMPLATES = (
 CUE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribut|waived"
 #: The same where a line break may stand inside.
 _WRAPPED = CUE.replace(" ", r"\s+(?:[#*/;-]+\s+)?")
-#: Lines of the largest window.
+#: Lines of the largest window; a longer run of comment lines is a notice of its own.
 WINDOW = 5
+_COMMENT = r"^[ \t]*(#|//|/?\*|--|;|%)"
 THRESHOLD = 0.6
 #: A term is frequent if one in so many documents has it.
 FREQUENT = 1000
@@ -130,9 +131,13 @@ def _units(text: str) -> Column:
 
     windows = F.flatten(F.transform(places(lines), from_line))
     blocks = F.transform(places(paragraphs), lambda i: unit(F.element_at(paragraphs, i), many, (i == 1) | (i == F.size(paragraphs))))
+    # runs of comment lines stand between marks, of which there is one for each other line
+    runs = F.split(F.array_join(F.transform(lines, lambda x: F.when(x.rlike(_COMMENT), x).otherwise(F.lit("\x01"))), "\n"), "\x01")
+    comments = F.transform(places(runs), lambda i: unit(F.btrim(F.element_at(runs, i), F.lit("\n")), many, (i == 1) | (i == F.size(runs))))
+    comments = F.filter(comments, lambda u: F.size(F.split(u["line"], "\n")) > WINDOW)
     cues = F.array_join(F.filter(lines, lambda x: x.rlike(CUE)), "\n")
     rest = F.array(unit(cues, many, F.lit(False)), unit(whole, many, F.lit(False)))
-    return F.concat(F.filter(F.concat(windows, blocks), lambda u: u["line"].rlike(_WRAPPED)), rest)
+    return F.concat(F.filter(F.concat(windows, blocks, comments), lambda u: u["line"].rlike(_WRAPPED)), rest)
 
 
 def _document_frequencies(docs: DataFrame, text: str) -> DataFrame:
@@ -243,7 +248,10 @@ l AS (SELECT k, w, string_split(w, chr(10)) AS lines, string_split_regex(w, '\n[
 wi AS (SELECT k, array_to_string(lines[i:i + m - 1], chr(10)) AS line, m, i = 1 OR i + m - 1 = len(lines) AS edge
        FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l), range(1, {WINDOW} + 1) x(m) WHERE i + m - 1 <= len(lines)),
 pa AS (SELECT k, parts[i] AS line, 7 AS m, i = 1 OR i = len(parts) AS edge FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM l)),
-u AS (SELECT * FROM (SELECT * FROM wi UNION ALL SELECT * FROM pa) WHERE regexp_matches(line, '{_WRAPPED}')
+ru AS (SELECT k, string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN regexp_matches(x, '{_COMMENT}') THEN x ELSE chr(1) END), chr(10)), chr(1)) AS runs FROM l),
+cm AS (SELECT k, trim(runs[i], chr(10)) AS line, 7 AS m, i = 1 OR i = len(runs) AS edge FROM (SELECT *, unnest(range(1, len(runs) + 1)) AS i FROM ru)
+       WHERE len(string_split(trim(runs[i], chr(10)), chr(10))) > {WINDOW}),
+u AS (SELECT * FROM (SELECT * FROM wi UNION ALL SELECT * FROM pa UNION ALL SELECT * FROM cm) WHERE regexp_matches(line, '{_WRAPPED}')
       UNION ALL SELECT k, array_to_string(list_filter(lines, lambda x: regexp_matches(x, '{CUE}')), chr(10)), 7, false FROM l UNION ALL SELECT k, w, 7, false FROM l),
 un AS (SELECT row_number() OVER () AS unit, * FROM u),
 c AS (SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest({terms.format("line")}) AS term FROM un) GROUP BY ALL),

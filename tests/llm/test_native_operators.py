@@ -63,6 +63,18 @@ def test_warc_records(spark):
     assert warc_derivatives.derive(r.limit(0)).count() == 0
 
 
+def test_a_long_header_before_code_is_one_notice(spark):
+    """A header of twelve comment lines and code right below: the licence is that of the header alone."""
+    text = next(t for n, t in license_scans.TEMPLATES if n == "GPL-3.0" and len(t) > 300).split()
+    step = len(text) // 12 + 1
+    for mark in ("#", "//", " *"):
+        head = "\n".join(f"{mark} {' '.join(text[k : k + step])}" for k in range(0, len(text), step))
+        code = "import os\nfor x in os.listdir():\n    print(x)"
+        rows = [(1, head, "/a/x"), (2, f"{head}\n{code}", "/b/x"), (3, f"{code}\n{head}\n{code}", "/c/x")]
+        got = {r["doc_id"]: (r["own_license"], r["own_score"]) for r in license_scans.inherit(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+        assert all(name == "GPL-3.0" and score > 0.85 for name, score in got.values()), got
+
+
 def test_licenses_are_inherited_from_the_nearest_directory(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0"
     rows = [
