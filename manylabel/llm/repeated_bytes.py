@@ -34,6 +34,7 @@ to the left; an empty table gives an empty table; other columns are ignored, wha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count as counter
 
 import numpy as np
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
-from .shingles import _BYTES, _powers, mix
+from .shingles import mix
 
 _U = np.uint64
 LENGTH = 100
@@ -59,6 +60,19 @@ MANY = 1 << 15
 GROUP_ROWS, CROWDED_ROWS = 50_000, 500_000
 _KEY_BITS = 48
 
+#: The rolling hash is a polynomial modulo 2**64: it only brings candidates together, bytes decide.
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    one = np.ones(n, _U)
+    up, down = one.copy(), one.copy()
+    up[1:], down[1:] = _U(_BASE), _U(pow(_BASE, -1, 1 << 64))
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 _BLOCK_DDL = "block long, ids array<long>, uids array<long>, sizes array<long>, payload binary"
 _PACKED = pa.schema([("to", pa.int64()), ("of", pa.int64()), ("payload", pa.binary())])
 _PACKED_DDL = "to long, of long, payload binary"
