@@ -224,7 +224,7 @@ def grow_tree(members: DataFrame, leaf: int = LEAF, within: tuple[str, ...] = ()
         info = checkpointed(active.groupBy(*by).agg(F.count("*").alias("n"), center.alias("center"), F.min(F.struct("row_id", "emb")).alias("base")))
         nodes.append(info.select(*by, "n", "center"))
         full = info.where((F.col("n") > leaf) & F.lit(level < levels)).select(*by, F.col("base.row_id").alias("base_id"), F.col("base.emb").alias("base"))
-        leaves.append(active.join(full, by, "left_anti").select(*by, "row_id"))
+        leaves.append(checkpointed(active.join(full, by, "left_anti").select(*by, "row_id")))
         if not full.take(1):
             break
         rows = active.join(full, by)
@@ -233,7 +233,7 @@ def grow_tree(members: DataFrame, leaf: int = LEAF, within: tuple[str, ...] = ()
         second = others.join(first, by).groupBy(*by).agg(far("a").alias("f")).select(*by, F.col("f.emb").alias("b"))
         sides = checkpointed(rows.join(first.join(second, by), by).select(*by, "row_id", "emb", right.cast("int").alias("side")))
         stuck = checkpointed(sides.groupBy(*by).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high").select(*by))
-        leaves.append(sides.join(stuck, by, "left_semi").select(*by, "row_id"))
+        leaves.append(checkpointed(sides.join(stuck, by, "left_semi").select(*by, "row_id")))
         active = checkpointed(sides.join(stuck, by, "left_anti").select(*within, "row_id", "emb", (2 * F.col("node") + F.col("side")).alias("node")))
     together = lambda parts: reduce(DataFrame.union, parts)
     return checkpointed(together(leaves).select(*within, "row_id", "node")), checkpointed(together(nodes))

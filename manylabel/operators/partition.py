@@ -63,6 +63,8 @@ def nearest_cluster(features: DataFrame, weights: DataFrame, k: int, learners: D
         small = fit or block.limit(most + 1).count() <= most
         d = x.join(F.broadcast(block), "fid") if small else features.join(block, "fid")
         d = d.groupBy("learner", "row_id", "k").agg(F.sum(F.col("val") * F.col("w")).alias("score")).groupBy("learner", "row_id").agg(best.alias("b"), F.count("*").alias("n"))
+        if len(blocks) > 1:  # a plan for each block
+            d = checkpointed(d)
         found = d if found is None else found.union(d)
     known = found.groupBy("learner", "row_id").agg(F.max("b").alias("b"), F.sum("n").alias("n"))
     score, cluster = F.col("b.score"), -F.col("b.m")
