@@ -45,7 +45,7 @@ def test_equals_brute_force(spark, how):
 def test_rows_that_take_no_part(spark):
     good = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (3, 1, [0.9, 0.0])]
     bad = [(4, None, [1.0, 0.0]), (None, 1, [1.0, 0.0]), (5, 1, None), (6, 1, [1.0, None]), (7, 1, [math.inf, 0.0]), (8, 1, [math.nan, 1.0])]
-    want = brute([(i, label, [math.floor(256 * x) for x in (1.0, 0.0) if True] if label == 0 else [230, 0]) for i, label, _ in good])
+    want = brute([(i, label, [256, 0] if label == 0 else [230, 0]) for i, label, _ in good])
     assert mined(table(spark, good + bad)) == want != set()
     assert mined(table(spark, good + good + bad)) == want  # an id is one row
     assert mined(table(spark, [])) == set()
