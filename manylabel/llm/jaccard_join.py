@@ -19,6 +19,10 @@ that do not are compared with the list's others, and of these a linked one is le
 the two differ from the hub by so different amounts that they cannot link. What is left is compared by a
 bit sketch that cannot lose a link, and then by its shingles.
 
+*Counts.* How many documents each one links with is derived from the hubs' answers, too: what two sets of one hub
+differ in is what only one of them differs from the hub in, a small set that was kept with the hub's answer. Such sets meet in
+tiles where they are counted; only links between sets without a common hub are rows.
+
 Copies (equal sets) are one set from the start. No task gathers a group: lists enter a shuffle
 once for each task, further members of a list are dealt by their own hash, hubs come from
 partial aggregates, joins on lists are plain joins that adaptive execution splits, and comparisons
@@ -286,34 +290,97 @@ def _score(t: Threshold):
 
 
 def _linked(t: Threshold):
-    """Pairs with their elements to the links among them, with the number of elements that each differs in."""
+    """Pairs with their elements to the links among them, with the elements that each differs in and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, differ = [], []
+            keep, differ, delta = [], [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 u, v = np.frombuffer(x, _U), np.frombuffer(y, _U)
                 both = np.concatenate([u, v])
                 both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                same = both[1:] == both[:-1]
+                common = int(np.count_nonzero(same))
                 keep.append(t.den * common >= t.num * (len(both) - common))
                 differ.append(len(both) - 2 * common)
-            links = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(differ, pa.int64())], ["a", "b", "differ"])
+                alone = ~(np.append(same, False) | np.insert(same, 0, False)) if keep[-1] else np.zeros(len(both), bool)
+                delta.append(both[alone].tobytes())
+            links = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(differ, pa.int64()), pa.array(delta, pa.binary())], ["a", "b", "differ", "delta"])
             yield links.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _verified(near: DataFrame, fetch: Callable[[DataFrame, bool], DataFrame], t: Threshold) -> DataFrame:
-    """``(a, b, differ)`` of the pairs that link by their elements; only the sets of these pairs are read again."""
+    """``(a, b, differ, delta)`` of the pairs that link by their elements; only the sets of these pairs are read again."""
     near = checkpointed(near)
     full = stored(fetch(near.select("a").union(near.select("b")).toDF("sid"), True))
     p = near.join(full.toDF("a", "ea"), "a").join(full.toDF("b", "eb"), "b").select("a", "b", "ea", "eb")
-    return p.mapInArrow(_linked(t), "a long, b long, differ long")
+    return p.mapInArrow(_linked(t), "a long, b long, differ long, delta binary")
+
+
+def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``xs`` has in common with each of ``ys``: a product of 0-1 matrices, made in blocks of 4,096 elements."""
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    shared = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    places = []
+    for side in (xs, ys):
+        of, element = np.repeat(np.arange(len(side)), [len(x) for x in side]), np.concatenate(side)
+        at = np.searchsorted(shared, element)
+        met = shared[np.minimum(at, len(shared) - 1)] == element if len(shared) else np.zeros(len(at), bool)
+        places.append((of[met], at[met]))
+    for first in range(0, len(shared), 4096):
+        blocks = []
+        for side, (of, at) in zip((xs, ys), places):
+            here = (at >= first) & (at < first + 4096)
+            block = np.zeros((len(side), min(4096, len(shared) - first)), np.float32)
+            block[of[here], at[here] - first] = 1
+            blocks.append(block)
+        out += (blocks[0] @ blocks[1].T).astype(np.int64)
+    return out
+
+
+def _tiles(answer: Callable[[list[tuple]], Iterator[pa.RecordBatch]]):
+    """Rows sorted by their first column, the tile, to the answers of each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows = None, []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if r[0] != tile:
+                    yield from answer(rows)
+                    tile, rows = r[0], []
+                rows.append(r)
+        yield from answer(rows)
+
+    return run
 
 
-def _compare_blocks(t: Threshold):
-    """Rows ``(group, side, sid, class, n, at, low, differ, sketch)`` sorted by group to the pairs of the two sides that may link.
+def _count_links(t: Threshold):
+    """Rows ``(tile, side, sid, n, times, hub, hubs, delta)`` of sets that link to ``hub`` to ``(sid, linked)``: the documents of the right side that each set of the left links to.
+
+    What two sets differ in is what only one of them differs from the hub in. A pair counts with the least hub that both link to.
+    """
+
+    def count(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        left, right = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
+        if not left or not right:
+            return
+        (sa, na, _), (sb, nb, times) = ([np.array([r[k] for r in side], np.int64) for k in (2, 3, 4)] for side in (left, right))
+        xs, ys = ([np.frombuffer(r[7], _U) for r in side] for side in (left, right))
+        earlier = [[np.array([h for h in r[6] if h < r[5]], np.int64) for r in side] for side in (left, right)]
+        differ = np.array([len(x) for x in xs])[:, None] + np.array([len(y) for y in ys]) - 2 * _common(xs, ys)
+        hub = [np.array([r[5] for r in side], np.int64) for side in (left, right)]
+        link = (hub[0][:, None] == hub[1]) & (sa[:, None] != sb) & (differ <= t.most_differing(na[:, None] + nb)) & (_common(*earlier) == 0)
+        yield pa.RecordBatch.from_arrays([pa.array(sa), pa.array(link.astype(np.int64) @ times)], ["sid", "linked"])
+
+    return _tiles(count)
+
+
+def _compare_blocks(t: Threshold, within: bool):
+    """Rows ``(group, side, sid, class, n, at, low, differ, hubs, sketch)`` sorted by group to the pairs of the two sides that may link.
+
+    Pairs of one class are left out; with ``within``, only those that link to one hub are (``hubs``: those that the set links to).
 
     ``low`` and ``differ`` are what is known of the set and its hub: at least, and exactly (null for a set that does not link to it).
     """
@@ -325,37 +392,48 @@ def _compare_blocks(t: Threshold):
         (sa, ca, na, ia, la), (sb, cb, nb, ib, _) = ([np.array([r[k] for r in side], np.int64) for k in (2, 3, 4, 5, 6)] for side in (left, right))
         upper = np.array([2**40 if r[7] is None else r[7] for r in right], np.int64)
         sizes = na[:, None] + nb
-        may = (ca[:, None] != cb) & t.sizes_fit(na[:, None], nb)
+        if within:
+            own = [[np.array(r[8] or [], np.int64) for r in side] for side in (left, right)]
+            may = (sa[:, None] != sb) & (_common(*own) == 0) & t.sizes_fit(na[:, None], nb)
+        else:
+            may = (ca[:, None] != cb) & t.sizes_fit(na[:, None], nb)
         may &= np.minimum((na - ia)[:, None], nb - ib) * (t.num + t.den) >= t.num * sizes  # what stands at the positions and behind
         may &= la[:, None] - upper <= t.most_differing(sizes)  # what the hub's answers say
         i, j = np.nonzero(may)
-        one_width = len({len(r[8]) for r in rows}) == 1
-        wide = [np.frombuffer(b"".join([r[8] for r in side]), _U).reshape(len(side), -1) for side in (left, right)] if one_width else None
+        one_width = len({len(r[9]) for r in rows}) == 1
+        wide = [np.frombuffer(b"".join([r[9] for r in side]), _U).reshape(len(side), -1) for side in (left, right)] if one_width else None
         for at in range(0, len(i), CHUNK):
             x, y = i[at : at + CHUNK], j[at : at + CHUNK]
             if wide:
                 bits = np.bitwise_count(wide[0][x] ^ wide[1][y]).sum(axis=1, dtype=np.int64)
             else:
-                bits = _differing_bits([left[k][8] for k in x], [right[k][8] for k in y])
+                bits = _differing_bits([left[k][9] for k in x], [right[k][9] for k in y])
             near = bits <= t.most_differing(na[x] + nb[y])
             x, y = x[near], y[near]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sa[x], sb[y])), pa.array(np.maximum(sa[x], sb[y]))], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[0] != group:
-                    yield from compare(rows)
-                    group, rows = r[0], []
-                rows.append(r)
-        yield from compare(rows)
+    return _tiles(compare)
 
-    return run
 
+def _counted(links: DataFrame, hubs_of: DataFrame, more: DataFrame, sizes: DataFrame, t: Threshold) -> DataFrame:
+    """``(sid, linked)``: with how many documents of other sets (``sizes``: ``sid, n, times``) each set links.
 
-def _placed(docs: DataFrame, words: int, t: Threshold, id_column: str, text: str) -> DataFrame:
-    """One row for each document: ``id``, ``sid`` (its set), ``n``, ``root`` (its class) and ``class_id``."""
+    ``links`` are those to hubs, with what the two differ in; ``more`` are the links of sets without a common hub. Sets of one hub meet in tiles and are counted there, so no row is made for a pair.
+    """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = links.select("a").distinct().select(F.col("a").alias("hub"), F.col("a").alias("sid"), F.expr("X''").alias("delta"))
+    star = links.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "delta").union(own).join(hubs_of, "sid").join(sizes, "sid")
+    many = star.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("many"))
+    star = stored(star.join(many, "hub").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("many")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("many") - 1))))
+    side = lambda k, i, j: star.select(F.xxhash64("hub", i, j).alias("g"), F.lit(k).alias("side"), "sid", "n", "times", "hub", "hubs", "delta")
+    tiles = side(0, "i", "j").union(side(1, "j", "i")).repartition(parts, "g").sortWithinPartitions("g", "hub")
+    one_hub = tiles.mapInArrow(_count_links(t), "sid long, linked long")
+    both = more.select("a", "b").union(more.select("b", "a")).toDF("other", "sid").join(sizes.select(F.col("sid").alias("other"), "times"), "other").select("sid", F.col("times").alias("linked"))
+    return one_hub.union(both).groupBy("sid").agg(F.sum("linked").alias("linked"))
+
+
+def _placed(docs: DataFrame, words: int, t: Threshold, id_column: str, text: str, count: bool = False) -> DataFrame:
+    """One row for each document: ``id``, ``sid`` (its set), ``n``, ``root`` (its class), ``class_id`` and, if asked for, ``n_links``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
@@ -389,12 +467,14 @@ def _placed(docs: DataFrame, words: int, t: Threshold, id_column: str, text: str
     pairs = stars.toDF("a", "b").join(sketches.toDF("a", "na", "xa"), "a").join(sketches.toDF("b", "nb", "xb"), "b")
     scored = checkpointed(pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_score(t), "a long, b long, low long, near boolean"))
     links = checkpointed(_verified(scored.where("near").select("a", "b"), fetch, t))
-    roots = checkpointed(components(links))
+    roots = checkpointed(components(links.select("a", "b")))
+    to_hubs = links.select(F.col("b").alias("sid"), F.col("a").alias("hub")).union(links.select("a", "a")).groupBy("sid").agg(F.collect_set("hub").alias("hubs"))
 
-    # what hubs do not account for: members of another class against the list's others, by bands of sizes
-    told = scored.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "low").join(links.toDF("hub", "sid", "differ"), ["hub", "sid"], "left")
+    # what hubs do not account for: members of another class (for counts, members that do not link to the hub) against the list's others, by bands of sizes
+    told = scored.select(F.col("a").alias("hub"), F.col("b").alias("sid"), "low").join(links.select("a", "b", "differ").toDF("hub", "sid", "differ"), ["hub", "sid"], "left")
     told = told.join(roots.toDF("sid", "class"), "sid", "left").join(roots.toDF("hub", "hub_class"), "hub", "left")
-    told = told.select("hub", "sid", "low", "differ", F.coalesce("class", "sid").alias("class"), (F.coalesce("class", "sid") != F.coalesce("hub_class", "hub")).alias("open"))
+    open_ = F.col("differ").isNull() if count else F.coalesce("class", "sid") != F.coalesce("hub_class", "hub")
+    told = told.select("hub", "sid", "low", "differ", F.coalesce("class", "sid").alias("class"), open_.alias("open"))
     others = stored(entries.where("more").join(told, ["hub", "sid"]).drop("hub", "more").withColumn("band", F.floor(F.log("n") / (1.001 * math.log(t.den / t.num))).cast("int")))
     left = others.where("open")
     right = others.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
@@ -405,21 +485,31 @@ def _placed(docs: DataFrame, words: int, t: Threshold, id_column: str, text: str
     left = left.join(size, ["key", "band"]).select("*", F.lit(0).alias("side"), block("lefts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
     right = right.join(size, ["key", "band"]).select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), block("rights").alias("j"))
     tiles = left.union(right.select(*left.columns)).withColumn("g", F.xxhash64("key", "band", "i", "j"))
-    tiles = tiles.join(sketches.select("sid", "sketch"), "sid").select("g", "side", "sid", "class", "n", "at", "low", "differ", "sketch")
+    tiles = tiles.join(to_hubs, "sid", "left") if count else tiles.withColumn("hubs", F.lit(None).cast("array<long>"))
+    tiles = tiles.join(sketches.select("sid", "sketch"), "sid").select("g", "side", "sid", "class", "n", "at", "low", "differ", "hubs", "sketch")
     tiles = tiles.repartition(parts, "g").sortWithinPartitions("g")
-    more = _verified(tiles.mapInArrow(_compare_blocks(t), "a long, b long").distinct(), fetch, t)
+    more = _verified(tiles.mapInArrow(_compare_blocks(t, count), "a long, b long").distinct(), fetch, t)
+    if count:
+        more = checkpointed(more.select("a", "b"))  # has two readers
     roots = components(roots.toDF("a", "b").union(more.select("a", "b")))
 
-    least = members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least"))
+    sizes = members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.count("*").alias("times"))
+    least = sizes.select("sid", "least", "times")
     least = least.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     ids = least.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = least.join(ids, "root").select("sid", "root", "class_id")
+    named = least.join(ids, "root").select("sid", "root", "class_id", "times")
+    if count:
+        linked = _counted(links, to_hubs, more, sizes.select("sid", "n", "times"), t)
+        named = named.join(linked, "sid", "left").withColumn("n_links", F.col("times") - 1 + F.coalesce("linked", F.lit(0))).drop("linked")
+        members = members.join(named.drop("times"), "sid", "left").fillna(0, ["n_links"])
+        return members.withColumn("class_id", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("class_id")))
+    named = named.drop("times")
     return members.join(named, "sid", "left").withColumn("class_id", F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("class_id")))
 
 
 def classes(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: ``id``, ``n_shingles`` (size of its set) and ``class_id`` (least id that links reach)."""
-    return _placed(docs, words, Threshold(num, den), id_column, text).select("id", F.col("n").alias("n_shingles"), "class_id")
+    """One row for each document: ``id``, ``n_shingles`` (size of its set), ``class_id`` (least id that links reach) and ``n_links`` (other documents that it links with, copies included)."""
+    return _placed(docs, words, Threshold(num, den), id_column, text, count=True).select("id", F.col("n").alias("n_shingles"), "class_id", "n_links")
 
 
 def _with_set_id(n: int, text: int, name: str):
@@ -461,7 +551,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = classes(table(spark, sf_dir, "documents"))
-    return d.select(F.col("id").alias("doc_id"), "n_shingles", F.col("class_id").alias("component_id"))
+    return d.select(F.col("id").alias("doc_id"), "n_shingles", F.col("class_id").alias("component_id"), "n_links")
 
 
 SQL: dict[str, str] = {}

@@ -14,7 +14,7 @@ def brute(rows, n, num, den):
     for i, t in rows:
         w = words(t)
         own.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), Counter()
 
     def find(x):
         while root[x] != x:
@@ -27,20 +27,21 @@ def brute(rows, n, num, den):
             if den * c >= num * (len(s) + len(own[o]) - c):
                 a, b = sorted((find(k), find(o)))
                 root[b] = a
+                links.update((k, o))
         for x in s:
             where[x].append(k)
     least = {}
     for k in range(len(rows)):
         ids = [rows[o][0] for o in range(len(rows)) if find(o) == find(k) and rows[o][0] is not None]
         least[k] = min(ids, default=None)
-    return Counter((rows[k][0], len(own[k]), least[k]) for k in range(len(rows)))
+    return Counter((rows[k][0], len(own[k]), least[k], links[k]) for k in range(len(rows)))
 
 
 @pytest.mark.parametrize("n, num, den", [(3, 9, 10), (5, 4, 5)])
 def test_equals_brute_force(spark, sf, n, num, den):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in d.collect()]
-    got = Counter(tuple(r) for r in j.classes(d.repartition(3), n, num, den).select("id", "n_shingles", "class_id").collect())
+    got = Counter(tuple(r) for r in j.classes(d.repartition(3), n, num, den).collect())
     assert got == brute(rows, n, num, den)
 
 
@@ -59,7 +60,7 @@ def test_odd_texts_and_edited_copies(spark):
         chain = chain[4:] + [f"d{c}-{k}" for k in range(4)]
         rows.append((2000 + c, " ".join(chain)))
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "id")
-    got = Counter(tuple(r) for r in j.classes(d, id_column="id").select("id", "n_shingles", "class_id").collect())
+    got = Counter(tuple(r) for r in j.classes(d, id_column="id").collect())
     assert got == brute(rows, 3, 9, 10)
 
 
@@ -70,8 +71,8 @@ def test_words_that_collide_modulo_powers_of_two(spark):
         one += one.translate(str.maketrans("ab", "ba"))
     two = one.translate(str.maketrans("ab", "ba"))
     rows = [(1, one), (2, two), (3, " ".join(f"{k}{one}" for k in "cdefg")), (4, " ".join(f"{k}{two}" for k in "cdefg")), (5, one.upper())]
-    got = {tuple(r) for r in j.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_shingles", "class_id").collect()}
-    assert got == {(1, 1, 1), (2, 1, 2), (3, 3, 3), (4, 3, 4), (5, 1, 1)}
+    got = {tuple(r) for r in j.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 1, 1), (2, 1, 2, 0), (3, 3, 3, 0), (4, 3, 4, 0), (5, 1, 1, 1)}
 
 
 def test_hash_of_a_word_is_the_same_anywhere():
@@ -137,6 +138,14 @@ def test_hot_lists(spark, monkeypatch):
     assert Counter(tuple(r) for r in j.classes(d, 5, 4, 5).collect()) == brute(rows, 5, 4, 5)
 
 
+def test_counts_without_rows_for_pairs():
+    """Tiles count what sets have in common, also over several blocks of elements."""
+    rng = np.random.default_rng(2)
+    xs, ys = ([np.unique(rng.integers(0, 20_000, rng.integers(0, 9000))).astype(np.uint64) for _ in range(5)] for _ in range(2))
+    assert j._common(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    assert j._common(xs, [np.empty(0, np.uint64)]).tolist() == [[0]] * 5
+
+
 def test_null_ids_link_others(spark):
     """Two texts that link through a third one only, whatever the third's id."""
     w = [f"w{i}" for i in range(200)]
