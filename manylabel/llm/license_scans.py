@@ -113,6 +113,21 @@ def _terms(c: Column) -> Column:
     return F.filter(F.transform(F.split(ascii_lower(c), _SPLIT), lambda x: F.regexp_replace(x, r"^[.-]+|[.-]+$", "")), lambda x: x != "")
 
 
+def _counts(c: Column) -> Column:
+    """The distinct terms of a text with their numbers, as structs ``term, tf``: runs of its sorted terms, so nothing is shuffled to count them."""
+    once = lambda x, f: F.flatten(F.transform(F.array(x), f))  # noqa: E731  # a lambda's argument is evaluated once, an expression at each use
+
+    def runs(terms: Column) -> Column:
+        places = F.when(F.size(terms) > 0, F.sequence(F.lit(1), F.size(terms))).otherwise(F.array().cast("array<int>"))
+        return once(F.filter(places, lambda i: (i == F.size(terms)) | (F.get(terms, i) != F.get(terms, i - 1))), lambda ends: counted(terms, ends))
+
+    def counted(terms: Column, ends: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends))
+        return F.zip_with(ends, before, lambda e, b: F.struct(F.get(terms, e - 1).alias("term"), (e - b).cast("long").alias("tf")))
+
+    return once(F.array_sort(_terms(c)), runs)
+
+
 def _trimmed(text: str) -> Column:
     return F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n"))
 
@@ -172,8 +187,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
         """``(key, unit, term, tf)`` of the notices; a unit's number holds its place, its lines (7: not a window) and whether it stands at an edge."""
         u = d.select(key, F.posexplode(_units(text)).alias("at", "u"))
         number = F.col("at").cast("long") * 16 + F.least(F.col("u.n"), F.lit(7)) * 2 + F.when(F.col("u.edge"), 1).otherwise(0)
-        tokens = u.select(key, number.alias("unit"), F.explode(_terms(F.col("u.line"))).alias("term"))
-        return tokens.repartition(key, "unit").groupBy(key, "unit", "term").agg(F.count("*").alias("tf"))  # what follows by unit stays in place
+        return u.select(key, number.alias("unit"), F.explode(_counts(F.col("u.line"))).alias("c")).select(key, "unit", "c.term", "c.tf")
 
     units = counts(docs.where(F.col(text).rlike(_WRAPPED))).join(F.broadcast(known), "term", "left").groupBy(key, "unit").agg(
         F.coalesce(F.sum(square * F.col("idf") * F.col("idf")), F.lit(0.0)).alias("norm"),
