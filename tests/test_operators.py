@@ -68,6 +68,37 @@ def test_a_label_of_half_the_rows_makes_no_quadratic_join(spark):
     assert four[4002] == 1.0 and four[4001] == four[4003] == 1.0 and sorted(four)[:2] == [0, 2]
 
 
+def shuffled_rows(spark, run):
+    """What a function returns, and the rows that its stages wrote to shuffles."""
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    written = lambda: {x.stageId(): x.shuffleWriteRecords() for x in (s.apply(i) for s in [stages()] for i in range(s.size()))}
+    before = written()
+    out = run()
+    return out, sum(n for i, n in written().items() if i not in before)
+
+
+@pytest.mark.parametrize("hot", [4096, 1000])
+def test_label_neighbours_shuffle_no_pairs(spark, hot):
+    """80 labels of 100 rows make 792,000 pairs, and a hot one of half the rows more; what is shuffled follows the entries."""
+    rows = [(i, x) for i in range(4000) for x in (i % 40, 40 + i // 100, *[99] * (hot == 1000 and i % 2 == 0))]
+    d = spark.createDataFrame(rows, "row_id long, label int")
+    got, moved = shuffled_rows(spark, lambda: labelgraph.label_knn(d, 5, hot=hot).collect())
+    assert moved < 15 * len(rows)
+    held = {}
+    for i, x in rows:
+        held.setdefault(i, set()).add(x)
+    for i in (0, 77, 3999):
+        near = sorted((-len(held[i] & own) / len(own), j) for j, own in held.items() if j != i and held[i] & own)[:5]
+        assert [(r["score"], r["neighbor"]) for r in sorted(got, key=lambda r: r["rank"]) if r["row_id"] == i] == [(-s, j) for s, j in near]
+
+
+def test_label_neighbours_of_names(spark):
+    d = spark.createDataFrame([("b", "x"), ("a", "x"), ("a", "y"), ("c", "x"), ("c", "y"), (None, "x"), ("d", None)], "row_id string, label string")
+    got = {(r["row_id"], r["rank"], r["neighbor"], r["score"]) for r in labelgraph.label_knn(d, 2).collect()}
+    assert got == {("a", 1, "b", 1.0), ("a", 2, "c", 1.0), ("b", 1, "a", 0.5), ("b", 2, "c", 0.5), ("c", 1, "a", 1.0), ("c", 2, "b", 1.0)}
+
+
 @pytest.mark.parametrize("budget, want", [(0, 1), (5, 1), (10, 3), (15, 3)])
 def test_head_threshold(spark, budget, want):
     freq = spark.createDataFrame([(1, 3), (2, 3), (3, 1), (4, 1)], "label int, n long")
