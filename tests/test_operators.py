@@ -99,6 +99,18 @@ def test_label_neighbours_of_names(spark):
     assert got == {("a", 1, "b", 1.0), ("a", 2, "c", 1.0), ("b", 1, "a", 0.5), ("b", 2, "c", 0.5), ("c", 1, "a", 1.0), ("c", 2, "b", 1.0)}
 
 
+def test_tables_of_rows_are_not_broadcast(spark):
+    """Small files or shuffles of rows tempt Spark to send them through the driver."""
+    features = checkpointed(spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 9).alias("fid"), F.lit(1.0).alias("val")))
+    w = checkpointed(spark.range(18).select(F.lit(0).alias("learner"), (F.col("id") % 2).cast("int").alias("k"), F.floor(F.col("id") / 2).alias("fid"), (F.col("id") / 7 - 1).alias("w")))
+    base = checkpointed(partition.nearest_cluster(features, w, 2))
+    pairs = checkpointed(features.select("row_id", ((F.col("row_id") + 1) % 400).alias("other")))
+    for d in (partition.pair_gradients(features, base, pairs, pairs, w), partition.pair_accuracy(base, pairs), partition.drawn_negatives(features, partition.dense_numbers(features), 400, 3, 1, 1)):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        on_rows = [x for x in plan.splitlines() if "HashJoin" in x and ("row_id" in x or "other" in x or "number" in x)]
+        assert "SortMergeJoin" in plan and not on_rows
+
+
 @pytest.mark.parametrize("budget, want", [(0, 1), (5, 1), (10, 3), (15, 3)])
 def test_head_threshold(spark, budget, want):
     freq = spark.createDataFrame([(1, 3), (2, 3), (3, 1), (4, 1)], "label int, n long")
@@ -434,3 +446,16 @@ def test_empty_rows(spark):
     w = spark.createDataFrame([], "learner int, k int, fid int, w double")
     assert partition.nearest_cluster(x, w, 2).count() == 0
     assert l2_normalize(x).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3, 7, 40])
+def test_best_of_a_tile(k):
+    """As a stable sort of each line finds them, with ties, endless scores and none at all."""
+    rng = np.random.default_rng(5)
+    s = rng.integers(0, 6, (50, 30)).astype(float)
+    s[rng.random(s.shape) < 0.2], s[3], s[4, 5] = -np.inf, -np.inf, np.nan
+    at, of = neighbors._best_of_tile(s, k)
+    sound = np.where(np.isfinite(s), s, -np.inf)
+    for i, line in enumerate(sound):
+        want = [j for j in np.argsort(-line, kind="stable")[:k] if line[j] > -np.inf]
+        assert sorted(of[at == i].tolist()) == sorted(want)
