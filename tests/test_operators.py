@@ -459,3 +459,23 @@ def test_best_of_a_tile(k):
     for i, line in enumerate(sound):
         want = [j for j in np.argsort(-line, kind="stable")[:k] if line[j] > -np.inf]
         assert sorted(of[at == i].tolist()) == sorted(want)
+
+
+def test_projection_shuffles_rows_and_not_their_dimensions(spark):
+    from manylabel.operators import embed
+
+    features = checkpointed(spark.range(900).select((F.col("id") / 3).cast("long").alias("row_id"), (F.col("id") % 3).cast("int").alias("fid"), F.lit(2.0).alias("val")))
+    matrix = spark.range(3).select(F.lit(0).alias("learner"), F.lit(0).alias("cluster"), F.col("id").cast("int").alias("fid"), F.array_repeat(F.col("id") / 2, 50).alias("w"))
+    assigned = spark.range(300).select(F.lit(0).alias("learner"), F.lit(0).alias("cluster"), F.col("id").alias("row_id"))
+    got, moved = shuffled_rows(spark, lambda: embed.project(features, matrix, assigned).collect())
+    assert len(got) == 300 and all(r["emb"] == [3.0] * 50 for r in got) and moved < 5000
+
+
+def test_reindex_sorts_no_group_in_one_task(spark):
+    from manylabel.functions.vectors import reindex
+
+    d = spark.range(3000).select((F.col("id") % 2).alias("cluster"), (F.col("id") * 7 % 500).alias("label"))
+    out = reindex(d, "label", "cluster")
+    got = {(r["cluster"], r["label"]): r["new_id"] for r in out.collect()}
+    assert got == {(c, x): i for c in (0, 1) for i, x in enumerate(sorted({k * 7 % 500 for k in range(c, 3000, 2)}), 1)}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
