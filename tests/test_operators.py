@@ -291,6 +291,19 @@ def test_frontier_search(spark):
     assert none.count() == 0
 
 
+def test_frontier_search_walks_every_part(spark):
+    """Vectors without any structure in many parts: a best over all parts must not end the walk of a part at its entry."""
+    rng = np.random.default_rng(8)
+    d = spark.createDataFrame([(i, 0, rng.normal(size=48).tolist()) for i in range(1000)], "row_id long, cluster int, emb array<double>")
+    index = checkpointed(neighbors.build_index(d, 12, ("cluster",), part_rows=100))
+    q = d.where("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+    exact = {(r["query_id"], r["row_id"]) for r in neighbors.knn(q, d, 10, within=("cluster",), exclude_self=True).collect()}
+    found, visited = neighbors.search_frontier(q, index, 10, 0.05, ("cluster",), exclude_self=True, leaf=16)
+    got = {(r["query_id"], r["row_id"]) for r in found.collect()}
+    assert len(got) == 200 and len(exact & got) >= 0.9 * len(exact)
+    assert np.mean([r["visited"] for r in visited.collect()]) < 900
+
+
 def test_pruning_leaves_out_head_labels(spark):
     labels = spark.createDataFrame([(i, 7) for i in range(30)] + [(i, 100 + i // 2) for i in range(30)], "row_id long, label int")
     freq = labelgraph.frequencies(labels)
