@@ -219,6 +219,25 @@ def test_tiles_and_parts_change_nothing(spark, monkeypatch):
     assert far == whole  # on a connected graph with much slack the search is exact
 
 
+def test_a_vector_is_sent_to_few_tiles(spark, monkeypatch):
+    """Tiles grow before they become more, and a tile is scored in blocks: the same lists, ties included, as in one tile."""
+    rng = np.random.default_rng(12)
+    d = spark.createDataFrame([(i, [float(v) for v in rng.integers(-2, 3, 3)]) for i in range(400)], "row_id long, emb array<double>")
+    q = d.withColumnRenamed("row_id", "query_id")
+    get = lambda: sorted((r["query_id"], r["rank"], r["row_id"]) for r in neighbors.knn(q, d, 6, "dot", exclude_self=True).collect())
+    whole, held = get(), []
+    monkeypatch.setattr(neighbors, "TILE", 16)
+    monkeypatch.setattr(neighbors, "BLOCKS", 2)
+    monkeypatch.setattr(neighbors, "LINES", 8)
+    assert get() == whole
+    plan = neighbors.knn(q, d, 6, "dot")
+    monkeypatch.setattr(neighbors, "_similarity", lambda a, b, metric, f=neighbors._similarity: held.append((len(a), len(b))) or f(a, b, metric))
+    x = rng.normal(size=(40, 3))
+    neighbors._best_of_blocks(x, x, 6, "dot")
+    assert max(held) <= (8, 16) and len(held) == 15
+    assert plan.groupBy("query_id").count().where("count <> 6").count() == 0
+
+
 def test_a_stored_index_serves_searches(spark, tmp_path):
     rng = np.random.default_rng(2)
     d = spark.createDataFrame([(3 * i, i % 2, [float(v) for v in rng.normal(size=4)]) for i in range(300)] + [(1, 0, [0.0] * 4)], "row_id long, cluster int, emb array<double>")
