@@ -238,6 +238,25 @@ def test_a_vector_is_sent_to_few_tiles(spark, monkeypatch):
     assert plan.groupBy("query_id").count().where("count <> 6").count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_queries_of_a_part_walk_together(monkeypatch, small):
+    """Hundreds of queries take a few rounds of arrays, not a walk each, and find what a walk of one alone finds."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(300, 8))
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1) + np.diag(np.full(300, np.inf))
+    monkeypatch.setattr(neighbors, "SMALL", small)
+    part = neighbors.GraphIndex(x, list(np.argsort(d2, axis=1)[:, :12]), 11, 0)
+    q = rng.normal(size=(200, 8))
+    at, of, found = part.search(q, 5, 0.1)
+    assert np.bincount(at).tolist() == [5] * 200 and np.allclose(found, ((x[of] - q[at]) ** 2).sum(1))
+    exact = np.argsort(((q[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, :5]
+    assert np.mean([i in exact[j] for j, i in zip(at, of)]) > 0.9
+    alone = part.search(q[7:8], 5, 0.1)
+    assert alone[1].tolist() == of[at == 7].tolist()
+    at, of, _ = part.search(q, 5, 1e9)
+    assert np.mean([i in exact[j] for j, i in zip(at, of)]) > 0.97  # all that edges lead to
+
+
 def test_a_stored_index_serves_searches(spark, tmp_path):
     rng = np.random.default_rng(2)
     d = spark.createDataFrame([(3 * i, i % 2, [float(v) for v in rng.normal(size=4)]) for i in range(300)] + [(1, 0, [0.0] * 4)], "row_id long, cluster int, emb array<double>")
