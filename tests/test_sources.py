@@ -152,3 +152,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert "PSP@1=" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         pipeline.main(["other", settings])
+
+
+def test_a_line_is_parsed_once(spark):
+    """The filter on what a line holds stays above its parsing, so no line is split and cast twice."""
+    lines = spark.createDataFrame([(1, "3,4 1:2.5 7:1"), (2, "x 1:2"), (3, "5"), (4, "6 2:1\r\n")], "row_id long, value string")
+    d = svmlight.parse_lines(lines)
+    assert [(r["row_id"], r["labels"], [tuple(f) for f in r["features"]]) for r in d.orderBy("row_id").collect()] == [(1, [3, 4], [(1, 2.5), (7, 1.0)]), (4, [6], [(2, 1.0)])]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1
