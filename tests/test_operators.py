@@ -93,6 +93,23 @@ def test_label_neighbours_shuffle_no_pairs(spark, hot):
         assert [(r["score"], r["neighbor"]) for r in sorted(got, key=lambda r: r["rank"]) if r["row_id"] == i] == [(-s, j) for s, j in near]
 
 
+def test_lists_are_amplified_where_they_are(spark, labels):
+    """Repeating a row's list needs no window over its lines, and so no shuffle after the lists."""
+    lists = labelgraph.label_lists(labels, 3)
+    out = labelgraph.amplified(lists, 5)
+    same = labelgraph.amplify(labelgraph.label_knn(labels, 3), 5).select("row_id", "slot", "neighbor")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(out) and plan(out).count("Exchange") == plan(lists).count("Exchange")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, same.collect())) and out.dtypes == same.dtypes
+
+
+def test_an_orders_labels_are_shuffled_once(spark, sf):
+    from manylabel.plans import fixtures
+
+    plan = fixtures.orders(spark, sf)[1].groupBy("row_id").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_label_neighbours_of_names(spark):
     d = spark.createDataFrame([("b", "x"), ("a", "x"), ("a", "y"), ("c", "x"), ("c", "y"), (None, "x"), ("d", None)], "row_id string, label string")
     got = {(r["row_id"], r["rank"], r["neighbor"], r["score"]) for r in labelgraph.label_knn(d, 2).collect()}
