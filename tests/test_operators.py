@@ -399,6 +399,16 @@ def test_pair_accuracy(spark):
     assert [tuple(r) for r in partition.pair_accuracy(a, pos).collect()] == [(0, 4, 2, 0.5)]
 
 
+def test_pairs_of_lists_are_made_after_the_row_is_known(spark):
+    """A list goes to its row's cluster as one row; only then do its pairs go to the others' clusters."""
+    n, m = 2000, 10
+    a = checkpointed(spark.range(n).select(F.lit(0).alias("learner"), F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("cluster")))
+    lists = checkpointed(spark.range(n).select(F.col("id").alias("row_id"), F.transform(F.sequence(F.lit(1), F.lit(m)), lambda i: (F.col("id") + i) % n).alias("others")))
+    got, moved = shuffled_rows(spark, lambda: partition.pair_accuracy(a, lists).collect())
+    pairs = lists.select("row_id", F.explode("others").alias("other"))
+    assert got == partition.pair_accuracy(a, pairs).collect() and moved < n * m + 4 * n
+
+
 def test_embedding_step_follows_the_numerical_gradient():
     """One base row, its positives and negatives: the applied step is the gradient of the ranking loss by finite differences."""
     from manylabel.operators import embed
