@@ -409,6 +409,47 @@ def test_pairs_of_lists_are_made_after_the_row_is_known(spark):
     assert got == partition.pair_accuracy(a, pairs).collect() and moved < n * m + 4 * n
 
 
+def test_pairwise_batches_read_stored_features_and_lists(spark, monkeypatch):
+    """A batch computes neither features nor neighbours again, and a positive's list is one row until its base is known."""
+    x = l2_normalize(spark.createDataFrame([(i, i % 7, 1.0) for i in range(200)], "row_id long, fid int, val double"))
+    seen, whole = [], partition.pair_gradients
+
+    def record(features, bases, positives, negatives, weights):
+        seen.append((features, bases, positives))
+        return whole(features, bases, positives, negatives, weights)
+
+    monkeypatch.setattr(partition, "pair_gradients", record)
+    partition.fit_pairwise(x, x.select("row_id", (F.col("fid") % 3).alias("label")), 2, epochs=1, num_nn=5, batches=2)
+    assert len(seen) == 2
+    for d in seen[0] + seen[1]:
+        assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    assert all(positives.count() == 200 for _, _, positives in seen)
+
+
+def test_pair_gradients_of_lists_and_of_pairs(spark):
+    """The gradient is that of its definition, whether others come as pairs or as lists."""
+    rng = np.random.default_rng(5)
+    x = {i: {int(f): float(rng.normal()) for f in rng.choice(6, 2, replace=False)} for i in range(8)}
+    w = {(k, f): float(rng.normal()) for k in (0, 1) for f in range(6)}
+    base = {i: i % 2 for i in range(8)}
+    pos = {i: [(i + 1) % 8, (i + 1) % 8, (i + 3) % 8] for i in range(5)}
+    neg = {i: [(i + 2) % 8, (i + 5) % 8] for i in range(8)}  # those of rows without positives do not count
+    want = Counter()
+    for i, own in pos.items():
+        for y, others in ((1, own), (0, neg[i])):
+            for j in others:
+                e = y - 1 / (1 + np.exp(-sum(v * w[base[i], f] for f, v in x[j].items())))
+                for f, v in x[j].items():
+                    want[base[i], f] += e * v
+    features = spark.createDataFrame([(i, f, v) for i, own in x.items() for f, v in own.items()], "row_id long, fid int, val double")
+    bases = spark.createDataFrame([(0, i, k) for i, k in base.items()], "learner int, row_id long, cluster int")
+    weights = spark.createDataFrame([(0, k, f, v) for (k, f), v in w.items()], "learner int, k int, fid int, w double")
+    lists = [spark.createDataFrame(list(d.items()), "row_id long, others array<long>") for d in (pos, neg)]
+    for p, n in (lists, [d.select("row_id", F.explode("others").alias("other")) for d in lists]):
+        got = {(r["k"], r["fid"]): r["g"] for r in partition.pair_gradients(features, bases, p, n, weights).collect()}
+        assert got.keys() == want.keys() and all(abs(got[at] - g) < 1e-9 for at, g in want.items())
+
+
 def test_embedding_step_follows_the_numerical_gradient():
     """One base row, its positives and negatives: the applied step is the gradient of the ranking loss by finite differences."""
     from manylabel.operators import embed
