@@ -538,6 +538,30 @@ def test_sharded_step_follows_the_numerical_gradient(spark):
     assert np.allclose([got[f]["w"] for f in range(8)], w + p.eta0 * g / np.sqrt(1 + g * g), atol=1e-5)
 
 
+def test_tiles_of_the_sharded_step(spark):
+    """Whatever the tiles, sums by row and by feature are those of a matrix product; a batch shuffles tiles and vectors, no entries."""
+    from manylabel.operators import embed
+
+    rng = np.random.default_rng(9)
+    n, m, size = 120, 40, 3
+    x = np.where(rng.random((n, m)) < 0.5, rng.normal(size=(n, m)), 0)
+    x[7] = 0
+    x[7, 39] = 1  # a row of an unknown feature alone
+    w, g = rng.normal(size=(39, size)), rng.normal(size=(50, size))  # rows from 50 on have no gradient
+    one = {"learner": F.lit(0), "cluster": F.lit(2)}
+    entries = checkpointed(spark.createDataFrame([(int(i), int(f), float(x[i, f])) for i, f in zip(*np.nonzero(x))], "row_id long, fid int, val double").withColumns(one))
+    state = checkpointed(spark.createDataFrame([(f, v.tolist()) for f, v in enumerate(w)], "fid int, w array<double>").withColumns(one))
+    gradients = checkpointed(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g)], "row_id long, g array<double>").withColumns(one))
+    for shape in ((1, 1), (3, 4)):
+        tiles = checkpointed(embed.packed(entries, shape))
+        assert tiles.count() <= shape[0] * shape[1]
+        got, moved = shuffled_rows(spark, lambda: embed.projected(tiles, state, size, shape).collect())
+        assert {r["row_id"] for r in got} == set(range(n)) and moved <= shape[0] * shape[1] + 39 * shape[1] + n * shape[0] < entries.count()
+        assert np.allclose([r["z"] for r in sorted(got, key=lambda r: r["row_id"])], x[:, :39] @ w)
+        by = {r["fid"]: r["g"] for r in embed.feature_gradients(tiles, gradients, size, shape).collect()}
+        assert by.keys() == {f for f in range(m) if x[:50, f].any()} and all(np.allclose(v, x[:50, f] @ g) for f, v in by.items())
+
+
 def test_large_clusters_are_learned_whole(spark):
     """One cluster above the bound and one below, four topics each: both get one matrix, and neighbours agree on the topic."""
     from manylabel.operators import embed
