@@ -325,6 +325,23 @@ def test_tree_grows_level_by_level(spark):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def test_subtrees_of_a_task_change_nothing(spark, monkeypatch):
+    """Small nodes are split in a task by the same rule, equal vectors and the bound on levels included; fewer rounds read the vectors."""
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(size=(300, 5)), np.ones((40, 5))])
+    d = checkpointed(spark.createDataFrame([(i * 7 % 1021, i % 2, v.tolist()) for i, v in enumerate(x)], "row_id long, part int, emb array<double>"))
+    got = {}
+    for bound in (0, 60, 4096):
+        monkeypatch.setattr(neighbors, "SUBTREE", bound)
+        for levels in (3, 60):
+            (leaves, nodes), moved = shuffled_rows(spark, lambda: neighbors.grow_tree(d, 8, ("part",), levels))
+            centers = {(r["part"], r["node"]): (r["n"], np.round(r["center"], 9).tolist()) for r in nodes.collect()}
+            got[bound, levels] = sorted(map(tuple, leaves.select("part", "row_id", "node").collect())), centers, moved
+    for levels in (3, 60):
+        assert got[0, levels][:2] == got[60, levels][:2] == got[4096, levels][:2] and len(got[0, levels][0]) == 340
+    assert got[4096, 60][2] < got[0, 60][2] / 2
+
+
 def test_frontier_search(spark):
     rng = np.random.default_rng(6)
     c = rng.normal(size=(12, 6))
