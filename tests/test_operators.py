@@ -639,3 +639,25 @@ def test_reindex_sorts_no_group_in_one_task(spark):
     got = {(r["cluster"], r["label"]): r["new_id"] for r in out.collect()}
     assert got == {(c, x): i for c in (0, 1) for i, x in enumerate(sorted({k * 7 % 500 for k in range(c, 3000, 2)}), 1)}
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frontier_search_of_small_parts_sends_no_pairs(spark, monkeypatch):
+    """Parts that a task holds are walked there, with the results of the rounds of joins; a query is not sent to each part, nor a pair to anywhere."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(900, 8))
+    x[600:660] = x[:60]  # copies: equal distances
+    far = 2**60  # ids that a double does not hold
+    d = spark.createDataFrame([(far + i * 7 % 1021, i % 2, v.tolist()) for i, v in enumerate(x)] + [(5, 2, x[0].tolist())], "row_id long, cluster int, emb array<double>")
+    index = checkpointed(neighbors.build_index(d, 8, ("cluster",), part_rows=90))
+    tree = neighbors.grow_tree(index, 12, ("cluster", "part"))
+    q = checkpointed(d.where("row_id % 9 = 0 OR cluster = 2").withColumnRenamed("row_id", "query_id"))  # cluster 2 has one row, and it is the query
+    got = {}
+    for bound, small in ((0, 1024), (95, 0), (4096, 1024)):  # by joins, both ways (part sizes differ) with distances of pairs, in tasks
+        monkeypatch.setattr(neighbors, "WALK", bound)
+        monkeypatch.setattr(neighbors, "SMALL", small)
+        monkeypatch.setattr(neighbors, "GROUPS", 1)
+        (found, visited), moved = shuffled_rows(spark, lambda: [sorted(map(tuple, f.collect())) for f in neighbors.search_frontier(q, index, 5, 0.1, ("cluster",), exclude_self=True, tree=tree)])
+        got[bound, small] = found, visited, moved
+    assert len(got[0, 1024][0]) == 5 * (q.count() - 1) and (2, 5, 1) in got[0, 1024][1] and all(g[:2] == got[0, 1024][:2] for g in got.values())
+    sizes = {r["count"] > 95 for r in index.groupBy("cluster", "part").count().collect()}
+    assert sizes == {True, False} and got[4096, 1024][2] < got[0, 1024][2] / 5
