@@ -35,7 +35,7 @@ def train(features: DataFrame, labels: DataFrame, p: Params) -> Model:
         if p.cls_type == 0:
             w, _ = partition.fit_kmeans(x, k, p.num_learner, p.cls_iter, p.seed)
         else:
-            w = partition.fit_pairwise(x, labels, k, p.num_learner, p.cls_iter, p.num_nn, p.eta0, p.lam, p.seed, head_budget=p.head_budget, normalize=p.label_normalize > 0)
+            w = partition.fit_pairwise(x, labels, k, p.num_learner, p.cls_iter, p.num_nn, p.eta0, p.lam, p.seed, normalize=p.label_normalize > 0)
         if p.hash_bits:
             w = partition.hash_weights(w, 1 + x.agg(F.max("fid")).first()[0], p.hash_bits)
         assigned = partition.nearest_cluster(x, w, k, learners)

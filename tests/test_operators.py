@@ -661,3 +661,17 @@ def test_frontier_search_of_small_parts_sends_no_pairs(spark, monkeypatch):
     assert len(got[0, 1024][0]) == 5 * (q.count() - 1) and (2, 5, 1) in got[0, 1024][1] and all(g[:2] == got[0, 1024][:2] for g in got.values())
     sizes = {r["count"] > 95 for r in index.groupBy("cluster", "part").count().collect()}
     assert sizes == {True, False} and got[4096, 1024][2] < got[0, 1024][2] / 5
+
+
+def test_pairwise_learner_has_the_partners_of_frequent_labels(spark, monkeypatch):
+    """A label of so many rows that its pairs are over 5,000 a row: its rows are learned from all the same."""
+    n, seen = 5200, []
+    x = checkpointed(l2_normalize(spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("fid"), F.lit(1.0).alias("val"))))
+
+    def record(features, bases, positives, negatives, weights):
+        seen.append({r["row_id"]: r["others"] for r in positives.collect()})
+        return features.limit(0).select(F.lit(0).alias("learner"), F.lit(0).alias("k"), "fid", F.lit(0.0).alias("g"))
+
+    monkeypatch.setattr(partition, "pair_gradients", record)
+    partition.fit_pairwise(x, x.select("row_id", F.lit(4).alias("label")), 2, epochs=1, num_nn=2, batches=1)
+    assert seen == [{i: [j for j in range(3) if j != i][:2] for i in range(n)}]
