@@ -1,3 +1,5 @@
+import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -5,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from manylabel.functions.vectors import l2_normalize, sigmoid
-from manylabel.operators import labelgraph, neighbors, partition, vote
+from manylabel.operators import embed, labelgraph, neighbors, partition, vote
+from manylabel.params import Params
 from manylabel.session import checkpointed
 
 L = {0: [1, 2], 1: [1, 2, 3], 2: [2], 3: [1], 4: [9]}
@@ -675,3 +678,28 @@ def test_pairwise_learner_has_the_partners_of_frequent_labels(spark, monkeypatch
     monkeypatch.setattr(partition, "pair_gradients", record)
     partition.fit_pairwise(x, x.select("row_id", F.lit(4).alias("label")), 2, epochs=1, num_nn=2, batches=1)
     assert seen == [{i: [j for j in range(3) if j != i][:2] for i in range(n)}]
+
+
+def test_documents_terms_are_never_shuffled(spark, sf):
+    """A document is shuffled as one row of text; its terms are counted and normalised where they are."""
+    from manylabel.plans import fixtures
+
+    features = l2_normalize(fixtures.documents(spark, sf)[0])
+    n = fixtures.table(spark, sf, "documents").count()
+    terms, moved = shuffled_rows(spark, lambda: [tuple(r) for r in features.groupBy().agg(F.count("*"), F.round(F.sum(F.col("val") * F.col("val")), 6)).collect()])
+    assert moved < 2 * n < terms[0][0]
+    texts = {r["doc_id"]: r["text"] for r in fixtures.table(spark, sf, "documents").collect()}
+    assert terms[0][1] == sum(bool(re.search(r"[A-Za-z0-9_]", t or "")) for t in texts.values())
+
+
+def test_embeddings_without_stored_matrices(spark):
+    """The same embeddings; what is stored are they alone."""
+    rng = np.random.default_rng(3)
+    features = checkpointed(spark.createDataFrame([(i, int(f), 1.0) for i in range(60) for f in rng.choice(400, 8, replace=False)], "row_id long, fid int, val double"))
+    labels = spark.createDataFrame([(i, i % 3) for i in range(60)], "row_id long, label int")
+    assigned = spark.createDataFrame([(0, i % 2, i) for i in range(60)], "learner int, cluster int, row_id long")
+    p = Params(emb_size=4, num_nn=2, emb_iter=1)
+    (w, emb), (none, alone) = embed.fit(features, labels, assigned, p), embed.fit(features, labels, assigned, p, matrices=False)
+    assert w.count() > 100 and none is None and sorted(map(tuple, emb.collect())) == sorted(map(tuple, alone.collect()))
+    size = lambda d: sum(os.path.getsize(f.removeprefix("file:")) for f in d.inputFiles())
+    assert size(alone) < size(emb) / 2
