@@ -703,3 +703,20 @@ def test_embeddings_without_stored_matrices(spark):
     assert w.count() > 100 and none is None and sorted(map(tuple, emb.collect())) == sorted(map(tuple, alone.collect()))
     size = lambda d: sum(os.path.getsize(f.removeprefix("file:")) for f in d.inputFiles())
     assert size(alone) < size(emb) / 2
+
+
+def test_negatives_are_drawn_where_the_base_is(spark):
+    """Draws given as a column of the row's id are shuffled once, and give the gradients of the same draws as pairs."""
+    n, m = 1500, 12
+    features = checkpointed(spark.range(n).select((F.col("id") * 3).alias("row_id"), (F.col("id") % 11).cast("int").alias("fid"), (1.0 + F.col("id") % 4).alias("val")))
+    rows = features.select("row_id")
+    bases = checkpointed(rows.select(F.lit(0).alias("learner"), "row_id", (F.col("row_id") % 2).cast("int").alias("cluster")))
+    positives = checkpointed(rows.where("row_id % 5 <> 0").select("row_id", F.array((F.col("row_id") + 3) % (3 * n)).alias("others")))
+    weights = spark.createDataFrame([(0, k, f, 0.1 * f - 0.3 * k) for k in range(2) for f in range(11)], "learner int, k int, fid int, w double")
+    numbered = checkpointed(partition.dense_numbers(rows))
+    index = numbered.select(F.col("number").alias("negative"), F.col("row_id").alias("other"))
+    pairs = labelgraph.negatives(rows, m, n).join(index.hint("merge"), "negative").select("row_id", "other")
+    read = lambda g: {(r["k"], r["fid"]): round(r["g"], 9) for r in g.collect()}
+    whole, many = shuffled_rows(spark, lambda: read(partition.pair_gradients(features, bases, positives, pairs, weights)))
+    got, few = shuffled_rows(spark, lambda: read(partition.pair_gradients(features, bases, positives, labelgraph.negative_list(F.col("row_id"), m, n), weights, numbered)))
+    assert got == whole and len(got) == 22 and few < many - n * m
