@@ -720,3 +720,43 @@ def test_negatives_are_drawn_where_the_base_is(spark):
     whole, many = shuffled_rows(spark, lambda: read(partition.pair_gradients(features, bases, positives, pairs, weights)))
     got, few = shuffled_rows(spark, lambda: read(partition.pair_gradients(features, bases, positives, labelgraph.negative_list(F.col("row_id"), m, n), weights, numbered)))
     assert got == whole and len(got) == 22 and few < many - n * m
+
+
+def test_sharded_learner_shuffles_neither_entries_nor_the_matrix(spark, monkeypatch):
+    """Each batch reads tiles and matrix where they are stored, in the plans as they are run."""
+    rng = np.random.default_rng(41)
+    features = checkpointed(spark.createDataFrame([(i, int(f), 1.0) for i in range(120) for f in rng.choice(300, 9, replace=False)], "row_id long, fid int, val double"))
+    labels = spark.createDataFrame([(i, i % 3) for i in range(120)], "row_id long, label int")
+    assigned = spark.createDataFrame([(0, 0, i) for i in range(120)], "learner int, cluster int, row_id long")
+    seen, whole = [], embed.adagrad_step
+
+    def record(x, state, *rest):
+        seen.append((x, state, whole(x, state, *rest)))
+        return seen[-1][-1]
+
+    monkeypatch.setattr(embed, "adagrad_step", record)
+    monkeypatch.setattr(embed, "TILE", 200)
+    monkeypatch.setattr(embed, "MAX_TILE", 200)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    try:
+        w, emb = embed.fit(features, labels, assigned, Params(emb_size=4, num_nn=2, emb_iter=1), max_rows=0, batches=1)
+        (tiles, state, new) = seen[0]
+        plan = new._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(seen) == 1 and emb.count() == 120 and w.count() == features.select("fid").distinct().count() and tiles.count() > 4
+    sides = [b for a, b in zip(plan.splitlines(), plan.splitlines()[1:]) if "FileScan" in b and "Exchange" in a]
+    assert "Bucketed: true" in plan and not [x for x in plan.splitlines() if "row_id_at" in x and "Exchange" in x] and not [x for x in sides if "grown" in x]
+
+
+def test_tiles_grow_before_they_become_more(spark):
+    shapes = []
+    for n in (10, 4_000, 40_000):
+        d = spark.range(n).select((F.col("id") % 100).alias("row_id"), (F.col("id") % 97).alias("fid"))
+        old = embed.TILE, embed.MAX_TILE, embed.TILES
+        embed.TILE, embed.MAX_TILE, embed.TILES = 500, 2000, 4
+        try:
+            shapes.append(embed.tile_shape(d))
+        finally:
+            embed.TILE, embed.MAX_TILE, embed.TILES = old
+    assert [a * b for a, b in shapes] == [1, 4, 20]
