@@ -760,3 +760,41 @@ def test_tiles_grow_before_they_become_more(spark):
         finally:
             embed.TILE, embed.MAX_TILE, embed.TILES = old
     assert [a * b for a, b in shapes] == [1, 4, 20]
+
+
+def test_pairwise_batches_shuffle_no_features(spark, monkeypatch):
+    """Rows are scored once in a batch, where their features are stored; the state is joined where it is."""
+    rng = np.random.default_rng(17)
+    x = l2_normalize(spark.createDataFrame([(i, int(f), 1.0) for i in range(300) for f in rng.choice(150, 20, replace=False)], "row_id long, fid int, val double"))
+    labels = spark.createDataFrame([(i, i % 3) for i in range(300)], "row_id long, label int")
+    scored, plans, moved, whole, step = [], [], [], partition.row_scores, partition.ftrl_step
+
+    def record(features, weights, k):
+        got, n = shuffled_rows(spark, lambda: whole(features, weights, k))
+        moved.append(n)
+        scored.append((got, partition.scores(features, weights), partition.nearest_cluster(features, weights, k, got.select("learner").distinct())))
+        return got
+
+    def planned(state, gradients, *rest):
+        out = step(state, gradients, *rest)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(partition, "row_scores", record)
+    monkeypatch.setattr(partition, "ftrl_step", planned)
+    monkeypatch.setattr(partition, "emptied", lambda *_: None)  # earlier states are read below
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    try:
+        w = partition.fit_pairwise(x, labels, 3, learners=2, epochs=2, num_nn=3, lam=0.01, batches=1, seed=5)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    read = lambda d, *c: sorted((*(r[i] for i in c[:-1]), round(r[c[-1]], 9)) for r in d.collect())
+    assert w.count() > 100 and len(scored) == 2 and max(moved) < 1000  # of 6,000 features
+    for got, want, near in scored:
+        assert read(got, "learner", "row_id", "k", "score") == read(want, "learner", "row_id", "k", "score")
+        best = partition.nearest_by_scores(x.select("row_id").distinct(), got, 3, got.select("learner").distinct())
+        assert read(best, "learner", "row_id", "cluster", "score") == read(near, "learner", "row_id", "cluster", "score")
+    for plan in plans:
+        lines = plan.splitlines()
+        scans = [(a, b) for a, b in zip(lines, lines[1:]) if "FileScan" in b]
+        assert not [b for a, b in scans if "Exchange" in a and ("val#" in b or "z#" in b)]
